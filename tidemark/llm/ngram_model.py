@@ -89,12 +89,12 @@ class EliasFano:
 
 
 def quantise(p: np.ndarray, levels: int = 254) -> tuple[np.ndarray, np.ndarray]:
-    """Codes from 1 and a code book (code 0: absent, value 0) that keep logarithms of p by equal-count bins."""
+    """Codes from 1 and a code book (code 0: absent, value 0): bins of equal width in log p, each with its mean p."""
     if not len(p):
         return np.empty(0, np.uint8), np.zeros(levels + 2)
     lp = np.log(np.maximum(p, 1e-30))
     distinct = np.unique(lp)
-    edges = distinct if len(distinct) <= levels else np.unique(np.quantile(distinct, np.linspace(0, 1, levels)))
+    edges = distinct if len(distinct) <= levels else np.linspace(distinct[0], distinct[-1], levels)
     code = np.clip(np.searchsorted((edges[1:] + edges[:-1]) / 2, lp), 0, len(edges) - 1)
     book = np.zeros(levels + 2)
     total = np.bincount(code, weights=p, minlength=len(edges))
