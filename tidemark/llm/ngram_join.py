@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, mix, n_blocks, shingle_hashes, slices, word_hashes
 
 #: Per cent of the union, words in a shingle, bytes of text in a block, shingles in a page.
-PERCENT, WIDTH, BLOCK_BYTES, PAGE_TOKENS = 90, 3, 8 << 20, 100_000
+PERCENT, WIDTH, BLOCK_BYTES, PAGE_TOKENS = 90, 3, 4 << 20, 100_000
 SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import n_blocks, slices, word_hashes
 
-DISCOUNT, SMOOTH, BLOCK_BYTES = 0.75, 0.1, 8 << 20
+DISCOUNT, SMOOTH, BLOCK_BYTES = 0.75, 0.1, 4 << 20
 #: Hashes of the begin and end marks; no word's hash is expected to be one of them.
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _SUCCESSOR = np.uint64(24)
@@ -235,7 +235,7 @@ def _answer(blocks: int, discount: float):
             backoff = np.where(spot >= 0, np.append(trie.backoff_codes, 0)[spot], 0).astype(np.uint8)
         finally:
             trie.close()
-        books = np.concatenate([trie.backoff_book, trie.book]).tobytes()
+        books = np.concatenate([trie.backoff_book, trie.book]).astype("<f4").tobytes()
         rows: dict[int, tuple] = dict.fromkeys(range(blocks), (b"", b"", b""))
         a = g = 0
         for block, w, t in zip(table["block"].to_pylist(), words, low, strict=True):
@@ -265,7 +265,7 @@ def _score(smooth: float):
         count = np.concatenate(_numbers(got["counts"], "<i8"))
         backoff, codes = np.empty(len(b.v)), np.empty(len(b.of))
         a = g = 0
-        for f, c, book in zip(_numbers(got["backoff"], "u1"), _numbers(got["codes"], "u1"), _numbers(got["books"], "<f8"), strict=True):
+        for f, c, book in zip(_numbers(got["backoff"], "u1"), _numbers(got["codes"], "u1"), _numbers(got["books"], "<f4"), strict=True):
             if len(f):
                 half = len(book) // 2
                 backoff[a : a + len(f)] = np.where(f > 0, book[:half][f], 1.0)
