@@ -26,3 +26,78 @@ def spans(patterns: dict[str, str], text: str) -> tuple[list[int], str]:
     found = [(m.start(), i, m.end()) for i, (k, p) in enumerate(patterns.items()) for m in re.finditer(p, text) if kept(k, m)]
     names = list(patterns)
     return [sum(k == i for _, k, _ in found) for i in range(len(names))], hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(found)).encode()).hexdigest()
+
+
+def words(text: str) -> list[str]:
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return re.findall(r"[^\x20\x09-\x0D]+", lower)
+
+
+def shingles(text: str, width: int) -> set[tuple]:
+    w = words(text)
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+def linked(texts: dict[int, str], percent: int = 90, width: int = 3) -> dict[int, tuple[int, int, int]]:
+    """id: set size, component, number of links, from all pairs."""
+    sets = {d: shingles(t, width) for d, t in texts.items()}
+    root, links = {d: d for d in sets}, dict.fromkeys(sets, 0)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if sets[a] and sets[b] and 100 * small >= percent * large and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(sets[d]), find(d), links[d]) for d in ids}
+
+
+def base_scores(rows: list[tuple[int, str]], held_out) -> dict[int, tuple[int, int, int, float]]:
+    """id: tokens, known tokens, training tokens, base score."""
+    import math
+    from collections import Counter
+
+    tokens = {d: [*words(t), None] for d, t in rows}
+    count = Counter(w for d, t in tokens.items() if not held_out(d) for w in t)
+    n, v = sum(count.values()), len(count)
+    return {d: (len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) for d, t in tokens.items()}
+
+
+def bigram_score(rows: list[tuple[int, str]], held_out, discount: float = 0.75) -> dict[int, float]:
+    """The unquantised model's log10 probability of each text."""
+    import math
+    from collections import Counter, defaultdict
+
+    tokens = {d: [*words(t), None] for d, t in rows}
+    one, two, follow = Counter(), Counter(), defaultdict(set)
+    for d, t in tokens.items():
+        if not held_out(d):
+            one.update(t)
+            for a, b in zip(["<begin>", *t], t):
+                two[a, b] += 1
+                follow[a].add(b)
+    total = Counter()
+    for (a, _), c in two.items():
+        total[a] += c
+    n, v = sum(one.values()), len(one)
+    p = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    q = lambda a, b: p(b) if not total[a] else max(two[a, b] - discount, 0) / total[a] + discount * len(follow[a]) / total[a] * p(b)
+    return {d: sum(math.log10(q(a, b)) for a, b in zip(["<begin>", *t], t)) for d, t in tokens.items()}
+
+
+def edit_distance_inside(item: str, text: str) -> int:
+    """Least edits that turn item into some part of text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return min(row)
