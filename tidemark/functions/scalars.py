@@ -60,7 +60,6 @@ def platform(raw: Column) -> Column:
 
 
 # Names.
-@F.pandas_udf("string")
 def _nfkc(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
@@ -70,7 +69,7 @@ def name_key(name: Column, compatibility: bool = False) -> Column:
 
     compatibility folds Unicode compatibility forms first, which takes an Arrow UDF; names in ASCII don't need it.
     """
-    base = _nfkc(name) if compatibility else name
+    base = F.pandas_udf(_nfkc, "string")(name) if compatibility else name
     return F.nullif(F.trim(F.regexp_replace(F.lower(base), r"[^\p{L}\p{N}]+", " ")), F.lit(""))
 
 
@@ -82,7 +81,7 @@ def embedded_names(name: Column) -> Column:
 
 def name_keys(name: Column) -> Column:
     """The whole name's key, then those of embedded names, each once."""
-    keys = F.concat(F.array(name_key(name)), F.transform(embedded_names(name), name_key))
+    keys = F.concat(F.array(name_key(name)), F.transform(embedded_names(name), lambda x: name_key(x)))
     return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
 
 

@@ -12,7 +12,7 @@ _PLACE = """CASE CAST(floor(user_id / 12) AS BIGINT) % 3 WHEN 0 THEN 'US' WHEN 1
 _SOURCE = "CASE WHEN user_id % 10 = 0 THEN NULL WHEN user_id % 5 = 0 THEN 'Organic' WHEN user_id % 2 = 0 THEN 'Facebook Ads' ELSE 'tiktok_ads' END AS media_source"
 _FIRST = "SELECT user_id AS id, min(CAST(ts AS DATE)) AS install_date FROM events WHERE event_type = 'signup' GROUP BY user_id"
 
-#: name: (tables it reads, SQL).
+#: SQL by name; marketing and attribution names share the whole of part between them.
 VIEWS: dict[str, str] = {
     "delivery": f"""SELECT CAST(ts AS DATE) AS report_date, 'c' || CAST(user_id % 12 AS STRING) AS campaign, {_PLACE},
     'meta_ads' AS provider, CASE WHEN user_id % 12 = 11 THEN 'EUR' ELSE 'USD' END AS currency,
@@ -49,6 +49,10 @@ VIEWS: dict[str, str] = {
     FROM lineitem WHERE l_suppkey % 4 < 3 GROUP BY 1, 2, 3""",
     "written": """SELECT l_suppkey AS campaign, CAST(l_shipdate AS DATE) AS report_date, l_returnflag AS country, CAST(sum(CAST(l_extendedprice AS DECIMAL(20,6))) AS DECIMAL(20,6)) AS spend, CAST(sum(l_quantity) + CASE WHEN l_suppkey % 8 = 2 THEN 1 ELSE 0 END AS BIGINT) AS clicks
     FROM lineitem WHERE l_suppkey % 4 >= 1 AND (l_returnflag <> 'R' OR l_suppkey % 3 > 0) GROUP BY 1, 2, 3""",
+    "names_marketing": "SELECT 'm' || CAST(p_partkey AS STRING) AS campaign, p_name AS name FROM part WHERE p_partkey % 2 = 0",
+    "names_attribution": """SELECT CASE WHEN p_partkey % 11 = 0 THEN 'm' || CAST(p_partkey + 1 AS STRING) ELSE 't' || CAST(p_partkey AS STRING) END AS campaign,
+    CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE 'Creative_' || CAST(p_partkey AS STRING) || ' (' || p_name || ')' END AS name,
+    CASE WHEN p_partkey % 7 = 0 THEN 'm' || CAST(p_partkey + 1 AS STRING) END AS remote_id FROM part WHERE p_partkey % 2 = 1""",
 }
 _TABLES = ("events", "lineitem", "orders", "customer", "supplier", "part")
 

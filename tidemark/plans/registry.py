@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidemark.plans import queries_campaigns, queries_history, queries_metrics
+
+_MODULES = (queries_metrics, queries_campaigns, queries_history)
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE: dict = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
