@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
     # At most max_labelled + max_unlabelled ids are broadcast.
     rows = _columns(docs).join(F.broadcast(sample), "doc_id").mapInArrow(features, "doc_id long, label double, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     width = 9 + WORDS
-    x = np.array([np.frombuffer(v, np.float16) for v in rows["x"]], np.float32).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(v, np.float16) for v in rows["x"]], np.float32).reshape(len(rows), width + SOURCES + LANGS + 24)
     return CoTrained(x[:, :width], x[:, width:], rows["label"].to_numpy(float))
 
 
