@@ -75,12 +75,27 @@ def merge_parts(sketches: DataFrame, keys: list[str], column: str = "sketch", k:
     return out.select(*keys, F.col("s").alias(column))
 
 
-def ranges(docs: DataFrame, n: int, id_column: str = "doc_id") -> Column:
-    """The range of about equal row counts, 0 to n - 1, that an id falls into (null: the first); n - 1 ids reach the driver."""
-    if n < 2:
+def ranges(docs: DataFrame, n: int, id_column: str = "doc_id", most: int = 1024) -> Column:
+    """The range that an id falls into, ascending with the id (null: the first).
+
+    At most so many quantiles reach the driver; beyond them each quantile range is cut evenly by value.
+    """
+    k = min(n, most)
+    if k < 2:
+        return F.lit(0)
+    column = F.col(id_column)
+    found = docs.agg(F.percentile_approx(id_column, [i / k for i in range(1, k)], 10 * k).alias("q"), F.min(id_column).alias("a"), F.max(id_column).alias("b")).first()
+    if found["a"] is None:
+        return F.lit(0)
+    edges, cuts = sorted({found["a"], found["b"], *found["q"]}), -(-n // k)
+    if len(edges) < 2:
         return F.lit(0)
-    bounds = docs.agg(F.percentile_approx(id_column, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(id_column))), F.lit(0)) if bounds else F.lit(0)
+    held = F.array(*map(F.lit, edges))
+    at = F.size(F.filter(F.array(*map(F.lit, edges[:-1])), lambda e: e < column))
+    at = F.greatest(at, F.lit(1))
+    low, high = F.element_at(held, at).cast("double"), F.element_at(held, at + 1).cast("double")
+    inside = F.floor((column.cast("double") - low) / (high - low + 1) * cuts)
+    return F.coalesce((at.cast("long") - 1) * cuts + F.least(inside, F.lit(cuts - 1)), F.lit(0).cast("long"))
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WORDS, range_bytes: int = 8 << 20) -> DataFrame:
@@ -90,15 +105,13 @@ def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WORDS, range_b
     next row, and the first row of each range is joined to the range before it. Texts are shuffled once.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = n_blocks(base, "text", range_bytes)
-    placed = base.withColumn("part", ranges(base, n))
+    placed = base.withColumn("part", ranges(base, n_blocks(base, "text", range_bytes)))
     order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    # Heads: the smallest id of each range; their number is that of the ranges.
-    first = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("at"))
-    ring = first.withColumn("before", F.lag("part").over(Window.orderBy("part")))
-    end = first.agg(F.max("part").alias("end"))
-    ring = ring.crossJoin(F.broadcast(end)).select(F.coalesce("before", "end").alias("of"), F.col("at.doc_id").alias("head_id"))
-    heads = placed.join(F.broadcast(ring), F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("of").agg(F.min("text").alias("head_text")).withColumn("head_sketch", sketch(F.col("head_text"), k, width))
+    # One row for each range that has any: the range before it, the last one before the first.
+    ring = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    ring = ring.select("part", F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy())).alias("of"))
+    heads = placed.withColumn("place", F.row_number().over(order)).filter("place = 1").select("part", F.col("text").alias("head_text"))
+    heads = heads.join(ring, "part").select("of", "head_text", sketch(F.col("head_text"), k, width).alias("head_sketch"))
     moved = placed.withColumn("next_text", F.lead("text").over(order)).join(heads, F.col("part") == F.col("of"), "left")
     size, other = F.length("text"), F.coalesce("next_text", "head_text")
     half = F.floor(size / 2).cast("int")
