@@ -13,8 +13,8 @@ into memory and searches with vectorised successor search.
 The trie is split by ranges of context hash into shards that grow in number, not in size, with the corpus. Documents
 are dealt to blocks; a block sends the distinct n-grams of its documents with their training counts, pre-aggregated,
 to the shards; a shard sums the counts of all blocks, builds its part of the trie and answers each block with counts
-and codes; the block then scores its documents. Only n-grams and codes travel, and everything is counted over all
-training documents.
+and codes; the block then scores its documents. Only n-grams and codes travel, a shard answers only the blocks that
+asked it, and everything is counted over all training documents.
 
 Words are told apart by 64-bit hashes; below a context by their upper 40 bits.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +191,7 @@ def _numbers(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
 
 
 _ASKED = "block int, shard int, words binary, counts binary, follows binary, low binary, high binary, seen binary"
-_ANSWERED = "block int, shard int, counts binary, backoff binary, codes binary, books binary, total long, distinct long"
+_ANSWERED = "block int, shard int, counts binary, backoff binary, codes binary, books binary"
 
 
 def _ask(shards: int):
@@ -212,7 +213,7 @@ def _ask(shards: int):
     return run
 
 
-def _answer(blocks: int, discount: float):
+def _answer(discount: float):
     def run(table: pa.Table) -> pa.Table:
         words, counts, follows, low, high, seen = (_numbers(table[c], k) for c, k in (("words", "<u8"), ("counts", "<u4"), ("follows", "<u4"), ("low", "<u4"), ("high", "u1"), ("seen", "<u4")))
         v, slot = np.unique(np.concatenate(words), return_inverse=True)
@@ -236,7 +237,7 @@ def _answer(blocks: int, discount: float):
         finally:
             trie.close()
         books = np.concatenate([trie.backoff_book, trie.book]).astype("<f4").tobytes()
-        rows: dict[int, tuple] = dict.fromkeys(range(blocks), (b"", b"", b""))
+        rows: dict[int, tuple] = {}
         a = g = 0
         for block, w, t in zip(table["block"].to_pylist(), words, low, strict=True):
             own = slot[a : a + len(w)]
@@ -246,13 +247,27 @@ def _answer(blocks: int, discount: float):
         columns = list(zip(*rows.values(), strict=True))
         return pa.table({
             "block": pa.array(list(rows), pa.int32()), "shard": pa.array([table["shard"][0].as_py()] * n, pa.int32()), **{k: pa.array(c, pa.binary()) for k, c in zip(("counts", "backoff", "codes"), columns, strict=True)},
-            "books": pa.array([books if r[0] else b"" for r in rows.values()], pa.binary()), "total": pa.array([int(count.sum())] * n, pa.int64()), "distinct": pa.array([int((count > 0).sum())] * n, pa.int64()),
+            "books": pa.array([books] * n, pa.binary()),
         })
 
     return run
 
 
-def _score(smooth: float):
+def vocabulary(base: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct tokens of the training rows, end marks included: counted by batch, then by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [word_hashes(part)[0] for _, part in slices(batch.column("text"))]
+            found, n = np.unique(np.concatenate([*words, np.full(len(batch), END)]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    counts = base.filter("train").select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    return total, distinct
+
+
+def _score(smooth: float, total: int, distinct: int):
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
@@ -260,8 +275,6 @@ def _score(smooth: float):
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{n: pa.array([], pa.float64() if "score" in n else pa.int64()) for n in names}})
         b = Block(docs)
         got = got.sort_by("shard")
-        # Summed over the shards: each tells its part of N and V.
-        total, distinct = sum(got["total"].to_pylist()), sum(got["distinct"].to_pylist())
         count = np.concatenate(_numbers(got["counts"], "<i8"))
         backoff, codes = np.empty(len(b.v)), np.empty(len(b.of))
         a = g = 0
@@ -290,5 +303,5 @@ def score_documents(docs: DataFrame, train: Column, discount: float = DISCOUNT,
     blocks = n_blocks(base, "text", block_bytes)
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
     asked = base.groupBy("block").applyInArrow(_ask(blocks // 2 + 1), _ASKED)
-    answered = asked.groupBy("shard").applyInArrow(_answer(blocks, discount), _ANSWERED)
-    return base.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(smooth), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answered = asked.groupBy("shard").applyInArrow(_answer(discount), _ANSWERED)
+    return base.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(smooth, *vocabulary(base)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
