@@ -19,16 +19,20 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def daily_counts(events: DataFrame, lateness: str = LOOKBACK) -> DataFrame:
-    """Events and value by day and type; a day is final once the watermark has passed it."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    out = timed.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum(F.col("value").cast("decimal(20,6)")).cast("decimal(20,6)").alias("value"))
+def timed(events: DataFrame, lateness: str = LOOKBACK) -> DataFrame:
+    """Events with a watermark on ts; the stateful steps below share it."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+
+
+def daily_counts(events: DataFrame) -> DataFrame:
+    """Events and value of a timed stream by day and type; a day is final once the watermark has passed it."""
+    out = events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum(F.col("value").cast("decimal(20,6)")).cast("decimal(20,6)").alias("value"))
     return out.select(F.to_date("w.start").alias("day"), "event_type", "events", "value")
 
 
-def once_each(events: DataFrame, key: str = "event_id", lateness: str = LOOKBACK) -> DataFrame:
-    """Events without those whose key came before within the lateness."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
+def once_each(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """A timed stream without events whose key came before within the lateness."""
+    return events.dropDuplicatesWithinWatermark([key])
 
 
 def merge_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], measures: list[str], scope: list[str] | None = None) -> StreamingQuery:
