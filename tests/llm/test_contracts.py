@@ -170,6 +170,19 @@ def test_lm_scores(spark, case):
         assert math.isclose(r["base_score"], want[3], rel_tol=1e-9) and math.isclose(r["score"], model[d], rel_tol=0.03)
 
 
+def test_lm_scores_with_hot_contexts(spark):
+    """Small blocks make contexts hot: one word in every second place, some of whose slices a block has no n-gram for."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(w for j in rng.integers(0, 400, 30) for w in ("the", f"w{j}"))) for i in range(200)] + [(200, None), (201, "new words only"), (202, "the"), (203, "w1 w1")]
+    held = lambda d: d % 7 == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, _, hot = ngram_model.vocabulary(docs.selectExpr("text", "doc_id % 7 != 0 AS train"), 40)
+    assert len(hot.words) >= 2 and hot.slices.max() > 100
+    found = ngram_model.score_documents(docs, F.col("doc_id") % 7 != 0, block_bytes=600).collect()
+    model = brute.bigram_score([(d, t or "") for d, t in rows], held)
+    assert len(found) == len(rows) and all(math.isclose(r["score"], model[r["doc_id"]], rel_tol=0.01, abs_tol=0.05) for r in found)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(5)
     for size, top in ((0, 1), (1, 1), (300, 400), (5000, 2**60)):

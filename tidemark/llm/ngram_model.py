@@ -16,6 +16,11 @@ to the shards; a shard sums the counts of all blocks, builds its part of the tri
 and codes; the block then scores its documents. Only n-grams and codes travel, a shard answers only the blocks that
 asked it, and everything is counted over all training documents.
 
+A context that occurs more often than a shard holds tokens is hot: its successors are dealt by hash to as many slices
+as its count asks for, each in a shard of its own choice, so no shard gets a hot context whole. The count C(v) of a
+hot context comes from the vocabulary, which is counted first; N(v) is the sum over its slices, all of which a block
+that holds the context asks. Hot contexts are at most 200,000, whatever the corpus.
+
 Words are told apart by 64-bit hashes; below a context by their upper 40 bits.
 
 Defined results: null and empty texts are one end mark; repeated rows each get their score; without training
@@ -30,15 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import n_blocks, slices, word_hashes
+from tidemark.llm.common import mix, slices, word_hashes
 
 DISCOUNT, SMOOTH, BLOCK_BYTES = 0.75, 0.1, 4 << 20
 #: Hashes of the begin and end marks; no word's hash is expected to be one of them.
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _SUCCESSOR = np.uint64(24)
+#: Bytes of text taken for one token where counts are compared with sizes; and a bound of the hot contexts.
+TOKEN_BYTES, MOST_HOT = 6, 200_000
 
 
 class EliasFano:
@@ -178,8 +186,53 @@ class Block:
         self.train = np.repeat(table["train"].to_numpy(zero_copy_only=False), self.size)
 
 
-def _shard_edges(v: np.ndarray, shards: int) -> np.ndarray:
-    return np.concatenate([[0], np.searchsorted(v, np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)), [len(v)]])
+class Hot:
+    """The hot contexts, ascending by hash, with their training counts and numbers of slices."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, most: int):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+        self.slices = self.counts // most + 1
+
+    def place(self, v: np.ndarray) -> np.ndarray:
+        """Place of each context, -1 if it isn't hot."""
+        if not len(self.words):
+            return np.full(len(v), -1)
+        at = np.minimum(np.searchsorted(self.words, v), len(self.words) - 1)
+        return np.where(self.words[at] == v, at, -1)
+
+    def shard(self, v: np.ndarray, piece: np.ndarray, shards: int) -> np.ndarray:
+        """The shard of each slice of a hot context."""
+        return (mix(mix(v) + piece.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+class Layout:
+    """What a block sends to each shard: words (those at home there and the hot contexts sliced there) and n-grams."""
+
+    def __init__(self, b: Block, shards: int, hot: Hot):
+        n, home = len(b.v), np.searchsorted(np.array([(s << 64) // shards for s in range(1, shards)], np.uint64), b.v, "right")
+        place = hot.place(b.v)
+        at = home[b.of]
+        sliced = np.flatnonzero(place[b.of] >= 0)
+        v, pieces = b.v[b.of[sliced]], hot.slices[place[b.of[sliced]]]
+        at[sliced] = hot.shard(v, mix(b.v[b.to[sliced]] >> _SUCCESSOR) % pieces.astype(np.uint64), shards)
+        # Every slice of each hot context that the block holds is asked, for the sum of successors.
+        held = np.flatnonzero(place >= 0)
+        many = hot.slices[place[held]]
+        owner = np.repeat(held, many)
+        piece = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        own = home * n + np.arange(n)
+        entry = np.unique(np.concatenate([own, hot.shard(b.v[owner], piece, shards) * n + owner]))
+        key = at * n + b.of
+        self.shards, self.word = np.divmod(entry, n)
+        self.at_home = home[self.word] == self.shards
+        self.follows = np.bincount(np.searchsorted(entry, key), minlength=len(entry))
+        self.gram = np.argsort(key, kind="stable")
+        self.use, first = np.unique(self.shards, return_index=True)
+        ends = np.append(first[1:], len(entry))
+        gram_ends = np.concatenate([[0], np.cumsum(self.follows)])
+        self.words = [slice(x, y) for x, y in zip(first, ends, strict=True)]
+        self.grams = [slice(gram_ends[x], gram_ends[y]) for x, y in zip(first, ends, strict=True)]
 
 
 def _binary(values: list[np.ndarray], kind: str) -> pa.Array:
@@ -194,26 +247,23 @@ _ASKED = "block int, shard int, words binary, counts binary, follows binary, low
 _ANSWERED = "block int, shard int, counts binary, backoff binary, codes binary, books binary"
 
 
-def _ask(shards: int):
+def _ask(shards: int, hot: Broadcast):
     def run(table: pa.Table) -> pa.Table:
         b = Block(table)
-        unigrams = np.bincount(b.right, weights=b.train, minlength=len(b.v)).astype(np.int64)
-        seen = np.bincount(b.gram, weights=b.train, minlength=len(b.of)).astype(np.int64)
-        follows = np.bincount(b.of, minlength=len(b.v))
-        edge = _shard_edges(b.v, shards)
-        gram_edge = np.searchsorted(b.of, edge)
-        to = b.v[b.to] >> _SUCCESSOR
-        use = [s for s in range(shards) if edge[s + 1] > edge[s]]
-        cut, grams = [slice(edge[s], edge[s + 1]) for s in use], [slice(gram_edge[s], gram_edge[s + 1]) for s in use]
+        sent = Layout(b, shards, hot.value)
+        unigrams = np.bincount(b.right, weights=b.train, minlength=len(b.v)).astype(np.int64)[sent.word] * sent.at_home
+        seen = np.bincount(b.gram, weights=b.train, minlength=len(b.of)).astype(np.int64)[sent.gram]
+        words, to = b.v[sent.word], b.v[b.to[sent.gram]] >> _SUCCESSOR
         return pa.table({
-            "block": pa.array([table["block"][0].as_py()] * len(use), pa.int32()), "shard": pa.array(use, pa.int32()), "words": _binary([b.v[c] for c in cut], "<u8"), "counts": _binary([unigrams[c] for c in cut], "<u4"),
-            "follows": _binary([follows[c] for c in cut], "<u4"), "low": _binary([to[g] & np.uint64(0xFFFFFFFF) for g in grams], "<u4"), "high": _binary([to[g] >> np.uint64(32) for g in grams], "u1"), "seen": _binary([seen[g] for g in grams], "<u4"),
+            "block": pa.array([table["block"][0].as_py()] * len(sent.use), pa.int32()), "shard": pa.array(sent.use, pa.int32()), "words": _binary([words[c] for c in sent.words], "<u8"),
+            "counts": _binary([unigrams[c] for c in sent.words], "<u4"), "follows": _binary([sent.follows[c] for c in sent.words], "<u4"), "low": _binary([to[g] & np.uint64(0xFFFFFFFF) for g in sent.grams], "<u4"),
+            "high": _binary([to[g] >> np.uint64(32) for g in sent.grams], "u1"), "seen": _binary([seen[g] for g in sent.grams], "<u4"),
         })
 
     return run
 
 
-def _answer(discount: float):
+def _answer(discount: float, hot: Broadcast):
     def run(table: pa.Table) -> pa.Table:
         words, counts, follows, low, high, seen = (_numbers(table[c], k) for c, k in (("words", "<u8"), ("counts", "<u4"), ("follows", "<u4"), ("low", "<u4"), ("high", "u1"), ("seen", "<u4")))
         v, slot = np.unique(np.concatenate(words), return_inverse=True)
@@ -227,6 +277,8 @@ def _answer(discount: float):
         place = (key >> np.uint64(40)).astype(np.int64)
         total = np.bincount(place, weights=c, minlength=len(v)) if len(key) else np.zeros(len(v))
         kinds = np.bincount(place, minlength=len(v))
+        known = hot.value.place(v)
+        total = np.where((known >= 0) & (total > 0), np.append(hot.value.counts, 0)[known], total)
         held = np.flatnonzero(total > 0)
         rank = np.cumsum(total > 0) - 1
         trie = Trie(v[held], discount * kinds[held] / total[held], rank[place], key & np.uint64((1 << 40) - 1), np.maximum(c - discount, 0) / total[place] if len(key) else c)
@@ -253,8 +305,8 @@ def _answer(discount: float):
     return run
 
 
-def vocabulary(base: DataFrame) -> tuple[int, int]:
-    """Tokens and distinct tokens of the training rows, end marks included: counted by batch, then by hash."""
+def vocabulary(base: DataFrame, most: int) -> tuple[int, int, Hot]:
+    """Tokens and distinct tokens of the training rows, end marks included, and the hot contexts (more than most times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,27 +315,30 @@ def vocabulary(base: DataFrame) -> tuple[int, int]:
             yield pa.RecordBatch.from_pydict({"h": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     counts = base.filter("train").select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    return total, distinct
+    # Counts above most are fewer than tokens / most, which score_documents bounds.
+    often = F.collect_list(F.when(F.col("n") > most, F.struct("h", "n")))
+    total, distinct, found = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), often).first()
+    words, times = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    # Each training document begins as often as it ends; an end has no successors.
+    return total, distinct, Hot(np.where(words == END, BEGIN, words), times, most)
 
 
-def _score(smooth: float, total: int, distinct: int):
+def _score(smooth: float, total: int, distinct: int, shards: int, hot: Broadcast):
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
         if not len(docs):
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{n: pa.array([], pa.float64() if "score" in n else pa.int64()) for n in names}})
         b = Block(docs)
-        got = got.sort_by("shard")
-        count = np.concatenate(_numbers(got["counts"], "<i8"))
-        backoff, codes = np.empty(len(b.v)), np.empty(len(b.of))
-        a = g = 0
-        for f, c, book in zip(_numbers(got["backoff"], "u1"), _numbers(got["codes"], "u1"), _numbers(got["books"], "<f4"), strict=True):
-            if len(f):
-                half = len(book) // 2
-                backoff[a : a + len(f)] = np.where(f > 0, book[:half][f], 1.0)
-                codes[g : g + len(c)] = book[half:][c]
-                a, g = a + len(f), g + len(c)
+        sent, got = Layout(b, shards, hot.value), got.sort_by("shard")
+        books = [book.reshape(2, -1) for book in _numbers(got["books"], "<f4")]
+        count, backoff, codes = np.empty(len(b.v), np.int64), np.zeros(len(b.v)), np.empty(len(b.of))
+        count[sent.word[sent.at_home]] = np.concatenate(_numbers(got["counts"], "<i8"))[sent.at_home]
+        for c, f, book in zip(sent.words, _numbers(got["backoff"], "u1"), books, strict=True):
+            backoff[sent.word[c]] += book[0][f]
+        for g, c, book in zip(sent.grams, _numbers(got["codes"], "u1"), books, strict=True):
+            codes[sent.gram[g]] = book[1][c]
+        backoff[backoff == 0] = 1.0
         base = (count + smooth) / (total + smooth * (distinct + 1))
         known = count > 0
         p = codes + backoff[b.of] * base[b.to]
@@ -300,8 +355,13 @@ def _score(smooth: float, total: int, distinct: int):
 def score_documents(docs: DataFrame, train: Column, discount: float = DISCOUNT, smooth: float = SMOOTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; train says which rows the model learns from."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    blocks = n_blocks(base, "text", block_bytes)
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = size // block_bytes + 1
+    shards = blocks // 2 + 1
+    total, distinct, found = vocabulary(base, max(size // shards // TOKEN_BYTES, size // MOST_HOT, block_bytes // TOKEN_BYTES, 1))
+    hot = docs.sparkSession.sparkContext.broadcast(found)
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-    asked = base.groupBy("block").applyInArrow(_ask(blocks // 2 + 1), _ASKED)
-    answered = asked.groupBy("shard").applyInArrow(_answer(discount), _ANSWERED)
-    return base.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(smooth, *vocabulary(base)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = base.groupBy("block").applyInArrow(_ask(shards, hot), _ASKED)
+    answered = asked.groupBy("shard").applyInArrow(_answer(discount, hot), _ANSWERED)
+    scored = _score(smooth, total, distinct, shards, hot)
+    return base.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
