@@ -68,6 +68,20 @@ def test_fingerprints(spark, case):
     assert np.abs(errors).max() < 0.2 and np.abs(errors).mean() < 0.03
 
 
+def test_fingerprints_in_more_ranges_than_quantiles(spark):
+    """Uneven, extreme and repeated ids in far more ranges than quantiles: the next text is still the next row's."""
+    ids = sorted([-(2**63), 2**63 - 1, 7, 7] + [i**3 for i in range(-150, 150)] + list(range(10**12, 10**12 + 150)))
+    rows = sorted((d, f"text {n} of id {d} " * (1 + n % 5)) for n, d in enumerate(ids))
+    docs = spark.createDataFrame([*rows[::-1], (None, "no id")], "doc_id long, text string").repartition(6)
+    order = [(None, "no id"), *rows]
+    n = sum(len(t) for _, t in order) // 20
+    assert n > 3 * fingerprints.QUANTILES
+    assert docs.select(fingerprints.ranges(docs, n).alias("part")).distinct().count() > fingerprints.QUANTILES
+    got = sorted(((r["doc_id"], r["edited"]) for r in fingerprints.edited_fingerprints(docs, range_bytes=20).select("doc_id", "edited").collect()), key=lambda r: (r[0] is not None, *r))
+    want = [(d, t[: len(t) - len(t) // 2] + order[(i + 1) % len(order)][1][: len(t) // 2]) for i, (d, t) in enumerate(order)]
+    assert got == sorted(want, key=lambda r: (r[0] is not None, *r))
+
+
 def test_fingerprints_merge_across_parts(spark):
     words = [" ".join(f"w{(7 * i + j) % 997}" for j in range(200)) for i in range(30)]
     parts = spark.createDataFrame([(i % 2, w) for i, w in enumerate(words)], "k int, text string").select("k", fingerprints.sketch(F.col("text")).alias("sketch"))

@@ -20,6 +20,8 @@ from tidemark.llm.common import n_blocks
 SPACES = " \t\n\x0b\x0c\r"
 
 K, WORDS = 128, 5
+#: Quantiles of the ids that reach the driver, and the most ranges (one id of each is broadcast), at any size.
+QUANTILES, RANGES = 256, 200_000
 
 
 def sketch(text: Column, k: int = K, width: int = WORDS) -> Column:
@@ -75,12 +77,23 @@ def merge_parts(sketches: DataFrame, keys: list[str], column: str = "sketch", k:
     return out.select(*keys, F.col("s").alias(column))
 
 
-def ranges(docs: DataFrame, n: int, id_column: str = "doc_id") -> Column:
-    """The range of about equal row counts, 0 to n - 1, that an id falls into (null: the first); n - 1 ids reach the driver."""
-    if n < 2:
+def ranges(docs: DataFrame, n: int, id_column: str = "doc_id", most: int = QUANTILES) -> Column:
+    """The range that an id falls into, ascending with the id (null: the first); ranges hold about equal row counts.
+
+    At most so many quantiles reach the driver; where more ranges are wanted, each quantile range is cut evenly by value.
+    """
+    k, column = min(n, most), F.col(id_column)
+    if k < 2:
+        return F.lit(0)
+    found = docs.agg(F.percentile_approx(id_column, [i / k for i in range(1, k)], 10 * k).alias("inner"), F.min(id_column).alias("low"), F.max(id_column).alias("high")).first()
+    if found["low"] is None or found["low"] == found["high"]:
         return F.lit(0)
-    bounds = docs.agg(F.percentile_approx(id_column, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(id_column))), F.lit(0)) if bounds else F.lit(0)
+    edges, cuts = sorted({found["low"], *found["inner"], found["high"]}), -(-n // k)
+    held = F.array(*map(F.lit, edges))
+    at = F.greatest(F.size(F.filter(F.slice(held, 1, len(edges) - 1), lambda e: e < column)), F.lit(1))
+    low, high = F.element_at(held, at).cast("double"), F.element_at(held, at + 1).cast("double")
+    inside = F.lit(0) if cuts == 1 else F.least(F.floor((column.cast("double") - low) / (high - low + 1) * cuts), F.lit(cuts - 1))
+    return F.when(column.isNull(), 0).otherwise(((at - 1) * cuts + inside).cast("int"))
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WORDS, range_bytes: int = 8 << 20) -> DataFrame:
@@ -90,10 +103,9 @@ def edited_fingerprints(docs: DataFrame, k: int = K, width: int = WORDS, range_b
     next row, and the first row of each range is joined to the range before it. Texts are shuffled once.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = n_blocks(base, "text", range_bytes)
-    placed = base.withColumn("part", ranges(base, n))
+    placed = base.withColumn("part", ranges(base, min(n_blocks(base, "text", range_bytes), RANGES)))
     order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    # Heads: the smallest id of each range; their number is that of the ranges.
+    # Heads: the smallest id of each range; at most RANGES rows.
     first = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("at"))
     ring = first.withColumn("before", F.lag("part").over(Window.orderBy("part")))
     end = first.agg(F.max("part").alias("end"))
