@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, slices, word_hashes
+from tidemark.llm.common import SLICE_BYTES, mix, slices, word_hashes
 
 DISCOUNT, SMOOTH, BLOCK_BYTES = 0.75, 0.1, 4 << 20
 #: Hashes of the begin and end marks; no word's hash is expected to be one of them.
@@ -63,7 +63,8 @@ class EliasFano:
     def encode(values: np.ndarray) -> tuple[int, int, bytes, bytes]:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
-        low_bytes = max(0, (max(1, top // max(1, n)).bit_length() - 1) // 8)
+        # Whole bytes, rounded up: the unary string and the buckets stay within a few bits of an element.
+        low_bytes = min(7, ((max(1, top // max(1, n)).bit_length() - 1) + 7) // 8)
         raw = values.astype("<u8").view(np.uint8).reshape(n, 8)
         high = (values >> np.uint64(8 * low_bytes)).astype(np.int64)
         bits = np.zeros(int(high[-1]) + n + 1 if n else 1, np.uint8)
@@ -305,13 +306,26 @@ def _answer(discount: float, hot: Broadcast):
     return run
 
 
+def _tally(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and the sums of their counts."""
+    found, at = np.unique(np.concatenate(words), return_inverse=True)
+    return found, np.bincount(at, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
+
+
 def vocabulary(base: DataFrame, most: int) -> tuple[int, int, Hot]:
     """Tokens and distinct tokens of the training rows, end marks included, and the hot contexts (more than most times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [word_hashes(part)[0] for _, part in slices(batch.column("text"))]
-            found, n = np.unique(np.concatenate([*words, np.full(len(batch), END)]), return_counts=True)
+            words, counts = [np.array([END])], [np.array([len(batch)])]
+            for _, part in slices(batch.column("text")):
+                found, n = np.unique(word_hashes(part)[0], return_counts=True)
+                words.append(found)
+                counts.append(n)
+                if sum(map(len, words)) > 2 * len(words[0]) + SLICE_BYTES:  # holds distinct words, not all words of the batch
+                    found, n = _tally(words, counts)
+                    words, counts = [found], [n]
+            found, n = _tally(words, counts)
             yield pa.RecordBatch.from_pydict({"h": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     counts = base.filter("train").select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
