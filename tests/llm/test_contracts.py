@@ -175,6 +175,24 @@ def test_random_tokens_are_found(spark):
     assert found >= 0.8 * len(keys) and not any(got[i] for i in range(len(prose)))
 
 
+def random_tokens(n, length, signs="+/", seed=5):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + signs), length)) for _ in range(n)]
+
+
+def test_random_tokens_whatever_the_corpus_holds(spark):
+    """The same keys are found beside no prose, a little and a lot; names of the same length are not."""
+    keys = [k for k in random_tokens(40, 40) if sum(c.isdigit() for c in k) >= 2][:30]
+    names = [f"section{i}/chapterAboutTheHarbour{i + 1}/page{i % 7}" for i in range(10, 40)]
+    planted = [(i, f"key {k} end") for i, k in enumerate(keys)] + [(100 + i, f"see {n} there") for i, n in enumerate(names)]
+    prose = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    found = []
+    for n in (0, 3, len(prose)):
+        docs = spark.createDataFrame(planted + [(1000 + i, t) for i, t in enumerate(prose[:n])], "doc_id long, text string")
+        found.append({r["doc_id"] for r in secret_scan.find_secrets(docs).collect() if r["doc_id"] < 1000 and any(s["kind"] == 3 for s in r["spans"])})
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 0.9 * len(keys) and max(found[0]) < 100
+
+
 def test_lm_scores(spark, case):
     held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
     got, base, model = result(spark, "op7_lm_score", case), brute.base_scores(case[1], held), brute.bigram_score(case[1], held)
