@@ -193,6 +193,21 @@ def test_random_tokens_whatever_the_corpus_holds(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) >= 0.9 * len(keys) and max(found[0]) < 100
 
 
+def test_random_tokens_of_few_digits(spark):
+    """Keys without digits or with one are tested too, in mixed case and in base32; words are not found."""
+    drawn, rng = random_tokens(9000, 32), np.random.default_rng(7)
+    coded = ["".join(rng.choice(list(secret_scan.ALPHABETS["base32"]), 24)) for _ in range(2000)]
+    few = lambda tokens, n: [k for k in tokens if sum(c.isdigit() for c in k) == n][:20]
+    keys = few(drawn, 0) + few(drawn, 1) + few(coded, 1)
+    assert len(keys) == 60
+    names = ["AVERYLONGCONSTANTNAMEINTHEHARBOUR", "theNameOfTheHarbourInMixedCase", "/var/lib/harbour/market/square/dogs", "-" * 40, "Donaudampfschifffahrtsgesellschaft"]
+    docs = spark.createDataFrame(list(enumerate([f"key {k} end" for k in keys] + [f"see {n} there" for n in names])), "doc_id long, text string")
+    found = {r["doc_id"] for r in secret_scan.find_secrets(docs).collect() if any(s["kind"] == 3 for s in r["spans"])}
+    counts = [len(found & set(range(kind, kind + 20))) for kind in (0, 20, 40)]
+    assert min(counts[:2]) >= 16 and counts[2] >= 10, counts
+    assert max(found) < len(keys)
+
+
 def test_lm_scores(spark, case):
     held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
     got, base, model = result(spark, "op7_lm_score", case), brute.base_scores(case[1], held), brute.bigram_score(case[1], held)

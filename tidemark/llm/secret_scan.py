@@ -1,6 +1,6 @@
 """Secret scans: three patterns, and a battery of randomness tests over other long tokens.
 
-A candidate is a long token of letters and at least two digits that no pattern covers. Each
+A candidate is any long token that no pattern covers, except plain words (letters, lower-case after the first). Each
 one gets the smallest alphabet that explains it (hex, base32, base64) and five statistics against a uniform source over
 that alphabet: chi-squared of symbol counts and of classes (upper, lower, digits, others), the balance about the
 alphabet's middle, the runs test of classes, and the lag-one serial correlation. Their p-values combine to one score:
@@ -204,8 +204,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 found = []
                 for m in _TOKEN.finditer(text):
                     token = m.group()
-                    mixed = not token.isalpha() and any(c.isalpha() for c in token) and sum(c.isdigit() for c in token) >= 2
-                    if mixed and not any(a < m.end() and m.start() < b for _, a, b in base):
+                    plain = token[1:].islower() and token.isalpha()
+                    if not plain and not any(a < m.end() and m.start() < b for _, a, b in base):
                         at = (names.index(encoding_of(token)), _band(len(_body(token))), int(_bins(np.array([randomness(token)]))[0]))
                         found.append({"start": m.start(), "end": m.end(), "alphabet": at[0], "band": at[1], "bin": at[2]})
                 rows["base"].append([{"kind": k, "start": a, "end": b} for k, a, b in base])
