@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import re
 import zlib
 
 import duckdb
@@ -175,6 +176,22 @@ def test_random_tokens_are_found(spark):
     assert found >= 0.8 * len(keys) and not any(got[i] for i in range(len(prose)))
 
 
+def test_disclosing_terms_far_from_their_entity(spark):
+    """Every occurrence of a term is found: far off in the same document, and where its entity is not."""
+    far = " ".join(["common words go on"] * 20)
+    rows = [(i, f"common words here and Brightwater lives at a@b.org near common people {i}") for i in range(6)] + [(100 + i, f"common words about nothing at all number {i}") for i in range(200)]
+    rows += [(6, f"BRIGHTWATER said: {far} Brightwater, a@b.org, and brightwater"), (7, f"{far} by Brightwater and Brightwaters"), (7, f"{far} by Brightwater and Brightwaters"), (None, "Brightwater")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_personal(docs).collect()
+    assert len(found) == len(rows)
+    for text in {t for d, t in rows if d in (6, 7, None)}:
+        want = {(m.start(), m.end()) for m in re.finditer(r"(?i)\bbrightwater\b", text)}
+        got = [{(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4} for r in found if (r["doc_id"], text) in rows]
+        assert got == [want] * len(got) and got
+    clean = pii.sanitise_documents(docs).collect()
+    assert len(clean) == len(rows) and not any(re.search(r"(?i)\bbrightwater\b", r["text"]) for r in clean)
+
+
 def random_tokens(n, length, signs="+/", seed=5):
     rng = np.random.default_rng(seed)
     return ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + signs), length)) for _ in range(n)]

@@ -4,9 +4,11 @@ Base spans come from patterns, found with split (the gaps) and regexp_extract_al
 follow without leaving SQL. Each distinct matched value is a protected entity. For each word that stands near an
 occurrence, the corpus tells how much it discloses: the pointwise mutual information of word and entity over
 documents, as a share of the entity's own information. A word that reaches the threshold with enough documents behind
-it is a disclosing term; its occurrences near the entity become spans of kind `term` and are removed or generalised.
+it is a disclosing term; all its occurrences, near the entity or far from it and in documents without it too, become spans of
+kind `term` and are removed or generalised.
 
-Document counts of words, entities and pairs are taken over all documents; only aggregates are shuffled, never texts.
+Document counts of words, entities and pairs are taken over all documents, and terms are looked for in all of them; what
+is shuffled is aggregates, and where the documents with terms are too many to broadcast their keys, texts once.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; rows with equal doc_id
 share the spans of their own texts only (rows are keyed by id and text digest); an empty table gives no rows.
@@ -14,6 +16,8 @@ share the spans of their own texts only (rows are keyed by id and text digest);
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,14 +58,19 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """(start, text) of each match, leftmost and non-overlapping: running lengths of gaps and matches."""
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """(start, text) of each match (that is to be kept), leftmost and non-overlapping: running lengths of gaps and matches."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pair = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), found.alias("found"))
     rows = F.filter(pair, lambda p: p["found"].isNotNull())
     empty = F.array().cast("array<struct<start:int,text:string>>")
     state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    step = lambda a, p: F.struct((a["at"] + p["gap"] + F.length(p["found"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), p["found"].alias("text")))).alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        more = F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), p["found"].alias("text"))))
+        out = F.when(keep(p["found"]), more).otherwise(a["out"]) if keep else more
+        return F.struct((a["at"] + p["gap"] + F.length(p["found"])).alias("at"), out.alias("out"))
+
     return F.aggregate(rows, state, step, lambda a: a["out"])
 
 
@@ -99,6 +108,17 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, share: float = SHARE, su
     return pairs.join(entities, "entity").join(words, "term").filter((own > 0) & (mutual >= share * own)).select("entity", "term", "both")
 
 
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, hits: (start, kind, end) of every occurrence of the terms outside the base spans, for each text that holds any."""
+    keyed = docs.select(row_key().alias("key"), "text")
+    words = keyed.select("key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    held = materialise(words.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "term-keys")
+    texts = keyed.join(held, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
+    places = F.transform(matches(F.col("text"), TERM, lambda w: F.array_contains("terms", F.lower(w))), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), (m["start"] + F.length(m["text"])).alias("end")))
+    free = F.filter("places", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    return texts.select("key", places.alias("places"), base_spans(F.col("text")).alias("base")).select("key", free.alias("hits"))
+
+
 def find_personal(docs: DataFrame, near: int = NEAR, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """doc_id, key, base and spans: (start, kind, end) of the patterns, and of the patterns and disclosing terms."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -106,8 +126,8 @@ def find_personal(docs: DataFrame, near: int = NEAR, share: float = SHARE, suppo
     beside = F.flatten(F.transform("base", lambda s: _beside(F.col("text"), s, near)))
     free = F.filter(beside, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     found = materialise(first.select("doc_id", "key", "base", free.alias("near")), "personal")
-    terms = disclosing_terms(found, base, share, support)
-    hits = found.select("key", F.explode("near").alias("w")).select("key", "w.*").join(terms, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("hits"))
+    terms = materialise(disclosing_terms(found, base, share, support).select("term").distinct(), "terms")
+    hits = occurrences(base, terms)
     own = F.transform("base", lambda b: b.dropFields("text"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return found.join(hits, "key", "left").select("doc_id", "key", own.alias("base"), F.array_sort(F.concat(own, F.coalesce("hits", none))).alias("spans"))
