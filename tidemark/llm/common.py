@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words in the corpus contracts: space and 0x09-0x0D.
@@ -22,11 +22,16 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 1 << 20
 
 
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where none is configured (tests, local mode)."""
+    """The folder that driver and executors share; one is set only where none is configured and all runs in one process."""
     jsc = spark.sparkContext._jsc.sc()
     root = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():
+        if root is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidemark-shared-"))
     return root or jsc.getCheckpointDir().get()
 
@@ -36,9 +41,37 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what materialise has written from its since-th table on, but for tables that keep names by their label."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _MADE[since:] if not any(f"/{k}-" in p for k in keep)]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _MADE.remove(path)
+
+
+def made() -> int:
+    """How many tables materialise holds in the shared folder."""
+    return len(_MADE)
+
+
+def row_key() -> Column:
+    """Names a row by its id and its text, for joins that copies and repeated ids don't confuse."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, or one made longer, that is none of the table's columns (in any case of letters)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def n_blocks(df: DataFrame, column: str, block_bytes: int) -> int:
     """How many blocks of about block_bytes of text the whole table makes (one small aggregate)."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -9,12 +9,17 @@ by a hash of its own; a pair is a candidate only if it shares prefix tokens unde
    48-bit form of the hash that travels can't change the result.
 2. Prefixes. Each block joins the answers. Tokens of frequency one can't be shared and are left out, so most documents
    have no prefix left and take no further part. Equal sets become one class (aggregated before anything meets).
-3. Pages. Classes are laid out in pages of bounded size, those of equal min-hash together. Two pages meet if some
-   token is in prefixes of both under the first order and some token is under the second. One task takes one pair of
-   pages and verifies all its candidates exactly; it returns a spanning forest and counts, not pairs.
-4. Components by minimum labels with pointer jumping, each round written to the shared folder.
-
-A group larger than a page meets in several tasks, each of bounded memory; no task holds a whole group.
+3. Pages. Classes are laid out in pages of bounded size, those of equal min-hash together. Each page verifies its own
+   candidates and names the groups it finds.
+4. Neighbours. At each prefix token the pages that hold it meet the least of them, over a tree of buckets, so that a
+   group of many pages is united by a number of tasks in proportion to its pages. Only one row a pair of groups comes out.
+5. The rest. Where a token is still held by more than one component, the pages meet in all pairs that share such a
+   token under the first order and one under the second, and candidates of different components are verified. So no
+   link between two components is missed, and a component pays for its pairs only until it is one.
+6. Components by minimum labels with pointer jumping, each round written to the shared folder.
+
+Joins on keys that a third of the rows may share have a written table of distinct keys on their other side, so that
+adaptive execution splits the hot partition.
 
 Sets hold 64-bit hashes of shingles, so two different shingles are taken for one with probability about 2**-64.
 
@@ -32,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, mix, n_blocks, shingle_hashes, slices, word_hashes
+from tidemark.llm.common import fresh_name, materialise, mix, n_blocks, row_key, shingle_hashes, slices, word_hashes
 
-#: Per cent of the union, words in a shingle, bytes of text in a block, shingles in a page.
+#: Per cent of the union, words in a shingle, bytes of text in a block, weight of a page in shingles.
 PERCENT, WIDTH, BLOCK_BYTES, PAGE_TOKENS = 90, 3, 4 << 20, 100_000
+#: What a class weighs in a page beside its shingles; pages that meet at one page of a bucket, about.
+PAGE_CLASS, FAN = 100, 32
 SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -59,10 +66,11 @@ def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return joined[first], np.diff(np.append(first, len(joined)))
 
 
-def _edges(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Where each shard's range begins in sorted keys of so many bits; one more for the end."""
-    limits = [(s << bits) // shards for s in range(1, shards)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(limits, np.uint64)), [len(keys)]])
+def _runs(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that sorted 48-bit keys belong to, each once, and where each one's run begins, and the end."""
+    at = (keys >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+    return at[begin].astype(np.int64), np.append(begin, len(keys))
 
 
 def frequencies(base: DataFrame, width: int, shards: int) -> DataFrame:
@@ -70,8 +78,8 @@ def frequencies(base: DataFrame, width: int, shards: int) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         keys, counts = _keys(_sets(table["text"], width))
-        edge = _edges(keys, 48, shards)
-        rows = [(s, keys[a:b], counts[a:b]) for s, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a]
+        to, edge = _runs(keys, shards)
+        rows = [(s, keys[a:b], counts[a:b]) for s, a, b in zip(to, edge, edge[1:], strict=False)]
         return pa.table({
             "block": pa.array([table["block"][0].as_py()] * len(rows), pa.int32()), "shard": pa.array([r[0] for r in rows], pa.int32()),
             "low": pa.array([(r[1] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for r in rows], pa.binary()), "high": pa.array([(r[1] >> np.uint64(32)).astype("<u2").tobytes() for r in rows], pa.binary()),
@@ -92,8 +100,8 @@ def frequencies(base: DataFrame, width: int, shards: int) -> DataFrame:
 
 
 def prefixes(base: DataFrame, answers: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, node (names the set), first/second/third (prefix tokens shared with other sets), home (min-hash), items (the set)."""
-    schema = "doc_id long, n long, node long, first array<long>, second array<long>, third array<long>, home long, items binary"
+    """doc_id, row, n, node (names the set), first/second/third (prefix tokens shared with other sets), home (min-hash), items (the set)."""
+    schema = "doc_id long, row string, n long, node long, first array<long>, second array<long>, third array<long>, home long, items binary"
 
     def finish(docs: pa.Table, got: pa.Table) -> pa.Table:
         if not len(docs):
@@ -103,7 +111,7 @@ def prefixes(base: DataFrame, answers: DataFrame, width: int, percent: int) -> D
         order = np.argsort(got["shard"].to_numpy())
         blobs = got["codes"].to_pylist()
         code = np.frombuffer(b"".join(blobs[i] for i in order), np.uint8)
-        rows: dict[str, list] = {c: [] for c, _ in _ARROW[1:]}
+        rows: dict[str, list] = {c: [] for c, _ in _ARROW[2:]}
         for s in sets:
             n = len(s)
             own = code[np.searchsorted(keys, s >> np.uint64(16))] if n else np.empty(0, np.uint8)
@@ -124,12 +132,12 @@ def prefixes(base: DataFrame, answers: DataFrame, width: int, percent: int) -> D
                 rows[c].append(x.astype(np.int64) if live else None)
             rows["home"].append(int(mix(s ^ SALTS[1]).min().astype(np.int64)) if live else None)
             rows["items"].append(s.tobytes() if live else None)
-        return pa.table({"doc_id": docs["doc_id"]} | {c: pa.array(rows[c], t) for c, t in _ARROW[1:]})
+        return pa.table({"doc_id": docs["doc_id"], "row": docs["row"]} | {c: pa.array(rows[c], t) for c, t in _ARROW[2:]})
 
     return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
-_ARROW = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("first", "second", "third")), ("home", pa.int64()), ("items", pa.binary())]
+_ARROW = [("doc_id", pa.int64()), ("row", pa.string()), ("n", pa.int64()), ("node", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("first", "second", "third")), ("home", pa.int64()), ("items", pa.binary())]
 
 
 def _shared(lists: list[np.ndarray], exact: bool) -> np.ndarray:
@@ -157,8 +165,10 @@ def _shared(lists: list[np.ndarray], exact: bool) -> np.ndarray:
     return out if exact else (out > 0)
 
 
-def _forest(m: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    root = list(range(m))
+def _unite(names: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """(name, least name of its group) of all names that the pairs of indices bring together with a lesser one."""
+    values, at = np.unique(names, return_inverse=True)
+    root = list(range(len(values)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -166,36 +176,50 @@ def _forest(m: int, pairs: np.ndarray) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    out = []
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b:
-            root[b] = a
-            out.append((i, j))
-    return out
+    for i, j in at[pairs].tolist():
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [(int(values[i]), int(values[r])) for i in range(len(values)) if (r := find(i)) != i]
 
 
-def _verify(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids = lambda c: [np.array(v, np.int64) for v in table[c].to_pylist()]
-        n, page, node, copies = (table[c].to_numpy() for c in ("n", "page", "node", "copies"))
-        may = (page[:, None] != page[None, :]) if len(np.unique(page)) > 1 else np.ones((len(n), len(n)), bool)
-        small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-        may &= 100 * small >= percent * large
-        np.fill_diagonal(may, False)
-        for c in ("first", "second", "third"):
-            if may.any():
-                may &= _shared(ids(c), False)
-        rows, links = [], np.zeros(len(n), np.int64)
+def _linked(table: pa.Table, percent: int, may: np.ndarray) -> np.ndarray:
+    """Index pairs (i < j) of the classes that reach the threshold, among those that may: filters, then exact sizes."""
+    n = table["n"].to_numpy()
+    may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    np.fill_diagonal(may, False)
+    for c in ("first", "second", "third"):
         if may.any():
-            live = np.flatnonzero(may.any(axis=1))
-            both = _shared([np.frombuffer(table["items"][int(i)].as_py(), np.uint64) for i in live], True).astype(np.int64)
-            linked = may[np.ix_(live, live)] & (100 * both >= percent * (n[live][:, None] + n[live][None, :] - both))
-            links[live] = linked @ copies[live]
-            rows = [(int(node[live[i]]), int(node[live[j]]), 0) for i, j in _forest(len(live), np.argwhere(np.triu(linked)))]
-        rows += [(int(node[i]), int(node[i]), int(links[i])) for i in np.flatnonzero(links)]
-        columns = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "links"), columns, strict=True)})
+            may &= _shared([np.array(v, np.int64) for v in table[c].to_pylist()], False)
+    live = np.flatnonzero(may.any(axis=1))
+    if not len(live):
+        return np.empty((0, 2), np.int64)
+    both = _shared([np.frombuffer(table["items"][int(i)].as_py(), np.uint64) for i in live], True).astype(np.int64)
+    linked = may[np.ix_(live, live)] & (100 * both >= percent * (n[live][:, None] + n[live][None, :] - both))
+    return live[np.argwhere(np.triu(linked))]
+
+
+def _group_page(percent: int):
+    """The page's rows with `part`: the least node of the group that each class belongs to within the page."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table["node"].to_numpy()
+        least = dict(_unite(node, _linked(table, percent, np.ones((len(node), len(node)), bool)))) if len(node) > 1 else {}
+        return table.append_column("part", pa.array([least.get(x, x) for x in node.tolist()], pa.int64()))
+
+    return run
+
+
+def _meet(percent: int, all_pairs: bool = False):
+    """a, b of the parts that links between two pages bring together (or, for all_pairs, all linked nodes)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        page, part = table["page"].to_numpy(), table["part"].to_numpy()
+        may = (page[:, None] != page[None, :]) | (len(np.unique(page)) == 1)
+        pairs = _linked(table, percent, may if all_pairs else may & (part[:, None] != part[None, :]))
+        node = table["node"].to_numpy()
+        rows = np.sort(node[pairs], axis=1).tolist() if all_pairs else _unite(part, pairs)
+        a, b = zip(*rows, strict=True) if rows else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -215,44 +239,110 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
 
 
-def join_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, page_tokens: int = PAGE_TOKENS) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: one row for each document."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def _pages(docs: DataFrame, percent: int, width: int, block_bytes: int, page_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Every document's set by name (doc_id, n, node, ...), and the classes with prefixes in pages, grouped within each."""
+    base = docs.select("doc_id", row_key().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = n_blocks(base, "text", block_bytes)
-    base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    base = base.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     sets = materialise(prefixes(base, frequencies(base, width, blocks // 2 + 1), width, percent), "sets")
-
-    classes = sets.groupBy("node", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    live = sets.filter(F.col("items").isNotNull()).drop("doc_id").dropDuplicates(["node"]).join(classes.select("node", "copies"), "node")
+    live = sets.filter(F.col("items").isNotNull()).drop("doc_id", "row").dropDuplicates(["node"])
     live = materialise(live, "live")
-    homes = live.groupBy("home").agg(F.ceil(F.sum("n") / page_tokens).alias("pages"))
-    paged = live.join(homes, "home").withColumn("page", F.xxhash64("home", F.pmod(F.xxhash64("node"), "pages"))).drop("home", "pages")
-    paged = materialise(paged, "pages")
-
-    def meeting(column: str) -> DataFrame:
-        at = paged.select("page", F.explode(column).alias("token")).distinct()
-        a, b = at.select("token", F.col("page").alias("p")), at.select("token", F.col("page").alias("q"))
-        return a.join(b, "token").filter("p <= q").select("p", "q").distinct()
-
-    pairs = meeting("first").join(meeting("second"), ["p", "q"])
-    alone = paged.groupBy("page").count().filter("count = 1").select(F.col("page").alias("p"))
-    pairs = materialise(pairs.filter("p <> q").unionByName(pairs.filter("p = q").join(alone, "p", "left_anti")), "meetings")
-    where = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("page"))
-    found = materialise(where.join(paged, "page").groupBy("p", "q").applyInArrow(_verify(percent), "a long, b long, links long"), "links")
-
-    roots = components(found.filter("a <> b"))
-    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
-    ids = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(ids, "root").select("node", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    empty = F.col("n") == 0
-    return sets.select("doc_id", "n", "node").join(named, "node").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")
-    )
-
-
-def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """docs with one document of each component, the one of smallest id; documents without words and null ids all stay."""
-    groups = join_documents(docs, percent, width)
-    drop = groups.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    # A class weighs its tokens and PAGE_CLASS more, so a page has bounded numbers of both.
+    large = live.groupBy("home").agg(F.ceil(F.sum(F.col("n") + PAGE_CLASS) / page_tokens).alias("pages")).filter("pages > 1")
+    paged = live.join(materialise(large, "homes"), "home", "left").withColumn("page", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.coalesce("pages", F.lit(1))))).drop("home", "pages")
+    schema = "node long, n long, first array<long>, second array<long>, third array<long>, items binary, page long"
+    paged = paged.select("node", "n", "first", "second", "third", "items", "page")
+    return sets, materialise(paged.groupBy("page").applyInArrow(_group_page(percent), f"{schema}, part long"), "pages")
+
+
+def _neighbours(paged: DataFrame) -> DataFrame:
+    """Pairs of pages: at each token of the first order, each page with the least page of its bucket, over a tree of buckets."""
+    at, out = paged.select("page", F.explode("first").alias("token")).distinct(), None
+    shared = materialise(at.groupBy("token").agg(F.min("page").alias("least"), F.max("page").alias("most")).filter("least < most").select("token"), "tokens")
+    at = materialise(at.join(shared, "token"), "holders")
+    for buckets in (FAN * FAN, FAN, 1):
+        keyed = at.withColumn("bucket", F.pmod(F.xxhash64("page"), F.lit(buckets)))
+        heads = materialise(keyed.groupBy("token", "bucket").agg(F.min("page").alias("p")), "heads")
+        pairs = keyed.join(heads, ["token", "bucket"]).filter("p < page").select("p", F.col("page").alias("q")).distinct()
+        out = pairs if out is None else out.unionByName(pairs)
+        at = heads.select("token", F.col("p").alias("page"))
+    return materialise(out.distinct(), "meetings")
+
+
+def _meetings(classes: DataFrame, all_pairs: bool = False) -> DataFrame:
+    """Pairs of pages that share tokens under the first and the second order, tokens of one component left out."""
+
+    def by(column: str) -> DataFrame:
+        at = classes.select("page", "part", F.explode(column).alias("token")).groupBy("token", "page").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        if not all_pairs:
+            several = at.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y")).filter("x < y").select("token")
+            at = materialise(at.join(materialise(several, "tokens"), "token"), "holders")
+        a, b = at.select("token", F.col("page").alias("p"), F.col("low").alias("l"), F.col("high").alias("h")), at.select("token", F.col("page").alias("q"), "low", "high")
+        differ = (F.least("l", "low") < F.greatest("h", "high")) | F.lit(all_pairs)
+        return a.join(b, "token").filter((F.col("p") < F.col("q")) & differ).select("p", "q").distinct()
+
+    return materialise(by("first").join(by("second"), ["p", "q"]), "meetings")
+
+
+def _both(pairs: DataFrame, paged: DataFrame) -> DataFrame:
+    """The classes of both pages of each pair."""
+    return pairs.select("p", "q", F.explode(F.array("p", "q")).alias("page")).join(paged, "page")
+
+
+def _classes(paged: DataFrame, percent: int) -> DataFrame:
+    """node, root of every class that is linked with another one."""
+    first = materialise(_both(_neighbours(paged), paged).groupBy("p", "q").applyInArrow(_meet(percent), "a long, b long"), "links")
+    united = components(first)
+    narrow = paged.select("page", "node", "part", "first", "second").join(united.withColumnRenamed("node", "part"), "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
+    narrow = materialise(narrow, "parts")
+    # The classes of the pages that still have to meet, under the names of the components found so far.
+    named = _both(_meetings(narrow), narrow.select("page", "node", "part")).join(paged.drop("page", "part"), "node")
+    rest = components(materialise(named.groupBy("p", "q").applyInArrow(_meet(percent), "a long, b long"), "links"))
+    out = narrow.select("node", "part").join(rest.withColumnRenamed("node", "part"), "part", "left")
+    return out.select("node", F.coalesce("root", "part").alias("root"))
+
+
+def _roots(sets: DataFrame, paged: DataFrame, percent: int) -> DataFrame:
+    """node, root of every class."""
+    nodes = sets.select("node").distinct()
+    return materialise(nodes.join(_classes(paged, percent), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+
+
+def join_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, page_tokens: int = PAGE_TOKENS) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each document."""
+    sets, paged = _pages(docs, percent, width, block_bytes, page_tokens)
+    least = sets.groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = materialise(_roots(sets, paged, percent).join(least, "node"), "least")
+    ids = materialise(named.groupBy("root").agg(F.min("least").alias("component")), "ids")
+    named = materialise(named.join(ids, "root").select("node", "component"), "named")
+    of = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    return sets.select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id"))
+
+
+def link_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, page_tokens: int = PAGE_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """Every link, not only components: doc_id, node of all documents with words, and a, b of all linked pairs of
+    different sets by their nodes. Documents of one node are linked with each other; as many pairs come out as there are."""
+    sets, paged = _pages(docs, percent, width, block_bytes, page_tokens)
+    within = paged.withColumns({"p": F.col("page"), "q": F.col("page")})
+    found = _both(_meetings(paged, all_pairs=True), paged).unionByName(within).groupBy("p", "q").applyInArrow(_meet(percent, all_pairs=True), "a long, b long")
+    return sets.filter("n > 0").select("doc_id", "node"), materialise(found, "links")
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, page_tokens: int = PAGE_TOKENS) -> DataFrame:
+    """docs with one row of each component: the one of least id (null comes last). Rows without words all stay.
+
+    Rows are told apart by id and text, so rows of one id or of none keep or lose their place by their own texts; of
+    rows equal in both, one stays.
+    """
+    sets, paged = _pages(docs, percent, width, block_bytes, page_tokens)
+    rows = sets.filter("n > 0").select("doc_id", "row", "node").join(_roots(sets, paged, percent), "node")
+    rows = materialise(rows.groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    judged = rows.join(materialise(best, "best"), "root").withColumn("stays", F.col("row") == F.col("best.row"))
+    name = fresh_name(docs, "row")
+    gone = materialise(judged.filter(~F.col("stays")).select(F.col("row").alias(name)), "gone")
+    twice = materialise(judged.filter(F.col("stays") & (F.col("copies") > 1)).select(F.col("row").alias(name)), "twice")
+    out = docs.withColumn(name, row_key()).join(gone, name, "left_anti")
+    if not twice.isEmpty():
+        out = out.join(twice, name, "left_anti").unionByName(out.join(twice, name, "left_semi").dropDuplicates([name]))
+    return out.select(docs.columns)

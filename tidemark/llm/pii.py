@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, row_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The contract's patterns (a card's chain is maximal, so asking for 12 digits at once drops just shorter ones). Possessive repeats and the anchors only spare the matcher work: a match can begin inside a
@@ -133,11 +133,6 @@ def find_personal(docs: DataFrame, near: int = NEAR, share: float = SHARE, suppo
     return found.join(hits, "key", "left").select("doc_id", "key", own.alias("base"), F.array_sort(F.concat(own, F.coalesce("hits", none))).alias("spans"))
 
 
-def row_key() -> Column:
-    """Names a row by its id and its text, for joins that copies and repeated ids don't confuse."""
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-
-
 def sanitise(text: Column, spans: Column) -> Column:
     """The text with each span replaced by the name of its kind; spans that overlap become one."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
