@@ -41,8 +41,8 @@ from tidemark.llm.common import fresh_name, materialise, mix, n_blocks, row_key,
 
 #: Per cent of the union, words in a shingle, bytes of text in a block, weight of a page in shingles.
 PERCENT, WIDTH, BLOCK_BYTES, PAGE_TOKENS = 90, 3, 4 << 20, 100_000
-#: What a class weighs in a page beside its shingles; pages that meet at one page of a bucket, about.
-PAGE_CLASS, FAN = 100, 32
+#: What a class weighs in a page beside its shingles; buckets of the pages that hold a token.
+PAGE_CLASS, FAN = 100, 256
 SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -228,6 +228,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the component's smallest node) of an undirected edge table (a, b)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = materialise(both, "edges")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
@@ -256,14 +258,12 @@ def _pages(docs: DataFrame, percent: int, width: int, block_bytes: int, page_tok
 
 
 def _neighbours(paged: DataFrame) -> DataFrame:
-    """Pairs of pages: at each token of the first order, each page with the least page of its bucket, over a tree of buckets."""
+    """Pairs of pages: at each token of the first order each page with the least one of its bucket, and those with the least of all."""
     at, out = paged.select("page", F.explode("first").alias("token")).distinct(), None
-    shared = materialise(at.groupBy("token").agg(F.min("page").alias("least"), F.max("page").alias("most")).filter("least < most").select("token"), "tokens")
-    at = materialise(at.join(shared, "token"), "holders")
-    for buckets in (FAN * FAN, FAN, 1):
+    for buckets in (FAN, 1):
         keyed = at.withColumn("bucket", F.pmod(F.xxhash64("page"), F.lit(buckets)))
-        heads = materialise(keyed.groupBy("token", "bucket").agg(F.min("page").alias("p")), "heads")
-        pairs = keyed.join(heads, ["token", "bucket"]).filter("p < page").select("p", F.col("page").alias("q")).distinct()
+        heads = keyed.groupBy("token", "bucket").agg(F.min("page").alias("p"))
+        pairs = keyed.join(heads, ["token", "bucket"]).filter("p < page").select("p", F.col("page").alias("q"))
         out = pairs if out is None else out.unionByName(pairs)
         at = heads.select("token", F.col("p").alias("page"))
     return materialise(out.distinct(), "meetings")
@@ -281,7 +281,8 @@ def _meetings(classes: DataFrame, all_pairs: bool = False) -> DataFrame:
         differ = (F.least("l", "low") < F.greatest("h", "high")) | F.lit(all_pairs)
         return a.join(b, "token").filter((F.col("p") < F.col("q")) & differ).select("p", "q").distinct()
 
-    return materialise(by("first").join(by("second"), ["p", "q"]), "meetings")
+    first = materialise(by("first"), "meetings")
+    return first if first.isEmpty() else materialise(first.join(by("second"), ["p", "q"]), "meetings")
 
 
 def _both(pairs: DataFrame, paged: DataFrame) -> DataFrame:
@@ -295,28 +296,32 @@ def _classes(paged: DataFrame, percent: int) -> DataFrame:
     united = components(first)
     narrow = paged.select("page", "node", "part", "first", "second").join(united.withColumnRenamed("node", "part"), "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
     narrow = materialise(narrow, "parts")
+    pairs = _meetings(narrow)
+    out = narrow.select("node", F.col("part").alias("root"))
+    if pairs.isEmpty():
+        return out
     # The classes of the pages that still have to meet, under the names of the components found so far.
-    named = _both(_meetings(narrow), narrow.select("page", "node", "part")).join(paged.drop("page", "part"), "node")
+    named = _both(pairs, narrow.select("page", "node", "part")).join(paged.drop("page", "part"), "node")
     rest = components(materialise(named.groupBy("p", "q").applyInArrow(_meet(percent), "a long, b long"), "links"))
-    out = narrow.select("node", "part").join(rest.withColumnRenamed("node", "part"), "part", "left")
-    return out.select("node", F.coalesce("root", "part").alias("root"))
+    return out.withColumnRenamed("root", "part").join(rest.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("root", "part").alias("root"))
 
 
 def _roots(sets: DataFrame, paged: DataFrame, percent: int) -> DataFrame:
-    """node, root of every class."""
-    nodes = sets.select("node").distinct()
-    return materialise(nodes.join(_classes(paged, percent), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    """node, root, least (document id) of every class; root is null for a class that is linked with no other."""
+    found = _classes(paged, percent)
+    held = found.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
+    linked = found.join(materialise(held.select("root"), "held"), "root")
+    return materialise(sets.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left"), "roots")
 
 
 def join_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, page_tokens: int = PAGE_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each document."""
     sets, paged = _pages(docs, percent, width, block_bytes, page_tokens)
-    least = sets.groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = materialise(_roots(sets, paged, percent).join(least, "node"), "least")
-    ids = materialise(named.groupBy("root").agg(F.min("least").alias("component")), "ids")
-    named = materialise(named.join(ids, "root").select("node", "component"), "named")
+    named = _roots(sets, paged, percent)
+    ids = materialise(named.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component")), "ids")
+    named = named.filter("root IS NULL").select("node", F.col("least").alias("component")).unionByName(named.join(ids, "root").select("node", "component"))
     of = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return sets.select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id"))
+    return sets.select("doc_id", "n", "node").join(materialise(named, "named"), "node").select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id"))
 
 
 def link_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, page_tokens: int = PAGE_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +340,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_
     rows equal in both, one stays.
     """
     sets, paged = _pages(docs, percent, width, block_bytes, page_tokens)
-    rows = sets.filter("n > 0").select("doc_id", "row", "node").join(_roots(sets, paged, percent), "node")
+    rows = sets.filter("n > 0").select("doc_id", "row", "node").join(_roots(sets, paged, percent).withColumn("root", F.coalesce("root", "node")), "node")
     rows = materialise(rows.groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "rows")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     judged = rows.join(materialise(best, "best"), "root").withColumn("stays", F.col("row") == F.col("best.row"))
