@@ -1,127 +1,204 @@
 """Byte-level BPE by monoid tree reduction, and decoding up the same tree.
 
-Encoding is a homomorphism once neighbours are joined well, so a text is cut in halves down to leaves, each leaf is
-encoded alone, and two neighbours are joined by encoding anew a window around their border that grows until what lies
-outside provably stays as it is. Two proofs are used:
+A text is cut in halves down to leaves of LEAF code points. An encoded part is its list of pre-token matches with their
+tokens; two neighbours are joined by encoding anew a window around their border that grows until what lies outside
+provably stays as it is:
 
-* Between pre-token matches: no match holds white space after something else, so the place between a character that
-  isn't white space and one that is ends a match in every context, and the match after it looks only ahead. The
-  window grows on both sides to such places.
-* Inside one long match (a run of letters, digits, signs or white space over LONG bytes): a token sequence is the BPE
-  encoding of its bytes exactly when each adjacent pair is the encoding of that pair's bytes. The window grows until
-  the pairs at both of its borders are.
+* On the left a match stays once LOOK code points follow it, for no match looks farther past its own end.
+* On the right the matches stay from the first place on at which a match of the window and one of the right part begin
+  alike, for a match depends only on where it begins and what follows. The window takes in more of the right part's
+  matches, twice as many at each step, until there is such a place.
+
+Inside one match the same is done with bytes: a match is cut in halves down to WORD bytes, which are merged by rank, and
+a sequence of tokens is the encoding of its bytes exactly when each adjacent pair is the encoding of that pair's bytes.
+So a window of tokens around the border is merged anew and grows until the pairs at both of its ends are stable. A match that goes on over the
+border of two parts is joined from the tokens of both, so a run of letters of any length costs each level a window only.
+
+Tokens of short matches are remembered in a memo of bounded size, which changes no result.
 
 Defined results: null and empty texts have no tokens; text of any length is encoded whole; repeated rows each keep
-theirs; special strings are ordinary text.
+theirs; special strings are ordinary text; rows of null doc_id keep it; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
-#: Code points in a leaf of the text tree, first window beside a border, and bytes from which one match is cut itself.
-LEAF, WINDOW, LONG = 4096, 64, 2048
-#: White space as the pattern's \s has it (fixed values).
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
-_UNBROKEN = re.compile(f"[^{WHITE}]{{{LONG // 4},}}|[{WHITE}]{{{LONG // 4},}}")
+#: Code points in a leaf of a text, bytes in a leaf of a match; code points that a match may look past its end; matches
+#: and tokens in a first window; tokens in a decoded leaf; matches remembered, and the code points of the longest of them.
+LEAF, WORD, LOOK, MATCHES, TOKENS, DECODED, MEMO, SHORT = 256, 16, 3, 2, 2, 256, 400_000, 48
+_NEVER = 1 << 60
+Ids = tuple[int, ...]
 
 
 class ByteBpe:
-    """One vocabulary: ranks by byte string and the pattern of its pre-token matches."""
+    """One vocabulary: ranks by byte string and the pattern of its pre-token matches. windows counts what was encoded anew."""
 
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.longest = max(map(len, self.ranks))
+        self.matches = regex.compile(pattern).findall
+        self.windows = 0
+        self._memo: dict[str, Ids] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._merged: dict[Ids, Ids] = {}
 
     # Text tree.
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LEAF:
-            return self._leaf(text)
-        half = len(text) // 2
-        left, right = text[:half], text[half:]
-        return self.join_texts(left, self.encode(left), right, self.encode(right))
-
-    def join_texts(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
-        """Encodes the border anew from the last safe place in left to the first in right; tokens outside stay."""
-        width = WINDOW
+        return list(chain.from_iterable(self._part(text, 0, len(text))[1]))
+
+    def _part(self, text: str, a: int, b: int) -> tuple[list[int], list[Ids]]:
+        """Lengths and tokens of the matches of text[a:b]."""
+        if b - a <= LEAF:
+            found = self.matches(text[a:b])
+            ids = list(map(self._memo.get, found))
+            if None in ids:
+                ids = [self.word(p) if known is None else known for p, known in zip(found, ids, strict=True)]
+            return list(map(len, found)), ids
+        middle = (a + b) // 2
+        return self._join_parts(text, middle, self._part(text, a, middle), self._part(text, middle, b))
+
+    def _join_parts(self, text: str, border: int, left: tuple[list[int], list[Ids]], right: tuple[list[int], list[Ids]]) -> tuple[list[int], list[Ids]]:
+        """The monoid's product on texts: the matches of both parts together."""
+        self.windows += 1
+        keep, begin = len(left[0]), border
+        while keep and border - begin < LOOK:
+            keep -= 1
+            begin -= left[0][keep]
+        last, take, end, held = left[1][-1:], 0, border, MATCHES
         while True:
-            a, b = max(0, len(left) - width), min(len(right), width)
-            starts = [m.start() for m in _CUT.finditer(left, a)]
-            ends = [m.start() for m in _CUT.finditer(right, 0, b)]
-            if (starts or a == 0) and (ends or b == len(right)):
+            for size in right[0][take:held]:
+                end += size
+            take = min(held, len(right[0]))
+            found = self.matches(text[begin:end])
+            upto, skip = self._meeting(found, begin - border, right[0][:take], take == len(right[0]))
+            if upto >= 0:
                 break
-            width *= 2
-        p, q = starts[-1] if starts else 0, ends[0] if ends else len(right)
-        keep, skip = len(left_ids), 0
-        spare = len(left[p:].encode())
-        while spare > 0:
-            keep -= 1
-            spare -= len(self.bytes_of[left_ids[keep]])
-        spare = len(right[:q].encode())
-        while spare > 0:
-            spare -= len(self.bytes_of[right_ids[skip]])
-            skip += 1
-        return left_ids[:keep] + self._leaf(left[p:] + right[:q]) + right_ids[skip:]
-
-    def _leaf(self, text: str) -> list[int]:
-        if not _UNBROKEN.search(text):
-            return self.library.encode_ordinary(text)
-        out: list[int] = []
-        for m in self.pattern.finditer(text):
-            out += self._piece(m.group().encode())
-        return out
+            held *= 2
+        over = left[0][-1] + right[0][0] if last and right[0] else -1
+        at, ids = begin, []
+        for piece in found[:upto]:
+            # A match made of the left part's last and the right part's first is joined from their tokens.
+            joined = len(piece) == over and at == border - left[0][-1]
+            ids.append(self._match(piece, last[0], right[1][0]) if joined else self.word(piece))
+            at += len(piece)
+        del left[0][keep:], left[1][keep:]
+        left[0].extend(map(len, found[:upto]))
+        left[0].extend(right[0][skip:])
+        left[1].extend(ids)
+        left[1].extend(right[1][skip:])
+        return left
+
+    @staticmethod
+    def _meeting(found: list[str], at: int, sizes: list[int], whole: bool) -> tuple[int, int]:
+        """How many matches of the window, and of the right part's first ones, lie before the first place where both
+        begin a match and LOOK code points follow (or all, if the window holds the whole right part); -1 without one."""
+        end, begin, skip = sum(sizes), 0, 0
+        for upto, piece in enumerate(found):
+            while skip < len(sizes) and begin < at:
+                begin += sizes[skip]
+                skip += 1
+            if at >= 0 and at == begin and (whole or at + LOOK <= end):
+                return upto, skip
+            at += len(piece)
+        return (len(found), len(sizes)) if whole else (-1, 0)
+
+    def word(self, piece: str) -> Ids:
+        """Tokens of one match."""
+        ids = self._memo.get(piece)
+        if ids is None:
+            data = piece.encode()
+            ids = (self.ranks[data],) if data in self.ranks else self._bytes(data)
+            self._remember(piece, ids)
+        return ids
+
+    def _match(self, piece: str, left: Ids, right: Ids) -> Ids:
+        if len(piece) <= self.longest and (data := piece.encode()) in self.ranks:
+            return (self.ranks[data],)
+        return self.join(left, right)
+
+    def _remember(self, piece: str, ids: Ids) -> None:
+        if len(piece) <= SHORT:
+            if len(self._memo) >= MEMO:
+                self._memo.clear()
+            self._memo[piece] = ids
 
     # Byte tree inside one match.
-    def _merge(self, piece: bytes) -> list[int]:
-        return [self.ranks[piece]] if piece in self.ranks else self.library._core_bpe.encode_single_piece(piece)
-
-    def _piece(self, piece: bytes) -> list[int]:
-        if len(piece) <= LONG:
-            return self._merge(piece)
-        half = len(piece) // 2
-        return self.join(self._piece(piece[:half]), self._piece(piece[half:]))
+    def _bytes(self, data: bytes) -> Ids:
+        if len(data) <= WORD:
+            return self.merge(data)
+        middle = len(data) // 2
+        return self.join(self._bytes(data[:middle]), self._bytes(data[middle:]))
+
+    def merge(self, data: bytes) -> Ids:
+        """Merges neighbours by rank, the lowest and leftmost first, until none is in the vocabulary."""
+        rank, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank(data[i : i + 2], _NEVER) for i in range(len(data) - 1)]
+        while pairs and (low := min(pairs)) < _NEVER:
+            at = pairs.index(low)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], _NEVER)
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], _NEVER)
+        return tuple(map(self.ranks.__getitem__, parts))
 
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their bytes are encoded together."""
-        if (pair := (left, right)) not in self._pairs:
-            if len(self._pairs) > 1 << 18:
+        known = self._pairs.get((left, right))
+        if known is None:
+            if len(self._pairs) >= MEMO:
                 self._pairs.clear()
-            self._pairs[pair] = self._merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        return self._pairs[pair]
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The monoid's product: the encoding of both byte strings together."""
-        if not left or not right or self.stable(left[-1], right[0]):
-            return left + right
-        width = 4
-        while True:
-            a, b = max(0, len(left) - width), min(len(right), width)
-            window = self._merge(b"".join(self.bytes_of[t] for t in left[a:] + right[:b]))
-            if (a == 0 or self.stable(left[a - 1], window[0])) and (b == len(right) or self.stable(window[-1], right[b])):
-                return left[:a] + window + right[b:]
-            width *= 2
+            known = self._pairs[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == (left, right)
+        return known
+
+    def join(self, left: Ids, right: Ids) -> Ids:
+        """The monoid's product inside a match: the encoding of both byte strings together.
+
+        The window moves over the right part's tokens until the pair at its right end is stable; where the pair at its
+        left end isn't, it grows to the left.
+        """
+        out, at = list(left), 0
+        while at < len(right) and out and not self.stable(out[-1], right[at]):
+            width, end = TOKENS, min(at + TOKENS, len(right))
+            while True:
+                begin = max(0, len(out) - width)
+                window = self._window((*out[begin:], *right[at:end]))
+                if begin == 0 or self.stable(out[begin - 1], window[0]):
+                    break
+                width *= 2
+            out[begin:] = window
+            at = end
+        return (*out, *right[at:])
+
+    def _window(self, tokens: Ids) -> Ids:
+        known = self._merged.get(tokens)
+        if known is None:
+            self.windows += 1
+            if len(self._merged) >= MEMO:
+                self._merged.clear()
+            known = self._merged[tokens] = self.merge(b"".join([self.bytes_of[t] for t in tokens]))
+        return known
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of halves, concatenated up the tree."""
-        if len(ids) <= LEAF:
-            return self.library.decode_bytes(ids)
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        if len(ids) <= DECODED:
+            return b"".join([self.bytes_of[t] for t in ids])
+        middle = len(ids) // 2
+        return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
 @lru_cache(4)
@@ -130,7 +207,7 @@ def vocabulary(rank_file: str, pattern: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = True) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit; left out unless keep_ids), n_tokens, ids_sha256, decoded_sha256, exact.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, exact, and ids (binary, little-endian unsigned 32-bit; unless keep_ids is off).
 
     A map over the documents: nothing is shuffled. exact says whether decoding gave the text's bytes again.
     """
