@@ -28,6 +28,33 @@ def spans(patterns: dict[str, str], text: str) -> tuple[list[int], str]:
     return [sum(k == i for _, k, _ in found) for i in range(len(names))], hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(found)).encode()).hexdigest()
 
 
+def places(patterns: dict[str, str], text: str | None) -> list[tuple[int, int]]:
+    return [(m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text or "") if kept(k, m)]
+
+
+def disclosing(texts: list[str], share: float, support: int) -> set[str]:
+    """Words that give that share of the information of some matched value, from the sets of documents of both."""
+    import math
+    from collections import defaultdict
+
+    of_word, of_value = defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        for w in re.findall(r"[^\W_]{2,}", t.lower()):
+            of_word[w].add(i)
+        for k, p in PII.items():
+            for m in re.finditer(p, t):
+                if kept(k, m):
+                    of_value[k, m[0]].add(i)
+    out = set()
+    for e in of_value.values():
+        own = math.log2(len(texts) / len(e))
+        for w, d in of_word.items():
+            both = len(e & d)
+            if len(e) >= support and own > 0 and both >= max(2, support) and own + math.log2((both - 1) / (len(d) - 1)) >= share * own - 1e-9:
+                out.add(w)
+    return out
+
+
 def words(text: str) -> list[str]:
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     return re.findall(r"[^\x20\x09-\x0D]+", lower)

@@ -1,17 +1,21 @@
 """Personal data: four patterns, and an information-theoretic search for terms that give protected entities away.
 
 Base spans come from patterns, found with split (the gaps) and regexp_extract_all (the matches), so that positions
-follow without leaving SQL. Each distinct matched value is a protected entity. For each word that stands near an
-occurrence, the corpus tells how much it discloses: the pointwise mutual information of word and entity over
-documents, as a share of the entity's own information. A word that reaches the threshold with enough documents behind
-it is a disclosing term; all its occurrences, near the entity or far from it and in documents without it too, become spans of
-kind `term` and are removed or generalised.
-
-Document counts of words, entities and pairs are taken over all documents, and terms are looked for in all of them; what
-is shuffled is aggregates, and where the documents with terms are too many to broadcast their keys, texts once.
+follow without leaving SQL. Each distinct matched value is a protected entity. For each word of the documents that hold
+it, wherever it stands, the corpus tells how much it discloses: the pointwise mutual information of word and entity over
+documents, as a share of the entity's own information. The document that brings word and entity together is no evidence
+for it, so it is left out: a word of T documents, `both` of them with an entity of E among N documents, discloses it if
+(both - 1) / (T - 1) is at least (E / N) ** (1 - share), a bound that follows the corpus. A word that reaches it with enough documents behind it is a disclosing term; all its occurrences, near the entity or far
+from it and in documents without it too, become spans of kind `term` and are removed or generalised.
+
+Document counts of words and entities are taken over all documents, and terms are looked for in all of them; what is
+shuffled is aggregates, and where the documents with terms are too many to broadcast their keys, texts once. Entities
+that stand in just the same documents are one class, and so are words, as nothing in the counts tells them apart; pairs
+are counted between classes, so a list of many entities, copied to many documents, is one class and not all pairs.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; rows with equal doc_id
-share the spans of their own texts only (rows are keyed by id and text digest); an empty table gives no rows.
+share the spans of their own texts only (rows are keyed by id and text digest); an empty table gives no rows; extra
+columns are ignored by the finders and kept by sanitise_documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, row_key
+from tidemark.llm.common import fresh_name, materialise, row_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The contract's patterns (a card's chain is maximal, so asking for 12 digits at once drops just shorter ones). Possessive repeats and the anchors only spare the matcher work: a match can begin inside a
@@ -34,10 +38,9 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to match at all.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Code points beside an occurrence in which words are looked at; share of an entity's information that a term must
-#: give; documents that must show the pair.
-NEAR, SHARE, SUPPORT = 60, 0.8, 3
-TERM = r"\p{L}{4,}"
+#: Share of an entity's information that a term must give, and documents that must show the pair.
+SHARE, SUPPORT = 0.95, 2
+TERM = r"[\p{L}\p{N}]{2,}"
 
 
 def luhn(digits: Column) -> Column:
@@ -86,32 +89,44 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_spans_of(i, name, text) for i, name in enumerate(PATTERNS))))
 
 
-def _beside(text: Column, span: Column, near: int) -> Column:
-    """(entity, term, start, end) of the whole words within near code points of a span."""
-    entity = F.xxhash64(span["kind"], span["text"])
-    lead = F.greatest(span["start"] - near, F.lit(0))
-    left, right = F.substr(text, lead + 1, span["start"] - lead), F.substr(text, span["end"] + 1, F.lit(near))
-    whole_left = F.filter(matches(left, TERM), lambda m: (m["start"] > 0) | (lead == 0))
-    whole_right = F.filter(matches(right, TERM), lambda m: (m["start"] > 0) & (m["start"] + F.length(m["text"]) < near))
-    at = lambda words, offset: F.transform(words, lambda m: F.struct(entity.alias("entity"), F.lower(m["text"]).alias("term"), (offset + m["start"]).alias("start"), (offset + m["start"] + F.length(m["text"])).alias("end")))
-    return F.concat(at(whole_left, lead), at(whole_right, span["end"]))
+def terms_of(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def _classes(held: DataFrame, name: str, least: int, most: Column | None = None) -> DataFrame:
+    """name, n, class of the values (held: key, name) that stand in least documents or more: equal document sets are one class."""
+    counted = held.groupBy(name).agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("of")).filter(F.col("n") >= least)
+    return (counted if most is None else counted.filter(F.col("n") <= most)).select(name, "n", F.xxhash64("of", "n").alias("class"))
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """entity, term, both: the pairs whose word gives at least that share of the entity's information."""
-    total = docs.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["kind"], b["text"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).filter(F.col("with_term") >= support)
-    own = F.log2(F.lit(float(total)) / F.col("with_entity"))
-    mutual = F.log2(F.lit(float(total)) * F.col("both") / (F.col("with_entity").cast("double") * F.col("with_term")))
-    return pairs.join(entities, "entity").join(words, "term").filter((own > 0) & (mutual >= share * own)).select("entity", "term", "both")
+    """term: the words that give at least that share of some entity's information. found: key, base, words; docs: text."""
+    support = max(support, 2)
+    total, none = docs.count(), docs.sparkSession.createDataFrame([], "term string")
+    held = found.select("key", F.explode(F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["kind"], b["text"])))).alias("entity")).distinct()
+    entities = materialise(_classes(held, "entity", support), "entities")
+    widest = entities.agg(F.max("n")).first()[0]
+    if widest is None or widest >= total:
+        return none
+    # Rarer than this, or the share can't be reached with any entity.
+    most = F.lit(1 + widest * (total / widest) ** (1 - share))
+    words = docs.select(row_key().alias("key"), F.explode(terms_of(F.col("text"))).alias("term"))
+    terms = materialise(_classes(words, "term", support, most), "words")
+    of_entity = held.join(entities, "entity").select("key", F.col("class").alias("a"), F.col("n").alias("na")).distinct()
+    with_words = found.filter(F.col("words").isNotNull()).select("key", "words").dropDuplicates(["key"]).join(of_entity.select("key").distinct(), "key", "left_semi")
+    of_term = with_words.select("key", F.explode("words").alias("term")).join(terms, "term").select("key", F.col("class").alias("b"), F.col("n").alias("nb")).distinct()
+    pairs = of_entity.join(of_term, "key").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
+    own = F.log2(F.lit(float(total)) / F.col("na"))
+    mutual = own + F.log2((F.col("both") - 1) / (F.col("nb") - 1))
+    chosen = pairs.filter((own > 0) & (mutual >= share * own)).select(F.col("b").alias("class")).distinct()
+    return terms.join(chosen, "class", "left_semi").select("term")
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """key, hits: (start, kind, end) of every occurrence of the terms outside the base spans, for each text that holds any."""
     keyed = docs.select(row_key().alias("key"), "text")
-    words = keyed.select("key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    words = keyed.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     held = materialise(words.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "term-keys")
     texts = keyed.join(held, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
     places = F.transform(matches(F.col("text"), TERM, lambda w: F.array_contains("terms", F.lower(w))), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), (m["start"] + F.length(m["text"])).alias("end")))
@@ -119,18 +134,17 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return texts.select("key", places.alias("places"), base_spans(F.col("text")).alias("base")).select("key", free.alias("hits"))
 
 
-def find_personal(docs: DataFrame, near: int = NEAR, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+def find_personal(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """doc_id, key, base and spans: (start, kind, end) of the patterns, and of the patterns and disclosing terms."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     first = base.select("doc_id", row_key().alias("key"), "text", base_spans(F.col("text")).alias("base"))
-    beside = F.flatten(F.transform("base", lambda s: _beside(F.col("text"), s, near)))
-    free = F.filter(beside, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    found = materialise(first.select("doc_id", "key", "base", free.alias("near")), "personal")
-    terms = materialise(disclosing_terms(found, base, share, support).select("term").distinct(), "terms")
-    hits = occurrences(base, terms)
+    found = materialise(first.select("doc_id", "key", "base", F.when(F.size("base") > 0, terms_of(F.col("text"))).alias("words")), "personal")
+    terms = materialise(disclosing_terms(found, base, share, support), "terms")
     own = F.transform("base", lambda b: b.dropFields("text"))
+    if terms.isEmpty():
+        return found.select("doc_id", "key", own.alias("base"), own.alias("spans"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return found.join(hits, "key", "left").select("doc_id", "key", own.alias("base"), F.array_sort(F.concat(own, F.coalesce("hits", none))).alias("spans"))
+    return found.join(occurrences(base, terms), "key", "left").select("doc_id", "key", own.alias("base"), F.array_sort(F.concat(own, F.coalesce("hits", none))).alias("spans"))
 
 
 def sanitise(text: Column, spans: Column) -> Column:
@@ -148,8 +162,9 @@ def sanitise(text: Column, spans: Column) -> Column:
 
 def sanitise_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with texts sanitised; other columns as they are (n_chars, where there, is counted anew)."""
-    found = find_personal(docs, **options).select("key", "spans").dropDuplicates(["key"])
-    joined = docs.withColumn("key", row_key()).join(found, "key", "left")
-    clean = F.when(F.size("spans") > 0, sanitise(F.coalesce("text", F.lit("")), F.col("spans"))).otherwise(F.col("text"))
+    key, spans = fresh_name(docs, "key"), fresh_name(docs, "spans")
+    found = find_personal(docs, **options).filter(F.size("spans") > 0).select(F.col("key").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+    joined = docs.withColumn(key, row_key()).join(found, key, "left")
+    clean = F.when(F.col(spans).isNotNull(), sanitise(F.coalesce("text", F.lit("")), F.col(spans))).otherwise(F.col("text"))
     out = joined.withColumn("text", clean).select(docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -1,7 +1,7 @@
 """Secret scans: three patterns, and a battery of randomness tests over other long tokens.
 
 A candidate is any long token that no pattern covers, except plain words (letters, lower-case after the first). Each
-one gets the smallest alphabet that explains it (hex, base32, base64) and five statistics against a uniform source over
+one gets the smallest alphabet that explains it (hex in small or capital letters, base32, base64) and five statistics against a uniform source over
 that alphabet: chi-squared of symbol counts and of classes (upper, lower, digits, others), the balance about the
 alphabet's middle, the runs test of classes, and the lag-one serial correlation. Their p-values combine to one score:
 how far the token is from being rejected as random. What a score means depends on length and alphabet, so the null is
@@ -38,7 +38,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Alphabets by name (fixed values).
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABETS = {"hex": "0123456789abcdef", "capital_hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: Lower ends of the length bands, bins of the score, and the share of false discoveries allowed.
 BANDS, BINS, RATE = (20, 24, 32, 40, 64, 128), 256, 0.01
 _CODES = {n: np.array([a.find(chr(c)) for c in range(128)]) for n, a in ALPHABETS.items()}
@@ -163,7 +163,10 @@ def null_shares() -> np.ndarray:
     names = [" ".join(w.capitalize() for w in s.split() if len(w) > 2) for s in prose]
     # Every third word or so is followed by a number of one to four digits.
     numbered = [" ".join(w + (f" {v % 10 ** (1 + v % 4)}" if v < 10_000 else "") for w, v in zip(s.split(), rng.integers(0, 30_000, len(s)).tolist(), strict=False)) for s in prose]
+    # Few letters of a string are left in capital hex, so several are joined there.
+    joined = ["".join(prose[(i + j) % len(prose)] + numbered[(i + j) % len(prose)] for j in range(5)) for i in range(len(prose))]
     written = {
+        "capital_hex": [[re.sub("[^A-F0-9]", "", s.upper()) for s in joined], [re.sub("[^A-F]", "", s.upper()) for s in joined]],
         "base32": [[re.sub("[^A-Z2-7]", "", s.upper()) for s in prose]],
         "base64": [[s.replace(" ", sign) for s in way] for way in (prose, names) for sign in ("", "+", "/")] + [[s.replace(" ", sign) for s in numbered] for sign in ("", "+")] + [[s.upper().replace(" ", sign) for s in prose] for sign in ("+", "/")],
     }
