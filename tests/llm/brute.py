@@ -128,3 +128,22 @@ def edit_distance_inside(item: str, text: str) -> int:
         for j, d in enumerate(text, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
     return min(row)
+
+
+def edit_distance_anywhere(item: str, text: str) -> int:
+    """The same for long texts: one column a code point of the text, kept as bits of two numbers."""
+    n = len(item)
+    full, last, place = (1 << n) - 1, 1 << (n - 1), {}
+    for i, c in enumerate(item):
+        place[c] = place.get(c, 0) | 1 << i
+    up, down, cost, best = full, 0, n, n
+    for c in text:
+        eq = place.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | ~(x | up) & full, up & x
+        cost += bool(plus & last) - bool(minus & last)
+        plus, minus = plus << 1, minus << 1
+        eq |= down
+        up, down = (minus | ~(eq | plus)) & full, plus & eq
+        best = min(best, cost)
+    return best

@@ -199,7 +199,7 @@ def test_disclosing_terms_against_a_plain_version(spark):
     want = brute.disclosing([t or "" for _, t in docs], pii.SHARE, pii.SUPPORT)
     found = {(r["doc_id"], tuple((s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4)) for r in pii.find_personal(frame).collect()}
     plain = {(d, tuple((m.start(), m.end()) for m in re.finditer(r"[^\W_]{2,}", t or "") if m[0].lower() in want and not any(a < m.end() and m.start() < b for a, b in brute.places(brute.PII, t)))) for d, t in docs}
-    assert {"zorblatt0", "zorblatt1", "zorblatt2"} <= want and found == plain
+    assert {"zorblatt1", "zorblatt2"} <= want and "zorblatt0" not in want and found == plain
 
 
 def test_random_tokens_are_found(spark):
@@ -233,7 +233,7 @@ def test_random_tokens_planted_in_given_documents(spark):
 def test_disclosing_terms_far_from_their_entity(spark):
     """Every occurrence of a term is found: far off in the same document, and where its entity is not."""
     far = " ".join(["common words go on"] * 20)
-    rows = [(i, f"common words here and Brightwater lives at a@b.org near common people {i % 2}") for i in range(10, 40)] + [(100 + i, f"common words about nothing at all number {i}") for i in range(1000)]
+    rows = [(i, f"common words here and Brightwater lives at a@b.org near common people {i % 2}") for i in range(10, 40)] + [(100 + i, f"common words and nothing at all number {i}") for i in range(1000)]
     rows += [(6, f"BRIGHTWATER said: {far} Brightwater, a@b.org, and brightwater"), (7, f"{far} by Brightwater and Brightwaters"), (7, f"{far} by Brightwater and Brightwaters"), (None, "Brightwater")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii.find_personal(docs).collect()
@@ -325,12 +325,45 @@ def test_leaks(spark):
         assert brute.edit_distance_inside(item, part) == r["edits"]
 
 
+def test_leaks_of_short_items_and_repeated_rows(spark):
+    """Short items match word for word only; equal rows and rows of no id each get theirs; blocks change nothing."""
+    items = spark.createDataFrame([(1, "six times seven?"), (2, "forty-two"), (3, "日本語 の 問題"), (4, "!?"), (5, None), (6, "Forty two"), (7, "the quick brown fox jumps over the lazy dog and runs")], "item_id long, text string")
+    rows = [(1, "What is SIX times, seven"), (1, "What is SIX times, seven"), (None, "forty two"), (2, "fortytwo; forty twos"), (3, "日本語 の 問題"), (4, None), (5, ""), (6, "the quick brown fox jumps over the lazy dog and ran forty two"), (6, "clean")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row int, `end` string")
+    want = sorted([(1, 1), (1, 1), (-1, 2), (-1, 6), (3, 3), (6, 7), (6, 2), (6, 6)])
+    for size in (4_000_000, 10):
+        got = decontamination.find_leaks(docs, items, block_chars=size).collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"]) for r in got) == want
+        left = decontamination.decontaminate(docs, items, block_chars=size)
+        assert left.columns == docs.columns and sorted((r["doc_id"], r["text"] or "") for r in left.collect()) == [(2, "fortytwo; forty twos"), (4, ""), (5, ""), (6, "clean")]
+    assert not decontamination.find_leaks(docs, items.limit(0)).collect() and decontamination.decontaminate(docs, items.limit(0)).count() == len(rows)
+
+
+def test_leaks_against_full_alignment(spark):
+    """Edited items in given documents: just those within the budget of edits, by alignment of every pair in full."""
+    rng = np.random.default_rng(23)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()][:12]
+    docs = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect():
+        text, (_, item) = r["text"] or "", items[r["doc_id"] % len(items)]
+        letters = list(item)
+        for _ in range(int(len(item) * rng.choice([0, 0.02, 0.05, 0.06, 0.08, 0.12]))):
+            at = int(rng.integers(len(letters)))
+            letters[at : at + 1] = rng.choice(["", "q", "zz"])
+        at = int(rng.integers(len(text) + 1))
+        docs.append((r["doc_id"], f"{text[:at]} {''.join(letters)} {text[at:]}"))
+    bare = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    want = {(d, i) for d, t in docs for i, item in items if (n := brute.edit_distance_anywhere(bare(item), bare(t))) <= int(len(bare(item)) * decontamination.EDITS)}
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and 20 < len(want) < 60
+
+
 def test_leaks_of_the_small_table(spark):
     """Items that stand in documents word for word are all found."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     bare = lambda t: " ".join("".join(c.lower() if c.isalnum() else " " for c in t or "").split())
-    want = {(d["doc_id"], i["item_id"]) for d in docs for i in items if len(bare(i["text"])) >= decontamination.MIN_CHARS and f" {bare(i['text'])} " in f" {bare(d['text'])} "}
+    want = {(d["doc_id"], i["item_id"]) for d in docs for i in items if f" {bare(i['text'])} " in f" {bare(d['text'])} "}
     got = {(r["doc_id"], r["item_id"]) for r in registry.QUERIES["op1_decontamination"](spark, SF).collect()}
     assert want <= got and len(got - want) <= len(want) + 2
 

@@ -6,24 +6,33 @@ within k diagonals of each other. So the shared q-grams are counted in bands of
 half (w is at least k + 1, hence each occurrence lies whole within one band); bands that reach the item's bound become
 regions, and a banded alignment, free at the text's ends, verifies each one. Regions are aligned in batches.
 
-Items are the small side. They go to the executors in blocks of a bounded number of code points, so what is broadcast
-has a fixed size; more items mean more passes over the documents, not larger broadcasts.
+Items of fewer than SHORT reduced code points have no edits to spare: they are found word for word, with whole words at
+both ends, by the hash of their whole length (the lemma with q the item's length and a band of one diagonal).
 
-Defined results: null and empty texts match nothing; items of fewer than MIN_CHARS reduced code points are too short
-to tell and match nothing; equal items each match; repeated rows each get theirs; extra columns are ignored.
+Items are the small side. They go to the executors in blocks of a bounded number of code points, so what is held by the
+driver, broadcast and indexed has a fixed size; more items mean more passes over the documents, each of which is written
+before the next block is read. A worker keeps the index of the block that it searches, whatever number of tasks it runs.
+
+Defined results: null and empty texts match nothing, items without a letter or digit match nothing; equal items each
+match; repeated rows each get theirs and rows of null doc_id keep it; an empty table of documents or items gives no
+matches; extra columns are ignored by find_leaks and kept by decontaminate, which judges each row by its own text.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidemark.llm.common import materialise
 
-#: q-gram length, edits allowed as a share of an item's length, shortest item, items' code points in a block.
-Q, EDITS, MIN_CHARS, BLOCK_CHARS = 8, 0.06, 40, 4_000_000
+#: q-gram length, edits allowed as a share of an item's length, length below which none are, items' code points in a block.
+Q, EDITS, SHORT, BLOCK_CHARS = 8, 0.06, 40, 4_000_000
 #: Code points that one pass over documents holds, and regions aligned at once.
 SLICE_CHARS, ALIGN = 1 << 20, 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +86,28 @@ def qgrams(x: np.ndarray, q: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _STEP
 
 
+class _Short:
+    """Items of one short length, by the hash of the whole."""
+
+    def __init__(self, n: int, rows: list[tuple[int, np.ndarray]]):
+        h = np.array([qgrams(c, n)[0] for _, c in rows])
+        order = np.argsort(h, kind="stable")
+        self.n, self.keys, self.rows = n, h[order], [rows[i] for i in order]
+
+    def find(self, reduced: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) of each occurrence with whole words at both ends."""
+        if len(reduced) < self.n:
+            return
+        h = qgrams(reduced, self.n)
+        low, high = np.searchsorted(self.keys, h), np.searchsorted(self.keys, h, "right")
+        for at in np.flatnonzero(low < high):
+            end = at + self.n
+            if reduced[at - 1] in (32, _PAD) and (end == len(reduced) or reduced[end] in (32, _PAD)):
+                for item, code in self.rows[low[at] : high[at]]:
+                    if (reduced[at:end] == code).all():
+                        yield int(np.searchsorted(first, at, "right")) - 1, item, int(at), int(end)
+
+
 class Items:
     """The q-gram index of a block of items."""
 
@@ -85,12 +116,17 @@ class Items:
         reduced, _, first = reduce_texts([t for _, t in rows])
         ends = np.append(first[1:], len(reduced))
         self.ids, self.codes = [], []
+        short: dict[int, list[tuple[int, np.ndarray]]] = {}
         for (item, _), a, b in zip(rows, first, ends, strict=True):
             code = reduced[a + 1 : b]
             code = code[:-1] if len(code) and code[-1] == 32 else code
-            if len(code) >= MIN_CHARS:
+            code = code[1:] if len(code) and code[0] == 32 else code
+            if len(code) >= SHORT:
                 self.ids.append(item)
                 self.codes.append(code)
+            elif len(code):
+                short.setdefault(len(code), []).append((item, code))
+        self.short = {n: _Short(n, rows) for n, rows in short.items()}
         size = np.array([len(c) for c in self.codes], np.int64)
         self.size, self.k = size, np.floor(size * edits).astype(np.int64)
         self.bound = np.maximum(1, size + 1 - q - self.k * q)
@@ -180,65 +216,96 @@ class Items:
             yield int(text[j]), int(item[j]), int(origin[j, pick[j]]), int(end[j, pick[j]]), int(cost[j, pick[j]])
 
 
-def _chunks(ids: list, texts: list[str]):
+    def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item, start, end, edits) of each region found in the texts, as code points of the row's text."""
+        for row, part in _chunks(texts):
+            reduced, places, first = reduce_texts(part)
+            begins = np.cumsum([0] + [len(t) + 1 for t in part])
+            found = {(t, self.ids[i], a, b, e) for t, i, a, b, e in self.align(reduced, first, *self.regions(reduced, first))}
+            for short in self.short.values():
+                found |= {(t, item, a, b, 0) for t, item, a, b in short.find(reduced, first)}
+            for t, item, a, b, e in sorted(found):
+                yield row + t, item, int(places[a] - begins[t] - 1), int(places[b - 1] - begins[t]), e
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     a = total = 0
     for b, t in enumerate(texts):
         if b > a and total + len(t) > SLICE_CHARS:
-            yield ids[a:b], texts[a:b]
+            yield a, texts[a:b]
             a, total = b, 0
         total += len(t)
     if a < len(texts):
-        yield ids[a:], texts[a:]
+        yield a, texts[a:]
+
+
+#: The index that this worker searches, by the name of its block.
+_HELD: dict[str, Items] = {}
+
+
+class _Block:
+    """A block of items as the executors see it."""
+
+    def __init__(self, spark: SparkSession, rows: list[tuple[int, str]], q: int, edits: float):
+        self.rows, self.q, self.edits, self.name = spark.sparkContext.broadcast(rows), q, edits, uuid.uuid4().hex
+
+    def items(self) -> Items:
+        if self.name not in _HELD:
+            _HELD.clear()
+            _HELD[self.name] = Items(self.rows.value, self.q, self.edits)
+        return _HELD[self.name]
+
+
+_FOUND = "doc_id long, item_id long, start long, `end` long, edits long"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, start, end (code points of the text, end exclusive), edits: one row for each region found."""
-    out = None
-    for block in item_blocks(benchmark, block_chars):
-        found = docs.select("doc_id", "text").mapInArrow(_searcher(block, q, edits), "doc_id long, item_id long, start long, `end` long, edits long")
+    """doc_id, item_id, start, end (code points of the text, end exclusive), edits: one row for each region found in each row."""
+
+    def searched(block: _Block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                rows = [(ids[t], *rest) for t, *rest in block.items().search([t or "" for t in batch.column("text").to_pylist()])]
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "end", "edits"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+
+    out, spark = None, docs.sparkSession
+    for rows, last in item_blocks(benchmark, block_chars):
+        found = searched(_Block(spark, rows, q, edits))
+        found = found if last else materialise(found, "leaks")
         out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates(["doc_id", "item_id", "start", "end", "edits"]) if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, `end` long, edits long")
+    return out if out is not None else spark.createDataFrame([], _FOUND)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item: a filter over whole rows, nothing is shuffled."""
+
+    def kept(out: DataFrame, block: _Block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                clean[[t for t, *_ in block.items().search([t or "" for t in batch.column("text").to_pylist()])]] = False
+                yield batch.filter(pa.array(clean))
+
+        return out.mapInArrow(run, StructType(list(out.schema.fields)))
+
+    for rows, last in item_blocks(benchmark, block_chars):
+        docs = kept(docs, _Block(docs.sparkSession, rows, q, edits))
+        docs = docs if last else materialise(docs, "clean")
+    return docs
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most block_chars code points (or one item), one block at a time on the driver."""
+def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Items in blocks of at most block_chars code points (or one item), and whether it's the last: one block at a time on the driver."""
     block, held = [], 0
     for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
         if block and held + len(r["text"]) > block_chars:
-            yield block
+            yield block, False
             block, held = [], 0
         block.append((r["item_id"], r["text"]))
         held += len(r["text"])
     if block:
-        yield block
-
-
-def _searcher(block: list[tuple[int, str]], q: int, edits: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(block, q, edits)
-        for batch in batches:
-            rows = []
-            ids = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for part_ids, part in _chunks(ids, texts):
-                reduced, places, first = reduce_texts(part)
-                text, item, low = items.regions(reduced, first)
-                if not len(text):
-                    continue
-                begins = np.cumsum([len(t) + 1 for t in part]) - [len(t) + 1 for t in part]
-                seen = set()
-                for t, i, a, b, e in items.align(reduced, first, text, item, low):
-                    at = (part_ids[t], items.ids[i], int(places[a] - begins[t] - 1), int(places[b - 1] - begins[t]), e)
-                    if at not in seen:
-                        seen.add(at)
-                        rows.append(at)
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "end", "edits"])
-
-    return run
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a benchmark item (rows of a null doc_id stay)."""
-    leaks = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+        yield block, True
