@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
+import zoneinfo
 from collections.abc import Mapping
 
 import pandas as pd
@@ -36,14 +36,18 @@ def provider_channel(provider: Column) -> Column:
     return F.coalesce(lookup(vocab.PROVIDER_CHANNELS, provider), F.lit("unknown"))
 
 
-def media_channel(source: Column) -> Column:
-    """Organic is a channel of its own; a source of no known network is unknown."""
-    bare = F.lower(F.trim(F.coalesce(source, F.lit("organic"))))
-    return F.when(bare.isin("", "organic"), "organic").otherwise(provider_channel(lookup(vocab.MEDIA_SOURCE_PROVIDERS, bare)))
+def media_channel(raw: Column) -> Column:
+    """The channel of a raw source, by its normal form. Organic is a channel of its own; a source of no known network is unknown."""
+    source = F.coalesce(media_source(raw), F.lit("organic"))
+    return F.when(source == "organic", "organic").otherwise(provider_channel(lookup(vocab.MEDIA_SOURCE_PROVIDERS, source)))
+
+
+def is_paid_channel(channel: Column) -> Column:
+    return channel.isin(*sorted(set(vocab.PROVIDER_CHANNELS.values())))
 
 
 def sources_of_channel(channel: str) -> list[str]:
-    """The sources that media_channel puts into a channel, for isin filters."""
+    """The normal forms of sources that belong to a channel, for isin filters."""
     if channel == "organic":
         return ["organic"]
     return sorted(s for s, p in vocab.MEDIA_SOURCE_PROVIDERS.items() if vocab.PROVIDER_CHANNELS[p] == channel)
@@ -51,17 +55,15 @@ def sources_of_channel(channel: str) -> list[str]:
 
 def platform(raw: Column) -> Column:
     bare = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
-    return (
-        F.when(bare.rlike(r"(^|[^a-z])i(os|phone|pad|pod)"), "ios")
-        .when(bare.contains("android"), "android")
-        .when(bare.rlike("web|desktop|browser"), "web")
-        .otherwise("unknown")
-    )
+    found = F.lit("unknown")
+    for name, pattern in reversed(vocab.PLATFORM_PATTERNS.items()):
+        found = F.when(bare.rlike(pattern), name).otherwise(found)
+    return found
 
 
 # Names.
 def _nfkc(names: pd.Series) -> pd.Series:
-    return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+    return names.str.normalize("NFKC")
 
 
 def name_key(name: Column, compatibility: bool = False) -> Column:
@@ -177,13 +179,58 @@ def worst_freshness(status: Column) -> Column:
     return F.min_by(status, lookup(_WORST, status))
 
 
+def worst_of(statuses: Column) -> Column:
+    """The worst state of an array; states that don't apply are passed over (all of them: null)."""
+    rank = F.array_min(F.array_compact(F.transform(statuses, lambda s: lookup(_WORST, s))))
+    return F.element_at(F.array(*map(F.lit, _WORST)), rank + 1)
+
+
+def pct(part: Column, whole: Column) -> Column:
+    """Per cent to one place, half up; null unless the whole is positive."""
+    return F.when(whole > 0, rounded(part / whole * 100, 1))
+
+
+def stable_id(*parts: Column) -> Column:
+    """The first 32 hex digits of the SHA-256 of the parts joined by bars; a null part is empty."""
+    return F.substr(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"), 256), F.lit(1), F.lit(32))
+
+
+def inputs_hash(fields: Mapping[str, Column]) -> Column:
+    """SHA-256 of the fields as one JSON object in their order, nulls written out."""
+    return F.sha2(F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def merged_set(a: Column, b: Column) -> Column:
+    """Both lists' values, each once, in order; a null list is empty."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
+
+
+def reporting_window(now: Column, zone: Column, days: int = 7) -> Column:
+    """(from, to): the last days up to today in the zone; a zone that isn't known counts as UTC."""
+    known = F.coalesce(F.upper(zone).isin(*(z.upper() for z in zoneinfo.available_timezones())), F.lit(False))
+    today = F.to_date(F.from_utc_timestamp(now, F.when(known, zone).otherwise("UTC")))
+    return F.struct(F.date_sub(today, days - 1).alias("from"), today.alias("to"))
+
+
+def key_window(key: Column) -> Column:
+    """(from, to) of a window key written from..to; a part that is no date is null."""
+    part = lambda n: F.try_to_date(F.split_part(key, F.lit(".."), F.lit(n)), "yyyy-MM-dd")
+    return F.struct(part(1).alias("from"), part(2).alias("to"))
+
+
+def covers(first: Column, last: Column, day: Column) -> Column:
+    """Whether an interval holds the day; a null end is open."""
+    return (first.isNull() | (first <= day)) & (last.isNull() | (last >= day))
+
+
 def attribution_note(status: Column, confidence: Column, children: Column) -> Column:
-    """What a campaign's best mapping lets a reader conclude from its attribution columns."""
+    """What a campaign's best mapping lets a reader conclude from its attribution columns; null where there's nothing to add."""
+    several = F.coalesce(children, F.lit(0)) > 1
+    sure = F.coalesce(confidence, F.lit(0.0)) >= vocab.OPERATIONAL_CONFIDENCE
     return (
-        F.when(status.isNull() | (status == "unmatched"), "not_mapped")
-        .when(status == "rejected", "rejected")
-        .when(status == "ambiguous", "ambiguous")
-        .when((status == "matched_fallback") & (confidence < vocab.OPERATIONAL_CONFIDENCE), "low_confidence")
-        .when(children > 1, "several_children")
-        .otherwise("mapped")
+        F.when(status.isin(*vocab.AUTHORITATIVE), F.when(several, "several_children"))
+        .when(status == "matched_fallback", F.when(~sure, "low_confidence").when(several, "embedded_name_several_children").otherwise("embedded_name"))
+        .when(status.isin("ambiguous", "unmatched", "rejected"), status)
+        .otherwise("not_computed")
     )

@@ -66,9 +66,7 @@ def timeseries(delivery: DataFrame, installs: DataFrame, revenue: DataFrame) ->
 
 def channels(installs: DataFrame) -> DataFrame:
     """Installs by channel of their normalised source."""
-    source = F.lower(F.trim("media_source"))
-    channel = F.when(scalars.is_organic(F.col("media_source")), "organic").otherwise(scalars.media_channel(F.regexp_replace(source, r"[\s-]+", "_")))
-    return installs.groupBy(channel.alias("channel")).agg(F.sum("installs").alias("installs"))
+    return installs.groupBy(scalars.media_channel(F.col("media_source")).alias("channel")).agg(F.sum("installs").alias("installs"))
 
 
 def checksum(facts: DataFrame, groups: int = 4096) -> DataFrame:

@@ -10,25 +10,34 @@ from tidemark.functions import scalars
 from tidemark.operators import populations
 
 
-def campaign_table(delivery: DataFrame, mappings: DataFrame, installs: DataFrame, revenue: DataFrame) -> DataFrame:
+def campaign_table(delivery: DataFrame, mappings: DataFrame, installs: DataFrame, revenue: DataFrame, directory: DataFrame | None = None) -> DataFrame:
     """One row for each delivered campaign: delivery sums, best mapping, and its children's installs and revenue.
 
     Installs and revenue are summed by attribution campaign before they meet the mapping's edges, so several children
-    add up and nothing is counted twice; they show only where the best mapping is operational.
+    add up and nothing is counted twice; they show only where the best mapping is operational, and are null where no
+    row reports any. Organic rows belong to no campaign. directory: campaign, name, status (several rows a campaign are
+    folded to the greatest of each). total_count is the number of rows before any page is cut.
     """
+    paid = ~scalars.is_organic(F.col("media_source"))
     sums = delivery.groupBy("campaign").agg(F.sum("spend").alias("spend"), F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.max("report_date").alias("last_day"))
     links = mappings.filter(populations.authoritative() | (F.col("status") == "matched_fallback")).filter("target IS NOT NULL").select("source", "target").distinct()
-    taken = installs.groupBy("campaign").agg(F.sum("installs").alias("installs"))
-    earned = revenue.groupBy("campaign").agg(F.sum("revenue").alias("revenue"))
+    taken = installs.filter(paid).groupBy("campaign").agg(F.sum("installs").alias("installs"), F.max("install_date").alias("last_install_day"))
+    earned = revenue.filter(paid).groupBy("campaign").agg(F.sum("revenue").alias("revenue"))
     children = (
         links.join(taken, links["target"] == taken["campaign"], "left").drop("campaign").join(earned, F.col("target") == earned["campaign"], "left")
-        .groupBy("source").agg(F.count("*").alias("children"), F.sum("installs").alias("installs"), F.sum("revenue").alias("revenue"))
+        .groupBy("source").agg(F.count("*").alias("children"), F.array_sort(F.collect_list("target")).alias("targets"), F.sum("installs").alias("installs"), F.sum("revenue").alias("revenue"), F.max("last_install_day").alias("last_install_day"))
     )
-    best = populations.best_mapping(mappings).select(F.col("source").alias("campaign"), "status", "confidence", populations.operational().alias("shown"))
+    best = populations.best_mapping(mappings).select(F.col("source").alias("campaign"), "target", "status", "method", "confidence", populations.operational().alias("shown"))
     rows = sums.join(best, "campaign", "left").join(children.withColumnRenamed("source", "campaign"), "campaign", "left")
-    shown = lambda c: F.when(F.col("shown"), F.coalesce(c, F.lit(0)))
+    if directory is not None:
+        rows = rows.join(directory.groupBy("campaign").agg(F.max("name").alias("name"), F.max("status").alias("campaign_status")), "campaign", "left")
+    else:
+        rows = rows.withColumns({"name": F.lit(None).cast("string"), "campaign_status": F.lit(None).cast("string")})
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total_count"))))
+    shown = lambda c: F.when(F.col("shown"), c)
     return rows.select(
-        "campaign", F.col("spend").cast("double").alias("spend"), "impressions", "clicks", "last_day", F.coalesce("status", F.lit("unmatched")).alias("mapping_status"), F.coalesce("children", F.lit(0)).alias("children"),
+        "campaign", "name", "campaign_status", F.col("spend").cast("double").alias("spend"), "impressions", "clicks", "last_day", F.coalesce("status", F.lit("not_computed")).alias("mapping_status"), F.col("method").alias("mapping_method"),
+        F.col("confidence").alias("mapping_confidence"), F.col("target").alias("attribution_campaign"), F.coalesce("children", F.lit(0)).alias("children"), F.array_join(F.coalesce("targets", F.array().cast("array<string>")), ",").alias("targets"), "last_install_day", "total_count",
         shown(F.col("installs")).alias("installs"), shown(F.col("revenue")).cast("double").alias("revenue"),
         scalars.ratio(F.col("clicks"), F.col("impressions"), vocab.MIN_IMPRESSIONS).alias("ctr"), scalars.ratio(F.col("spend").cast("double") * 1000, F.col("impressions"), vocab.MIN_IMPRESSIONS).alias("cpm"),
         scalars.ratio(F.col("spend"), F.col("clicks"), vocab.MIN_CLICKS).alias("cpc"), scalars.ratio(F.col("spend"), shown(F.col("installs")), vocab.MIN_INSTALLS).alias("cpi"),

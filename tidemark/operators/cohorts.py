@@ -10,6 +10,10 @@ from tidemark.functions import scalars
 from tidemark.operators import metrics, populations
 
 
+#: What makes two cohort rows of different revenue types the same cohort.
+IDENTITY = ["install_date", "age", "media_source", "campaign", "country", "platform", "currency"]
+
+
 def horizon(installs: DataFrame, revenue: DataFrame) -> DataFrame:
     """as_of: the earlier of both streams' last days; null unless both report."""
     days = installs.select(F.lit("installs").alias("s"), F.col("install_date").alias("d")).unionByName(revenue.select(F.lit("revenue").alias("s"), F.col("event_date").alias("d")))
@@ -23,14 +27,17 @@ def covered_days(windows: DataFrame) -> DataFrame:
 
 
 def with_maturity(facts: DataFrame, windows: DataFrame, as_of: Column) -> DataFrame:
-    """facts (install_date, age) with matured (old enough), covered (read late enough) and mature (both)."""
+    """facts (install_date, age) with matured (old enough), covered (a run read the day late enough), read_after (the row
+    itself was read late enough; facts without read_on leave that to the runs) and mature (all three)."""
+    read = F.coalesce(F.col("read_on") > F.date_add("install_date", F.col("age").cast("int")), F.lit(False)) if "read_on" in facts.columns else F.lit(True)
     days = covered_days(windows).select(F.col("day").alias("install_date"), "finished")
     ready = F.date_add("install_date", F.col("age").cast("int"))
     return (
         facts.join(days, "install_date", "left")
         .withColumn("matured", F.coalesce(ready < as_of, F.lit(False)))
         .withColumn("covered", F.coalesce(F.col("finished") > ready, F.lit(False)))
-        .withColumn("mature", F.col("matured") & F.col("covered"))
+        .withColumn("read_after", read)
+        .withColumn("mature", F.col("matured") & F.col("covered") & F.col("read_after"))
         .drop("finished")
     )
 
@@ -54,16 +61,16 @@ def aligned_days(delivery: DataFrame, mappings: DataFrame) -> DataFrame:
 
 def slices(cohorts: DataFrame, windows: DataFrame, mappings: DataFrame, delivery: DataFrame, as_of: Column) -> DataFrame:
     """Revenue by age and slice (iap, ad, total): mature, organic, mapped, aligned, immature and early-read sums."""
-    rows = with_maturity(cohorts, windows, as_of).withColumn("organic", scalars.is_organic(F.col("media_source")))
+    rows = with_maturity(without_doubled_totals(cohorts, IDENTITY), windows, as_of).withColumn("organic", scalars.is_organic(F.col("media_source")))
     rows = populations.flag(populations.flag(rows, populations.linked_targets(mappings), "mapped"), aligned_days(delivery, mappings), "aligned")
     both = F.array_distinct(F.array("revenue_type", F.lit("total")))
     mature = F.col("mature")
     sums = {
         "mature": mature, "mature_organic": mature & F.col("organic"), "mature_mapped": mature & ~F.col("organic") & F.col("mapped"),
-        "aligned": mature & ~F.col("organic") & F.col("aligned"), "immature": ~F.col("matured"), "early_read": F.col("matured") & ~F.col("covered"),
+        "aligned": mature & ~F.col("organic") & F.col("aligned"), "mature_unmapped": mature & ~F.col("organic") & ~F.col("mapped"), "immature": ~F.col("matured"), "early_read": F.col("matured") & ~F.col("read_after"),
     }
     sliced = rows.select("*", F.explode(both).alias("slice")).groupBy("age", "slice")
-    return sliced.agg(*(F.coalesce(F.sum(F.when(c, F.col("revenue"))), F.lit(0)).cast("double").alias(n) for n, c in sums.items()), F.count_distinct(F.when(mature, F.col("currency"))).alias("currencies"))
+    return sliced.agg(*(F.coalesce(F.sum(F.when(c, F.col("revenue"))), F.lit(0)).cast("double").alias(n) for n, c in sums.items()), F.count_distinct(F.when(mature, F.col("currency"))).alias("currencies"), F.count_distinct(F.when(sums["aligned"], F.col("currency"))).alias("aligned_currencies"), F.count_if(sums["early_read"]).alias("early_read_rows"))
 
 
 def install_maturity(installs: DataFrame, windows: DataFrame, as_of: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import vocab
+from tidemark.functions import scalars
 
 
 def last_written(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -107,9 +108,14 @@ def merge_freshness(stored: DataFrame, seen: DataFrame, keys: list[str]) -> Data
 def open_errors(errors: DataFrame, runs: DataFrame) -> DataFrame:
     """Errors that no later completed window settles.
 
-    A retryable error goes once one window holds its own; another only by a window equal to it. Windows become days,
-    so the join is by key: an error is held by a run whose window has its first day, if that window ends late enough.
+    A retryable error goes once one window holds its own; another only by a window equal to it. An error without a
+    window goes with a later run that is complete (runs: complete; all of them where the column lacks). Windows become
+    days, so the join is by key: an error is held by a run whose window has its first day, if that window ends late enough.
     """
+    done = runs.filter("complete") if "complete" in runs.columns else runs
+    last = done.agg(F.max("finished").alias("last"))
+    whole = F.col("from_date").isNull() & F.coalesce(F.col("last") > F.col("occurred"), F.lit(False))
+    errors = errors.crossJoin(F.broadcast(last)).filter(~whole).drop("last")
     days = runs.select(F.explode(F.sequence("from_date", "to_date")).alias("day"), F.col("from_date").alias("run_from"), F.col("to_date").alias("run_to"), "finished")
     retryable = F.col("error_class").isin(*vocab.RETRYABLE_ERRORS)
     inside = F.col("run_to") >= F.col("to_date")
@@ -119,12 +125,75 @@ def open_errors(errors: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def save_version(table: DataFrame, root: str, version: int) -> str:
-    """Writes a version in a folder of its own; readers see it once Spark's success marker is there."""
-    path = f"{root}/version={version:010d}"
-    table.write.mode("errorifexists").parquet(path)
+    """Writes a version in a folder of its own; readers see it once Spark's success marker is there.
+
+    A folder without the marker is what a write that failed has left, and is written anew; a complete version stays as it is.
+    """
+    path, spark = f"{root}/version={version:010d}", table.sparkSession
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+        table.write.mode("overwrite").parquet(path)
     return path
 
 
+def drop_versions(spark: SparkSession, root: str, keep: int = 3) -> int:
+    """Deletes all complete versions but the newest keep; how many went."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(s.getPath().getName() for s in fs.listStatus(top) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(top) else []
+    old = done[: max(0, len(done) - max(1, keep))]
+    for name in old:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(top, name), True)
+    return len(old)
+
+
+def restate_days(stored: DataFrame, written: DataFrame, day: str, keys: list[str], measures: list[str]) -> DataFrame:
+    """The rows of the days that a write touches, merged: all that a table partitioned by day has to write anew."""
+    touched = stored.join(written.select(day).distinct(), day, "left_semi")
+    return merge_facts(touched, written, keys, measures)
+
+
+def backfill_parent(facts: DataFrame, dimension: DataFrame, keys: list[str], parent: str) -> DataFrame:
+    """facts whose parent id is filled from the dimension by the keys where it is null; one that is there stays."""
+    known = dimension.groupBy(*keys).agg(F.max(parent).alias("_parent"))
+    return facts.join(known, keys, "left").withColumn(parent, F.coalesce(parent, "_parent")).drop("_parent")
+
+
+def append_checkpoint(runs: DataFrame, finished: DataFrame) -> DataFrame:
+    """runs (run, windows: array of keys, data_windows: array of structs) with the windows that finished, each once, in order of arrival.
+
+    finished: run, position, window, data_window (null if the window held no data).
+    """
+    rows = F.array_sort(F.collect_list(F.struct("position", "window", "data_window")))
+    more = finished.groupBy("run").agg(rows.alias("more"))
+    fresh = F.filter(F.coalesce("more", F.array()), lambda m: ~F.array_contains(F.coalesce("windows", F.array().cast("array<string>")), m["window"]))
+    joined = runs.join(more, "run", "left").withColumn("more", F.when(F.col("more").isNotNull(), fresh))
+    windows = F.array_distinct(F.concat(F.coalesce("windows", F.array().cast("array<string>")), F.coalesce(F.transform("more", lambda m: m["window"]), F.array().cast("array<string>"))))
+    data = F.when(F.col("more").isNull(), F.col("data_windows")).otherwise(F.concat("data_windows", F.filter(F.transform("more", lambda m: m["data_window"]), lambda w: w.isNotNull())))
+    return joined.select(*[c for c in runs.columns if c not in ("windows", "data_windows")], windows.alias("windows"), data.alias("data_windows"))
+
+
+def new_sources(stored: DataFrame, facts: DataFrame) -> DataFrame:
+    """Directory rows (source, normal, organic) of the raw sources that the facts hold and the directory lacks: insert only."""
+    named = facts.select(F.trim("media_source").alias("source")).filter("source <> ''").distinct()
+    fresh = named.join(stored.select("source"), "source", "left_anti")
+    return fresh.select("source", scalars.media_source(F.col("source")).alias("normal"), scalars.is_organic(F.col("source")).alias("organic"))
+
+
+def put_policies(stored: DataFrame, written: DataFrame, removed: DataFrame) -> DataFrame:
+    """One policy an app: a written one replaces the stored one whole, and those of removed apps go."""
+    kept = stored.join(written.select("app"), "app", "left_anti").unionByName(written)
+    return kept.join(removed.select("app"), "app", "left_anti")
+
+
+def capability_of(capabilities: DataFrame) -> DataFrame:
+    """The row that counts for each connection and capability: the account's own before the connection's, then the newest."""
+    best = F.max_by(F.struct("account", "supported", "seen"), F.struct(F.col("account").isNotNull(), F.col("seen"), F.coalesce("account", F.lit(""))))
+    return capabilities.groupBy("connection", "capability").agg(best.alias("b")).select("connection", "capability", "b.*")
+
+
 def latest_version(spark: SparkSession, root: str) -> tuple[int, DataFrame] | None:
     """Number and rows of the newest complete version."""
     jvm = spark.sparkContext._jvm

@@ -39,7 +39,7 @@ class Filters:
 
     def _of_channel(self, facts: DataFrame) -> DataFrame:
         if "media_source" in facts.columns:
-            return facts.filter(scalars.is_organic(F.col("media_source")) if self.channel == "organic" else scalars.media_channel(F.lower("media_source")) == self.channel)
+            return facts.filter(scalars.media_channel(F.col("media_source")) == self.channel)
         # A delivery row of a network that doesn't serve the channel contradicts the filter.
         return facts.filter(scalars.provider_channel(F.col("provider")) == self.channel) if "provider" in facts.columns else facts
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import vocab
 from tidemark.functions import scalars
 from tidemark.operators import populations
 
@@ -29,12 +30,24 @@ def resolve_remote(attribution: DataFrame, campaigns: DataFrame, ad_groups: Data
     return direct.join(parents, "remote_id", "left").select("target", F.coalesce("parent", "source").alias("source")).filter("source IS NOT NULL")
 
 
-def reconcile(campaigns: DataFrame, attribution: DataFrame, decided: DataFrame | None = None, ad_groups: DataFrame | None = None) -> DataFrame:
+def candidates(attribution: DataFrame, expected_source: str | None = None) -> DataFrame:
+    """The attribution campaigns that may be matched, by their media source."""
+    if "media_source" not in attribution.columns:
+        return attribution
+    source = scalars.media_source(F.col("media_source"))
+    paid = attribution.filter(~scalars.is_organic(F.col("media_source")))
+    return paid if expected_source is None else paid.filter(source == expected_source)
+
+
+def reconcile(campaigns: DataFrame, attribution: DataFrame, decided: DataFrame | None = None, ad_groups: DataFrame | None = None, expected_source: str | None = None) -> DataFrame:
     """source, target, status, method, confidence for every marketing campaign (several rows where several children match).
 
-    campaigns: campaign, name. attribution: campaign, name, remote_id. decided: source, of campaigns that a human has
-    settled; they are left alone. A target that an identifier resolves to another campaign is no candidate by name.
+    campaigns: campaign, name. attribution: campaign, name, remote_id and, where known, media_source. decided: source, of
+    campaigns that a human has settled; they are left alone. A target that an identifier resolves to another campaign is
+    no candidate by name. Organic rows are unpaid traffic and no candidates; nor, where a source is expected, are those
+    of another one.
     """
+    attribution = candidates(attribution, expected_source)
     own = campaigns.join(decided.select(F.col("source").alias("campaign")).distinct(), "campaign", "left_anti") if decided is not None else campaigns
     remote = resolve_remote(attribution, campaigns, ad_groups)
     by_remote = _edges(remote.join(own.select(F.col("campaign").alias("source")), "source"), "matched_exact", "remote_id", 1.0, 1)
@@ -71,17 +84,17 @@ def reverse(attribution: DataFrame, campaigns: DataFrame) -> DataFrame:
     by_id = attribution.join(campaigns.select("campaign").distinct().withColumn("same", F.lit(True)), "campaign", "left")
     names = campaigns.select(scalars.name_key(F.col("name")).alias("key"), "campaign").filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("uses"), F.min("campaign").alias("named"))
     rows = by_id.withColumn("key", scalars.name_key(F.col("name"))).join(names, "key", "left")
-    organic = F.coalesce(scalars.media_source(F.col("name")) == "organic", F.lit(False))
+    organic = scalars.is_organic(F.col("media_source")) if "media_source" in attribution.columns else F.lit(False)
     status = F.when(organic, "not_applicable").when(F.col("same"), "matched_exact").when(F.col("uses") == 1, "matched_fallback").when(F.col("uses") > 1, "ambiguous").otherwise("unmatched")
     source = F.when(organic, None).when(F.col("same"), F.col("campaign")).when(F.col("uses") == 1, F.col("named"))
     return rows.select(F.col("campaign").alias("target"), source.alias("source"), status.alias("status"))
 
 
 def health(coverage: DataFrame) -> DataFrame:
-    """check_key and severity of a coverage row: spend_coverage (per cent), unmapped_installs, ambiguous, historical."""
+    """check_key and severity of a coverage row: spend, spend_coverage (per cent), unmapped_installs, ambiguous, historical."""
     checks = (
-        (F.col("spend_coverage") < 80, "mapping.low_spend_coverage", "error"), (F.col("unmapped_installs") > 0, "mapping.unmapped_installs", "warning"),
-        (F.col("ambiguous") > 0, "mapping.ambiguous_campaigns", "warning"), (F.col("historical") > 0, "mapping.historical_campaigns", "info"),
+        ((F.col("spend") > 0) & (F.coalesce("spend_coverage", F.lit(0)) < vocab.COVERAGE_FLOOR), "reconciliation.current_period_spend_unmapped", "error"), (F.col("unmapped_installs") > 0, "reconciliation.paid_installs_unmapped", "warning"),
+        (F.col("ambiguous") > 0, "reconciliation.ambiguous_campaigns", "warning"), (F.col("historical") > 0, "reconciliation.historical_campaigns_without_activity", "info"),
     )
     made = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(k).alias("check_key"), F.lit(s).alias("severity"))) for c, k, s in checks)))
     return coverage.select(F.inline(made))

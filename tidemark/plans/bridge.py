@@ -5,6 +5,9 @@ Everything is deterministic and has no clock. Money is DECIMAL(20,6), counts are
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 _PLACE = """CASE CAST(floor(user_id / 12) AS BIGINT) % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' ELSE 'DE' END AS country,
@@ -26,18 +29,40 @@ VIEWS: dict[str, str] = {
     CASE WHEN event_type = 'purchase' THEN 'iap' ELSE 'ad' END AS revenue_type, CASE WHEN user_id % 12 = 11 THEN 'EUR' ELSE 'USD' END AS currency,
     CAST(sum(CAST(value AS DECIMAL(20,6))) AS DECIMAL(20,6)) AS revenue
     FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2, 3, 4, 5, 6, 7""",
-    "cohorts": f"""SELECT install_date, 'a' || CAST(user_id % 12 AS STRING) AS campaign, {_PLACE}, {_SOURCE}, CAST(age AS INT) AS age,
+    "cohorts": f"""WITH base AS (SELECT install_date, 'a' || CAST(user_id % 12 AS STRING) AS campaign, {_PLACE}, {_SOURCE}, CAST(age AS INT) AS age,
     CASE WHEN event_type = 'purchase' THEN 'iap' ELSE 'ad' END AS revenue_type, CASE WHEN user_id % 12 = 11 THEN 'EUR' ELSE 'USD' END AS currency,
     CAST(sum(CAST(value AS DECIMAL(20,6))) AS DECIMAL(20,6)) AS revenue
     FROM events JOIN ({_FIRST}) f ON user_id = id JOIN (SELECT 1 AS age UNION ALL SELECT 7) g ON CAST(ts AS DATE) BETWEEN install_date AND install_date + age
-    WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2, 3, 4, 5, 6, 7, 8""",
-    "mappings": """SELECT source, target, status, method, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES
-    ('c0', 'a0', 'matched_exact', 'stable_id', 1.0), ('c0', 'a9', 'matched_fallback', 'name', 0.9), ('c1', 'a1', 'matched_confident', 'remote_id', 0.98),
-    ('c2', 'a2', 'manually_verified', 'manual', 1.0), ('c3', 'a3', 'matched_fallback', 'name', 0.9), ('c4', 'a4', 'matched_fallback', 'name', 0.5),
-    ('c5', 'a5', 'ambiguous', 'name', 0.25), ('c6', 'a6', 'rejected', 'manual', 0.0), ('c7', NULL, 'unmatched', 'none', 0.0), ('c8', 'a8', 'matched_exact', 'stable_id', 1.0),
-    ('c10', 'a10', 'matched_exact', 'stable_id', 1.0), ('c10', 'a8', 'matched_fallback', 'name', 0.9), ('c11', 'a11', 'matched_confident', 'remote_id', 0.98)) AS m(source, target, status, method, confidence)""",
-    "coverage": """SELECT CAST(a AS DATE) AS from_date, CAST(b AS DATE) AS to_date, CAST(c AS DATE) AS finished FROM (VALUES
-    ('2024-01-01', '2024-01-05', '2024-01-31'), ('2024-01-04', '2024-01-08', '2024-01-06'), ('2024-01-07', '2024-01-09', '2024-01-20')) AS w(a, b, c)""",
+    WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+    whole AS (SELECT install_date, campaign, country, platform, media_source, age, 'total' AS revenue_type, currency, CAST(sum(revenue) AS DECIMAL(20,6)) AS revenue
+    FROM base WHERE country = 'GB' OR (campaign = 'a3' AND country = 'DE') GROUP BY 1, 2, 3, 4, 5, 6, 8)
+    SELECT *, CAST(install_date + age + CASE WHEN CAST(day(install_date) AS INT) % 9 = 0 THEN 0 ELSE 2 END AS DATE) AS read_on
+    FROM (SELECT * FROM base WHERE NOT (campaign = 'a3' AND country = 'DE') UNION ALL SELECT * FROM whole) x""",
+    "mappings": """SELECT 'c' || CAST(n AS STRING) AS source, CASE WHEN n <> 7 THEN 'a' || CAST(n AS STRING) END AS target,
+    CASE n WHEN 1 THEN 'matched_confident' WHEN 2 THEN 'manually_verified' WHEN 3 THEN 'matched_fallback' WHEN 4 THEN 'matched_fallback' WHEN 5 THEN 'ambiguous' WHEN 6 THEN 'rejected' WHEN 7 THEN 'unmatched' WHEN 11 THEN 'matched_confident' ELSE 'matched_exact' END AS status,
+    CASE n WHEN 1 THEN 'remote_id' WHEN 2 THEN 'manual' WHEN 3 THEN 'name' WHEN 4 THEN 'name' WHEN 5 THEN 'name' WHEN 6 THEN 'manual' WHEN 7 THEN 'none' WHEN 11 THEN 'remote_id' ELSE 'stable_id' END AS method,
+    CAST(CASE n WHEN 1 THEN 0.98 WHEN 3 THEN 0.9 WHEN 4 THEN 0.5 WHEN 5 THEN 0.25 WHEN 6 THEN 0 WHEN 7 THEN 0 WHEN 11 THEN 0.98 ELSE 1 END AS DOUBLE) AS confidence
+    FROM (SELECT DISTINCT user_id % 12 AS n FROM events WHERE user_id % 12 <> 9) x
+    UNION ALL SELECT 'c' || CAST(n AS STRING), CASE n WHEN 0 THEN 'a9' ELSE 'a8' END, 'matched_fallback', 'name', CAST(0.9 AS DOUBLE) FROM (SELECT DISTINCT user_id % 12 AS n FROM events WHERE user_id % 12 IN (0, 10)) y""",
+    "big_mappings": """SELECT 'c' || CAST(l_suppkey AS STRING) AS source, 'a' || CAST(l_partkey AS STRING) AS target,
+    CASE (l_partkey + l_suppkey) % 7 WHEN 0 THEN 'matched_exact' WHEN 1 THEN 'matched_confident' WHEN 2 THEN 'manually_verified' WHEN 3 THEN 'ambiguous' WHEN 4 THEN 'rejected' ELSE 'matched_fallback' END AS status,
+    CASE (l_partkey + l_suppkey) % 7 WHEN 0 THEN 'stable_id' WHEN 1 THEN 'remote_id' WHEN 2 THEN 'manual' WHEN 4 THEN 'manual' ELSE 'name' END AS method, CAST(l_partkey % 11 AS DOUBLE) / 10 AS confidence
+    FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 10 <> 3) x""",
+    "apps": "SELECT 'app' || CAST(n AS STRING) AS app, CASE n WHEN 0 THEN 'America/New_York' ELSE 'UTC' END AS zone FROM (SELECT DISTINCT user_id % 2 AS n FROM events) x",
+    "runs": """SELECT data_type || '-' || CAST(day AS STRING) AS run, 'app' || CAST(n % 2 AS STRING) AS app, 'k' || CAST(n % 3 AS STRING) AS connection, data_type,
+    CASE WHEN n % 13 = 0 THEN 'failed' WHEN n % 4 = 0 THEN 'partially_completed' ELSE 'completed' END AS status, day AS window_start, CAST(day + CAST(2 AS INT) AS DATE) AS window_end,
+    CAST(day + CAST(4 + n % 9 AS INT) AS TIMESTAMP) + INTERVAL 3 HOUR AS finished_at,
+    '{"dataWindows":[{"from":"' || CAST(day AS STRING) || '","to":"' || CAST(CAST(day + CAST(1 AS INT) AS DATE) AS STRING) || '"},{"from":"' || CAST(CAST(day + CAST(2 AS INT) AS DATE) AS STRING) || '","to":"' || CAST(CAST(day + CAST(2 AS INT) AS DATE) AS STRING)
+     || '"}],"completedWindows":["' || CAST(day AS STRING) || '..' || CAST(CAST(day + CAST(1 AS INT) AS DATE) AS STRING) || '"]}' AS checkpoint
+    FROM (SELECT DISTINCT CAST(ts AS DATE) AS day, CAST(day(ts) AS INT) AS n FROM events) d JOIN (SELECT 'attribution_installs' AS data_type UNION ALL SELECT 'attribution_revenue') t ON TRUE""",
+    "run_errors": """SELECT 'attribution_installs-' || CAST(day AS STRING) AS run, CASE WHEN n % 3 = 0 THEN NULL ELSE day END AS window_start, CASE WHEN n % 5 = 0 THEN NULL ELSE CAST(day + CAST(1 AS INT) AS DATE) END AS window_end,
+    CASE WHEN n % 2 = 0 THEN CAST(day AS TIMESTAMP) END AS resolved_at FROM (SELECT DISTINCT CAST(ts AS DATE) AS day, CAST(day(ts) AS INT) AS n FROM events WHERE day(ts) % 7 = 0) d""",
+    "findings": """SELECT CASE WHEN n % 6 <> 0 THEN 'attribution_installs-' || CAST(day AS STRING) END AS run, CASE n % 4 WHEN 0 THEN 'attribution.negative_installs' WHEN 1 THEN 'attribution.missing_campaign_id' WHEN 2 THEN 'marketing.negative_measure' ELSE 'reconciliation.paid_installs_unmapped' END AS check_key,
+    CASE n % 4 WHEN 0 THEN 'error' WHEN 2 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN n % 10 <> 0 THEN day END AS observed, CAST(day + CAST(CASE WHEN n % 2 = 0 THEN 30 ELSE 1 END AS INT) AS TIMESTAMP) AS created_at
+    FROM (SELECT DISTINCT CAST(ts AS DATE) AS day, CAST(day(ts) AS INT) AS n FROM events WHERE day(ts) % 5 < 2) d""",
+    "coverage": """SELECT day AS from_date, CAST(day + CAST(n % 3 AS INT) AS DATE) AS to_date, CAST(day + CAST(3 + n % 10 AS INT) AS DATE) AS finished
+    FROM (SELECT DISTINCT CAST(ts AS DATE) AS day, CAST(day(ts) AS INT) AS n FROM events WHERE day(ts) % 5 <> 4) d""",
+    "directory": """SELECT 'c' || CAST(user_id % 12 AS STRING) AS campaign, 'Campaign ' || CAST(user_id % 12 AS STRING) AS name, CASE WHEN user_id % 12 > 8 THEN 'PAUSED' ELSE 'ACTIVE' END AS status FROM events WHERE user_id % 12 <> 4 GROUP BY 1, 2, 3""",
     "big_delivery": """SELECT CAST(l_shipdate AS DATE) AS report_date, 'c' || CAST(l_suppkey AS STRING) AS campaign, s_nationkey AS account,
     CAST(sum(CAST(l_extendedprice AS DECIMAL(20,6)) * CAST(1 - l_discount AS DECIMAL(6,2))) AS DECIMAL(20,6)) AS spend,
     CAST(sum(l_quantity * 100) AS BIGINT) AS impressions, CAST(sum(l_quantity) AS BIGINT) AS clicks
@@ -52,19 +77,28 @@ VIEWS: dict[str, str] = {
     "names_marketing": "SELECT 'm' || CAST(p_partkey AS STRING) AS campaign, p_name AS name FROM part WHERE p_partkey % 2 = 0",
     "names_attribution": """SELECT CASE WHEN p_partkey % 11 = 0 THEN 'm' || CAST(p_partkey + 1 AS STRING) ELSE 't' || CAST(p_partkey AS STRING) END AS campaign,
     CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE 'Creative_' || CAST(p_partkey AS STRING) || ' (' || p_name || ')' END AS name,
-    CASE WHEN p_partkey % 7 = 0 THEN 'm' || CAST(p_partkey + 1 AS STRING) END AS remote_id FROM part WHERE p_partkey % 2 = 1""",
+    CASE WHEN p_partkey % 7 = 0 THEN 'm' || CAST(p_partkey + 1 AS STRING) END AS remote_id, CASE p_partkey % 13 WHEN 0 THEN 'Organic' WHEN 1 THEN NULL ELSE 'Facebook Ads' END AS media_source FROM part WHERE p_partkey % 2 = 1""",
 }
 _TABLES = ("events", "lineitem", "orders", "customer", "supplier", "part")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain input as a DataFrame; only the tables it names are read."""
-    sql, used = VIEWS[name], {}
-    for table in _TABLES:
-        marked = sql.replace(f"FROM {table} ", f"FROM {{{table}}} ").replace(f"JOIN {table} ", f"JOIN {{{table}}} ").replace(f"FROM {table}\n", f"FROM {{{table}}}\n")
-        if marked != sql:
-            sql, used[table] = marked, spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spark.sql(sql, **used)
+    # Braces of literals are doubled, for spark.sql puts tables where single ones name them.
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(_TABLES)})\b", r"\1 {\2}", sql), **used)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df computed once and read from the checkpoint folder from then on, for facts that a query uses many times."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if root is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidemark-shared-"))
+    return df.checkpoint()
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -13,21 +13,26 @@ from tidemark.plans.queries_metrics import LIVE, OPERATIONAL, ORGANIC
 QUERIES: dict = {}
 ORACLE: dict = {}
 _BEST = "(SELECT DISTINCT ON (source) * FROM mappings ORDER BY source, confidence DESC, status, coalesce(target, ''))"
-_TABLE = f"""SELECT d.campaign, CAST(d.spend AS DOUBLE) AS spend, impressions, clicks, last_day, coalesce(status, 'unmatched') AS mapping_status, coalesce(children, 0) AS children,
-CASE WHEN shown THEN CAST(coalesce(installs, 0) AS BIGINT) END AS installs, CASE WHEN shown THEN CAST(coalesce(revenue, 0) AS DOUBLE) END AS revenue,
+_TABLE = f"""SELECT d.campaign, name, campaign_status, CAST(d.spend AS DOUBLE) AS spend, impressions, clicks, last_day, coalesce(b.status, 'not_computed') AS mapping_status, method AS mapping_method, confidence AS mapping_confidence, target AS attribution_campaign,
+coalesce(children, 0) AS children, coalesce(targets, '') AS targets, last_install_day, count(*) OVER () AS total_count,
+CASE WHEN shown THEN CAST(installs AS BIGINT) END AS installs, CASE WHEN shown THEN CAST(revenue AS DOUBLE) END AS revenue,
 CASE WHEN impressions >= 1000 THEN CAST(clicks AS DOUBLE) / CAST(impressions AS DOUBLE) END AS ctr, CASE WHEN impressions >= 1000 THEN CAST(d.spend AS DOUBLE) * 1000 / CAST(impressions AS DOUBLE) END AS cpm,
 CASE WHEN clicks >= 50 THEN CAST(d.spend AS DOUBLE) / CAST(clicks AS DOUBLE) END AS cpc, CASE WHEN shown AND installs >= 25 THEN CAST(d.spend AS DOUBLE) / CAST(installs AS DOUBLE) END AS cpi,
-CASE WHEN status IS NULL OR status = 'unmatched' THEN 'not_mapped' WHEN status = 'rejected' THEN 'rejected' WHEN status = 'ambiguous' THEN 'ambiguous' WHEN status = 'matched_fallback' AND confidence < 0.9 THEN 'low_confidence' WHEN children > 1 THEN 'several_children' ELSE 'mapped' END AS note
+CASE WHEN b.status IN ('matched_exact', 'matched_confident', 'manually_verified') THEN CASE WHEN children > 1 THEN 'several_children' END WHEN b.status = 'matched_fallback' AND confidence < 0.9 THEN 'low_confidence'
+WHEN b.status = 'matched_fallback' AND children > 1 THEN 'embedded_name_several_children' WHEN b.status = 'matched_fallback' THEN 'embedded_name' ELSE coalesce(b.status, 'not_computed') END AS note
 FROM (SELECT campaign, sum(spend) AS spend, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, max(report_date) AS last_day FROM delivery GROUP BY 1) d
+LEFT JOIN (SELECT campaign, max(name) AS name, max(status) AS campaign_status FROM directory GROUP BY 1) n ON n.campaign = d.campaign
 LEFT JOIN (SELECT *, {OPERATIONAL} AS shown FROM {_BEST}) b ON d.campaign = b.source
-LEFT JOIN (SELECT source, count(*) AS children, sum(installs) AS installs, sum(revenue) AS revenue FROM (SELECT DISTINCT source, target FROM mappings WHERE status IN ('matched_exact', 'matched_confident', 'manually_verified', 'matched_fallback')) l
-LEFT JOIN (SELECT campaign, sum(installs) AS installs FROM installs GROUP BY 1) i ON target = i.campaign LEFT JOIN (SELECT campaign, sum(revenue) AS revenue FROM revenue GROUP BY 1) r ON target = r.campaign GROUP BY 1) c ON d.campaign = c.source"""
-_INPUTS = ("delivery", "installs", "revenue", "mappings")
+LEFT JOIN (SELECT source, count(*) AS children, string_agg(target, ',' ORDER BY target) AS targets, sum(installs) AS installs, sum(revenue) AS revenue, max(last_install_day) AS last_install_day FROM
+(SELECT DISTINCT source, target FROM mappings WHERE target IS NOT NULL AND status IN ('matched_exact', 'matched_confident', 'manually_verified', 'matched_fallback')) l
+LEFT JOIN (SELECT campaign, sum(installs) AS installs, max(install_date) AS last_install_day FROM installs WHERE NOT {ORGANIC} GROUP BY 1) i ON target = i.campaign
+LEFT JOIN (SELECT campaign, sum(revenue) AS revenue FROM revenue WHERE NOT {ORGANIC} GROUP BY 1) r ON target = r.campaign GROUP BY 1) c ON d.campaign = c.source"""
+_INPUTS = ("delivery", "installs", "revenue", "mappings", "directory")
 
 
 def campaign_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    delivery, installs, revenue, mappings = (view(spark, sf_dir, n) for n in _INPUTS)
-    return campaigns.campaign_table(delivery, mappings, installs, revenue)
+    delivery, installs, revenue, mappings, directory = (view(spark, sf_dir, n) for n in _INPUTS)
+    return campaigns.campaign_table(delivery, mappings, installs, revenue, directory)
 
 
 def campaign_table_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,22 +70,23 @@ ORACLE["filter_options_union"] = with_views("SELECT 'country' AS filter, country
 
 
 def mapping_best_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return populations.best_mapping(view(spark, sf_dir, "mappings"))
+    return populations.best_mapping(view(spark, sf_dir, "big_mappings"))
 
 
 def strongest_link_per_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return populations.best_mapping(view(spark, sf_dir, "mappings").filter(populations.operational()), "target")
+    return populations.best_mapping(view(spark, sf_dir, "big_mappings").filter(populations.operational()), "target")
 
 
-ORACLE["mapping_best_link"] = with_views(f"SELECT * FROM {_BEST}", "mappings")
-ORACLE["strongest_link_per_target"] = with_views(f"SELECT DISTINCT ON (target) * FROM mappings WHERE {OPERATIONAL} AND target IS NOT NULL ORDER BY target, confidence DESC, status, source", "mappings")
+_BIG = _BEST.replace("FROM mappings", "FROM big_mappings")
+ORACLE["mapping_best_link"] = with_views(f"SELECT * FROM {_BIG}", "big_mappings")
+ORACLE["strongest_link_per_target"] = with_views(f"SELECT DISTINCT ON (target) * FROM big_mappings WHERE {OPERATIONAL} AND target IS NOT NULL ORDER BY target, confidence DESC, status, source", "big_mappings")
 
 
 def structure_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaigns.structure_coverage(view(spark, sf_dir, "mappings"))
+    return campaigns.structure_coverage(view(spark, sf_dir, "big_mappings"))
 
 
-ORACLE["structure_coverage"] = with_views(f"SELECT status, method, {OPERATIONAL} AS operational, count(*) AS campaigns FROM {_BEST} GROUP BY 1, 2, 3", "mappings")
+ORACLE["structure_coverage"] = with_views(f"SELECT status, method, {OPERATIONAL} AS operational, count(*) AS campaigns FROM {_BIG} GROUP BY 1, 2, 3", "big_mappings")
 
 
 def eligible_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,13 +133,14 @@ def reconcile_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.reconcile(*(view(spark, sf_dir, n) for n in _SIDES))
 
 
+_PAID_NAMES = "(SELECT * FROM names_attribution WHERE coalesce(media_source, 'Organic') <> 'Organic')"
 ORACLE["reconcile_precedence"] = with_views("", *_SIDES).rstrip() + f""", m AS (SELECT campaign AS source, {_KEY.format('name')} AS key FROM names_marketing), u AS (SELECT key, count(*) AS uses FROM m WHERE key IS NOT NULL GROUP BY 1),
-t AS (SELECT campaign AS target, {_KEY.format('name')} AS whole, {_KEY.format("regexp_extract(name, '[(]([^()]+)[)]', 1)")} AS inside FROM names_attribution
+t AS (SELECT campaign AS target, {_KEY.format('name')} AS whole, {_KEY.format("regexp_extract(name, '[(]([^()]+)[)]', 1)")} AS inside FROM {_PAID_NAMES} pn
   WHERE campaign NOT IN (SELECT source FROM m) AND coalesce(remote_id, '') NOT IN (SELECT source FROM m)),
 k AS (SELECT DISTINCT target, key, embedded FROM (SELECT target, whole AS key, FALSE AS embedded FROM t UNION ALL SELECT target, inside, TRUE FROM t WHERE inside IS DISTINCT FROM whole) x WHERE key IS NOT NULL),
 c AS (SELECT key, count(*) FILTER (embedded) AS inside, count(*) FILTER (NOT embedded) AS bare, min(target) FILTER (NOT embedded) AS bare_target FROM k GROUP BY 1),
-e AS (SELECT remote_id AS source, campaign AS target, 'matched_exact' AS status, 'remote_id' AS method, 1.0 AS confidence, 1 AS priority FROM names_attribution WHERE remote_id IN (SELECT source FROM m)
-  UNION ALL SELECT DISTINCT source, source, 'matched_exact', 'stable_id', 1.0, 2 FROM m WHERE source IN (SELECT campaign FROM names_attribution)
+e AS (SELECT remote_id AS source, campaign AS target, 'matched_exact' AS status, 'remote_id' AS method, 1.0 AS confidence, 1 AS priority FROM {_PAID_NAMES} pn WHERE remote_id IN (SELECT source FROM m)
+  UNION ALL SELECT DISTINCT source, source, 'matched_exact', 'stable_id', 1.0, 2 FROM m WHERE source IN (SELECT campaign FROM {_PAID_NAMES} pn)
   UNION ALL SELECT source, NULL, 'ambiguous', 'name', 0.25, 3 FROM m JOIN u USING (key) JOIN c USING (key) WHERE uses > 1
   UNION ALL SELECT source, target, 'matched_fallback', 'embedded_name', 0.9, 4 FROM m JOIN u USING (key) JOIN k USING (key) WHERE uses = 1 AND embedded
   UNION ALL SELECT source, bare_target, 'matched_fallback', 'name', 0.5, 5 FROM m JOIN u USING (key) JOIN c USING (key) WHERE uses = 1 AND inside = 0 AND bare = 1
@@ -149,8 +156,8 @@ def reconcile_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["reconcile_reverse"] = with_views("", *_SIDES).rstrip() + f""", u AS (SELECT {_KEY.format('name')} AS key, count(*) AS uses FROM names_marketing GROUP BY 1),
-r AS (SELECT a.campaign IN (SELECT campaign FROM names_marketing) AS same, uses FROM names_attribution a LEFT JOIN u ON {_KEY.format('a.name')} = key),
-s AS (SELECT CASE WHEN same THEN 'matched_exact' WHEN uses = 1 THEN 'matched_fallback' WHEN uses > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM r)
+r AS (SELECT a.campaign IN (SELECT campaign FROM names_marketing) AS same, uses, coalesce(media_source, 'Organic') = 'Organic' AS organic FROM names_attribution a LEFT JOIN u ON {_KEY.format('a.name')} = key),
+s AS (SELECT CASE WHEN organic THEN 'not_applicable' WHEN same THEN 'matched_exact' WHEN uses = 1 THEN 'matched_fallback' WHEN uses > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM r)
 SELECT status, count(*) AS n, count(*) FILTER (status IN ('matched_exact', 'matched_fallback')) AS linked FROM s GROUP BY 1"""
 
 QUERIES |= {f.__name__: f for f in (

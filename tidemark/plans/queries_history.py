@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import cohorts, decisions, merge, populations, quality
+from tidemark.operators import cohorts, decisions, merge, quality
 from tidemark.plans.bridge import view, with_views
 from tidemark.plans.queries_metrics import OPERATIONAL, ORGANIC
 
@@ -39,7 +39,11 @@ ORACLE["revenue_covered_days"] = with_views(_DAYS, "coverage")
 _FACTS = ("cohorts", "installs", "revenue", "delivery", "mappings", "coverage")
 _MATURE = f""", days AS ({_DAYS}), h AS (SELECT least((SELECT max(install_date) FROM installs), (SELECT max(event_date) FROM revenue)) AS as_of), ages AS (SELECT 1 AS age UNION ALL SELECT 7), link AS (SELECT * FROM mappings WHERE {OPERATIONAL}),
 spent AS (SELECT DISTINCT target, report_date FROM delivery JOIN link ON campaign = source WHERE spend > 0 AND target IS NOT NULL)"""
+#: The window that rules judge.
+WINDOW = ("2024-01-10", "2024-01-27")
 _STATE = "install_date + age < as_of AS matured, coalesce(finished > install_date + age, FALSE) AS covered"
+_ONCE = """(SELECT * FROM cohorts WHERE revenue_type <> 'total' UNION ALL SELECT * FROM cohorts t WHERE revenue_type = 'total' AND NOT EXISTS (SELECT 1 FROM cohorts p WHERE p.revenue_type IN ('iap', 'ad') AND p.install_date = t.install_date AND p.age = t.age AND p.media_source IS NOT DISTINCT FROM t.media_source
+ AND p.campaign IS NOT DISTINCT FROM t.campaign AND p.country IS NOT DISTINCT FROM t.country AND p.platform = t.platform AND p.currency = t.currency))"""
 
 
 def cohort_revenue_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +52,12 @@ def cohort_revenue_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUM = "CAST(coalesce(sum(revenue) FILTER ({}), 0) AS DOUBLE) AS {}"
-_SLICES = f"""x AS (SELECT c.*, {_STATE}, {ORGANIC} AS organic, campaign IN (SELECT target FROM link WHERE target IS NOT NULL) AS mapped, s.target IS NOT NULL AS aligned
- FROM cohorts c LEFT JOIN days ON install_date = day LEFT JOIN spent s ON s.target = c.campaign AND s.report_date = c.install_date, h),
-y AS (SELECT *, revenue_type AS slice FROM x UNION ALL SELECT *, 'total' FROM x),
-z AS (SELECT age, slice, {", ".join(_SUM.format(*p) for p in (("matured AND covered", "mature"), ("matured AND covered AND organic", "mature_organic"), ("matured AND covered AND NOT organic AND mapped", "mature_mapped"), ("matured AND covered AND NOT organic AND aligned", "aligned"), ("NOT matured", "immature"), ("matured AND NOT covered", "early_read")))},
- count(DISTINCT currency) FILTER (matured AND covered) AS currencies FROM y GROUP BY 1, 2)"""
+_RIPE = "matured AND covered AND read_after"
+_SLICES = f"""x AS (SELECT c.*, {_STATE}, read_on > install_date + age AS read_after, {ORGANIC} AS organic, campaign IN (SELECT target FROM link WHERE target IS NOT NULL) AS mapped, s.target IS NOT NULL AS aligned
+ FROM {_ONCE} c LEFT JOIN days ON install_date = day LEFT JOIN spent s ON s.target = c.campaign AND s.report_date = c.install_date, h),
+y AS (SELECT *, revenue_type AS slice FROM x UNION ALL SELECT *, 'total' FROM x WHERE revenue_type <> 'total'),
+z AS (SELECT age, slice, {", ".join(_SUM.format(*p) for p in ((_RIPE, "mature"), (f"{_RIPE} AND organic", "mature_organic"), (f"{_RIPE} AND NOT organic AND mapped", "mature_mapped"), (f"{_RIPE} AND NOT organic AND NOT mapped", "mature_unmapped"), (f"{_RIPE} AND NOT organic AND aligned", "aligned"), ("NOT matured", "immature"), ("matured AND NOT read_after", "early_read")))},
+ count(DISTINCT currency) FILTER ({_RIPE}) AS currencies, count(DISTINCT currency) FILTER ({_RIPE} AND NOT organic AND aligned) AS aligned_currencies, count(*) FILTER (matured AND NOT read_after) AS early_read_rows FROM y GROUP BY 1, 2)"""
 ORACLE["cohort_revenue_slices"] = with_views("", *_FACTS).rstrip() + _MATURE + ",\n" + _SLICES + "\nSELECT * FROM z"
 
 
@@ -100,17 +105,12 @@ LEFT JOIN z ON z.age = ages.age AND z.slice = g.slice LEFT JOIN n ON n.age = age
 
 
 def total_without_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals added for all campaigns; only where no component is there do they stay."""
-    rows = view(spark, sf_dir, "cohorts")
-    identity = ["install_date", "campaign", "country", "media_source", "age"]
-    sums = rows.groupBy(*identity).agg(F.sum("revenue").cast("decimal(20,6)").alias("revenue")).withColumn("revenue_type", F.lit("total"))
-    lone = sums.withColumn("country", F.when(F.col("country") == "DE", "FR").otherwise(F.col("country")))
-    kept = cohorts.without_doubled_totals(rows.select(*identity, "revenue_type", "revenue").unionByName(lone), identity)
+    """Provider totals stay only where no component of the same cohort is there."""
+    kept = cohorts.without_doubled_totals(view(spark, sf_dir, "cohorts"), cohorts.IDENTITY)
     return kept.groupBy("revenue_type", "country").agg(F.count("*").alias("n"), F.sum("revenue").cast("double").alias("revenue"))
 
 
-ORACLE["total_without_components"] = with_views("""SELECT revenue_type, country, count(*) AS n, CAST(sum(revenue) AS DOUBLE) AS revenue FROM (SELECT revenue_type, country, revenue FROM cohorts
-UNION ALL SELECT 'total', 'FR', sum(revenue) FROM cohorts WHERE country = 'DE' GROUP BY install_date, campaign, media_source, age) x GROUP BY 1, 2""", "cohorts")
+ORACLE["total_without_components"] = with_views(f"SELECT revenue_type, country, count(*) AS n, CAST(sum(revenue) AS DOUBLE) AS revenue FROM {_ONCE} x GROUP BY 1, 2", "cohorts")
 
 # Merges.
 _KEYS, _MEASURES = ["campaign", "report_date", "country"], ["spend", "clicks"]
@@ -255,14 +255,15 @@ ORACLE["dense_campaign_days"] = with_views("", *_DELIVERED).rstrip() + _SERIES +
 
 
 def anomaly_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.anomalies(_series(spark, sf_dir))
+    """Days of the window only; those before it are history."""
+    return decisions.anomalies(_series(spark, sf_dir), first=F.lit(WINDOW[0]).cast("date"), last=F.lit(WINDOW[1]).cast("date"))
 
 
 _FOUND = """, h AS (SELECT a.campaign, a.metric, a.day, any_value(a.value) AS v, median(b.value) AS c, count(*) AS points, list(b.value) AS l FROM s a JOIN s b ON a.campaign = b.campaign AND a.metric = b.metric AND b.day BETWEEN a.day - 14 AND a.day - 1 GROUP BY 1, 2, 3 HAVING count(*) >= 7),
 k AS (SELECT *, list_aggregate(list_transform(l, lambda x: abs(x - c)), 'median') AS m, abs(v - c) AS size FROM h),
 found AS (SELECT campaign, metric, day, floor(v * 1e6 + 0.5) / 1e6 AS value, floor(c * 1e6 + 0.5) / 1e6 AS center, floor(m * 1e6 + 0.5) / 1e6 AS mad, CAST(points AS INT) AS points, CASE WHEN m > 0 THEN floor(size / (1.4826::DOUBLE * m) * 1e3 + 0.5) / 1e3 END AS z,
  CASE WHEN c > 0 THEN floor((v - c) / c * 100 * 1e4 + 0.5) / 1e4 END AS deviation_pct, CASE WHEN v > c THEN 'up' ELSE 'down' END AS direction FROM k WHERE size >= 20 AND (c <= 0 OR size >= 0.3::DOUBLE * c) AND (m = 0 OR size / (1.4826::DOUBLE * m) >= 3.5))"""
-ORACLE["anomaly_detect"] = with_views("", *_DELIVERED).rstrip() + _SERIES + _FOUND + "\nSELECT * FROM found"
+ORACLE["anomaly_detect"] = with_views("", *_DELIVERED).rstrip() + _SERIES + _FOUND + f"\nSELECT * FROM found WHERE day BETWEEN '{WINDOW[0]}' AND '{WINDOW[1]}'"
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,37 +314,13 @@ LEFT JOIN (SELECT 'c' || substr(campaign, 2) AS campaign, event_date AS day, sum
 hv AS (SELECT campaign, CASE WHEN place <= 7 THEN 1 ELSE 2 END AS half, count(*) AS n, CASE WHEN count(*) = 7 AND sum(denominator) >= 50 AND sum(installs) >= 25 THEN floor(CAST(sum(numerator) AS DOUBLE) / CAST(sum(denominator) AS DOUBLE) * 1e6 + 0.5) / 1e6 END AS v FROM t WHERE place <= 14 GROUP BY 1, 2),
 tr AS (SELECT campaign, coalesce(max(n) FILTER (half = 1), 0) AS now_days, coalesce(max(n) FILTER (half = 2), 0) AS before_days, max(v) FILTER (half = 1) AS now, max(v) FILTER (half = 2) AS before FROM hv GROUP BY 1),
 tc AS (SELECT *, CASE WHEN before > 0 THEN floor((now - before) / before * 100 * 1e4 + 0.5) / 1e4 END AS change_pct FROM tr),
-td AS (SELECT *, CASE WHEN change_pct IS NULL THEN 'unknown' WHEN abs(change_pct) < 20 THEN 'flat' WHEN change_pct > 0 THEN 'improving' ELSE 'declining' END AS direction FROM tc)"""
+td AS (SELECT *, CASE WHEN change_pct IS NULL THEN 'unknown' WHEN abs(change_pct) < 20 THEN 'stable' WHEN change_pct > 0 THEN 'improving' ELSE 'deteriorating' END AS direction FROM tc)"""
 ORACLE["trend_halves"] = with_views("", "delivery", "revenue").rstrip() + _TREND + "\nSELECT * FROM td"
 
 
-def decision_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signal for each campaign that delivered."""
-    delivery, mappings = _views(spark, sf_dir, "delivery", "mappings")
-    days = _trend_days(spark, sf_dir)
-    sums = days.groupBy("campaign").agg(F.sum("denominator").alias("spend"), F.sum("numerator").alias("earned"), F.sum("installs").alias("installs"), F.count_if("eligible").alias("mature_days"))
-    currencies = delivery.groupBy("campaign").agg(F.count_distinct("currency").alias("currencies"))
-    found = decisions.classify(decisions.anomalies(_series(spark, sf_dir)), _signals(spark, sf_dir), "fresh")
-    moved = found.groupBy("campaign").agg(F.count_if(F.col("class") == "data_gap").alias("data_anomalies"), F.count_if(F.col("class") == "undetermined").alias("open_anomalies"))
-    best = populations.best_mapping(mappings).select(F.col("source").alias("campaign"), "status", "confidence")
-    scopes = sums.join(currencies, "campaign").join(best, "campaign", "left").join(moved, "campaign", "left").join(decisions.trend(days).select("campaign", "direction"), "campaign", "left")
-    ready = scopes.fillna(0, ["data_anomalies", "open_anomalies"]).withColumn("fresh", F.lit(True)).withColumn("findings", F.when(F.col("campaign") == "c2", 1).otherwise(0))
-    return decisions.signals(ready, 1.0).select("campaign", "measured", "direction", "blocker", "signal")
-
-
-ORACLE["decision_signals"] = (
-    with_views("", *_DELIVERED, "mappings").rstrip() + _SERIES + _FOUND + _TREND
-    + _CLASSES.replace("\nSELECT campaign, metric", ", cl AS (SELECT campaign, metric").replace("FROM marked", "FROM marked)")
-    + f""", g AS (SELECT campaign, sum(spend) AS spend, sum(clicks) AS installs, count(DISTINCT currency) AS cur FROM delivery GROUP BY 1),
-md AS (SELECT campaign, count(*) AS mature_days FROM t GROUP BY 1), e AS (SELECT d.campaign, sum(r.revenue) AS earned FROM (SELECT DISTINCT campaign, report_date FROM delivery) d JOIN revenue r ON d.campaign = 'c' || substr(r.campaign, 2) AND d.report_date = r.event_date GROUP BY 1),
-b AS (SELECT g.campaign, floor(CAST(coalesce(earned, 0) AS DOUBLE) / CAST(g.spend AS DOUBLE) * 1e6 + 0.5) / 1e6 AS measured, coalesce(direction, 'unknown') AS direction0, direction, CASE WHEN NOT coalesce({OPERATIONAL}, FALSE) THEN 'no_mapping' WHEN cur > 1 THEN 'mixed_currency' WHEN g.campaign = 'c2' THEN 'data_quality'
- WHEN g.campaign IN (SELECT campaign FROM cl WHERE class = 'data_gap') THEN 'data_anomaly' WHEN g.campaign IN (SELECT campaign FROM cl WHERE class = 'undetermined') THEN 'unexplained_anomaly' WHEN coalesce(mature_days, 0) = 0 THEN 'immature_cohort' WHEN mature_days < 3 OR g.spend < 50 OR g.installs < 25 THEN 'insufficient_data' END AS blocker
- FROM g LEFT JOIN md ON md.campaign = g.campaign LEFT JOIN e ON e.campaign = g.campaign LEFT JOIN td ON td.campaign = g.campaign LEFT JOIN (SELECT DISTINCT ON (source) * FROM mappings ORDER BY source, confidence DESC, status, coalesce(target, '')) m ON m.source = g.campaign)
-SELECT campaign, measured, direction, blocker, CASE WHEN blocker IN ('no_mapping', 'mixed_currency', 'data_quality', 'data_anomaly') THEN 'fix_data' WHEN blocker = 'unexplained_anomaly' THEN 'investigate' WHEN blocker IS NOT NULL THEN 'wait'
-WHEN measured >= 1.15::DOUBLE AND direction0 <> 'declining' THEN 'scale' WHEN measured < 0.85::DOUBLE AND direction0 <> 'improving' THEN 'reduce' ELSE 'hold' END AS signal FROM b"""
-)
+covered_sql, once_sql = _DAYS, _ONCE
 
 QUERIES |= {f.__name__: f for f in (
     data_horizon, revenue_covered_days, cohort_revenue_slices, cohort_installs_maturity, cohort_aligned_spend, cohort_metrics, total_without_components, fact_merge_outcomes, supersede_dimensions, restated_table, raw_dedup, dimension_hash,
-    error_supersession, freshness_status, quality_marketing_checks, quality_duplicates, quality_cohort_monotone, dense_campaign_days, anomaly_detect, anomaly_classify, pacing, trend_halves, decision_signals,
+    error_supersession, freshness_status, quality_marketing_checks, quality_duplicates, quality_cohort_monotone, dense_campaign_days, anomaly_detect, anomaly_classify, pacing, trend_halves,
 )}

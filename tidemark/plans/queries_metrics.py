@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import vocab
 from tidemark.functions import scalars
 from tidemark.operators import aggregates, metrics, populations
-from tidemark.plans.bridge import view, with_views
+from tidemark.plans.bridge import held, view, with_views
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -131,13 +131,13 @@ AND campaign IN (SELECT target FROM mappings WHERE {OPERATIONAL} AND target IS N
 
 
 def operational_metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    delivery, installs, revenue, mappings = _tables(spark, sf_dir)
+    delivery, installs, revenue, mappings = map(held, _tables(spark, sf_dir))
     return metrics.operational_metrics(delivery, installs, revenue, mappings)
 
 
 def one_currency_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without the second currency: what was blocked has a value."""
-    delivery, installs, revenue, mappings = _tables(spark, sf_dir)
+    delivery, installs, revenue, mappings = map(held, _tables(spark, sf_dir))
     usd = F.col("currency") == "USD"
     return metrics.operational_metrics(delivery.filter(usd), installs, revenue.filter(usd), mappings)
 
@@ -178,7 +178,7 @@ def timeseries_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.timeseries(delivery, installs, revenue).withColumns({c: F.col(c).cast("double") for c in ("spend", "revenue")})
 
 
-@query("""SELECT CASE media_source WHEN 'Organic' THEN 'organic' WHEN 'Facebook Ads' THEN 'paid_social' WHEN 'google adwords' THEN 'unknown' WHEN 'tiktok_ads' THEN 'paid_social' ELSE 'unknown' END AS channel, CAST(sum(installs) AS BIGINT) AS installs FROM big_installs GROUP BY 1""", "big_installs")
+@query("""SELECT CASE media_source WHEN 'Organic' THEN 'organic' WHEN 'Facebook Ads' THEN 'paid_social' WHEN 'google adwords' THEN 'paid_search' WHEN 'tiktok_ads' THEN 'paid_social' ELSE 'unknown' END AS channel, CAST(sum(installs) AS BIGINT) AS installs FROM big_installs GROUP BY 1""", "big_installs")
 def channel_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.channels(view(spark, sf_dir, "big_installs"))
 

@@ -35,14 +35,17 @@ def once_each(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def merge_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], measures: list[str], scope: list[str] | None = None) -> StreamingQuery:
-    """Merges every micro-batch into the versioned table under root, takes what is there, and stops."""
+def merge_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], measures: list[str], scope: list[str] | None = None, order: str | None = None) -> StreamingQuery:
+    """Merges every micro-batch into the versioned table under root, takes what is there, and stops.
+
+    Of several rows of a key within a batch the last written by order stays whole; without order, the greatest.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         held = merge.latest_version(batch.sparkSession, root)
         if held and held[0] > number:  # written before a failure
             return
-        written = batch.groupBy(*keys).agg(*(F.max(m).alias(m) for m in measures))
+        written = merge.last_written(batch.select(*keys, *measures, F.col(order).alias("_order") if order else F.struct(*measures).alias("_order")), keys, F.col("_order")).drop("_order")
         stored = held[1] if held else written.limit(0)
         following = merge.restate(stored, written, scope, keys, measures) if scope else merge.merge_facts(stored, written, keys, measures)
         merge.save_version(following.select(*keys, *measures), root, number + 1)

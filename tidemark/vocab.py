@@ -8,6 +8,8 @@ COHORT_AGES = (1, 7)
 REVENUE_TYPES = ("iap", "ad", "total", "subscription")
 COMPONENTS = ("iap", "ad")
 PLATFORMS = ("ios", "android", "web", "unknown")
+#: In this order: the first pattern that a lower-case platform name holds.
+PLATFORM_PATTERNS = {"ios": r"(^|[^a-z])i(os|phone|pad|pod)", "android": "android", "web": "web|desktop|browser"}
 AUTHORITATIVE = ("matched_exact", "matched_confident", "manually_verified")
 HUMAN_DECIDED = ("manually_verified", "rejected")
 OPERATIONAL_CONFIDENCE = 0.9
@@ -37,6 +39,13 @@ BASELINE_DAYS, BASELINE_POINTS = 14, 7
 ROBUST_Z, RELATIVE_DEVIATION, MAD_TO_SIGMA = 3.5, 0.3, 1.4826
 ABSOLUTE_FLOOR = 20.0
 
+# Findings about labels, not days; what freshness is worth in a score.
+LABEL_CHECKS = ("attribution.missing_campaign_id", "marketing.missing_campaign_id")
+FRESHNESS_SCORE = {"fresh": 1.0, "delayed": 0.7, "unknown": 0.6, "stale": 0.4, "error": 0.4}
+
+# Floors of a reading.
+MIN_SPEND, MIN_MATURE_DAYS = 50, 3
+
 # Pacing, trend and target bands.
 UNDER_PACE, OVER_PACE = 0.5, 1.25
 HALF_DAYS, MATERIAL_CHANGE = 7, 20.0
