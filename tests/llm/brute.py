@@ -147,3 +147,24 @@ def edit_distance_anywhere(item: str, text: str) -> int:
         up, down = (minus | ~(eq | plus)) & full, plus & eq
         best = min(best, cost)
     return best
+
+
+def logistic(x, y, weight, penalty: float = 1.0):
+    """Ridge-penalised logistic regression by damped Newton steps to a vanishing gradient; the intercept comes last."""
+    import numpy as np
+
+    x, y, weight = np.asarray(x, float), np.asarray(y, float), np.asarray(weight, float)
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge = np.append(np.full(x.shape[1] - 1, penalty), 1e-6)
+    loss = lambda w: (weight * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + 0.5 * (ridge * w * w).sum()
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        gradient = x.T @ (weight * (p - y)) + ridge * w
+        if np.abs(gradient).max() < 1e-9:
+            break
+        step, size = np.linalg.inv(x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag(ridge)) @ gradient, 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+    return w

@@ -8,7 +8,9 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -382,6 +384,41 @@ def test_quality_held_out(spark):
     assert np.mean([r["keep"] for r in rows if r["quality"] == 1]) > 0.97
 
 
+def test_quality_against_a_plain_version(spark):
+    """Fit, one exchange over all documents, calibration and scores, step by step with plain Python."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels, rounds=1)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    known = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if r["doc_id"] in rows}
+    half = lambda x: np.array(x).astype(np.float16).astype(np.float32)
+    views = {d: (half(quality.content_features(pa.array([r["text"] or ""]))[0]), half(quality.metadata_features(pd.Series([r["source"]]), pd.Series([r["lang"]]), pd.Series([len(r["text"] or "")]))[0])) for d, r in rows.items()}
+    order = sorted(known)
+    learn = [d for i, d in enumerate(order) if i % 4]
+    back = [d for i, d in enumerate(order) if i % 4 == 0]
+    weights = [brute.logistic([views[d][v] for d in learn], [known[d] for d in learn], [1.0] * len(learn)) for v in (0, 1)]
+    odds = lambda v, d: float(np.clip(views[d][v] @ weights[v][:-1] + weights[v][-1], -30, 30))
+    free, rate = sorted(set(rows) - set(known)), float(np.mean([known[d] for d in order]))
+    held = spark.createDataFrame([(d, odds(0, d), odds(1, d)) for d in free], "doc_id long, content double, meta double")
+    got = {(r["doc_id"], r["view"], r["label"]) for r in quality.surest(held, rate, most=10**6).collect()}
+    want = set()
+    for v in (0, 1):
+        ranked = sorted(odds(v, d) for d in free)
+        low, high = (ranked[max(0, math.ceil(q * len(free)) - 1)] for q in (0.1 * (1 - rate), 1 - 0.1 * rate))
+        want |= {(d, 1 - v, 1.0) for d in free if odds(v, d) >= max(high, 2)} | {(d, 1 - v, 0.0) for d in free if odds(v, d) <= min(low, -2)}
+    assert got == want and want
+    for v in (0, 1):
+        more = [(d, g) for d, view, g in want if view == v]
+        weights[v] = brute.logistic([views[d][v] for d in learn] + [views[d][v] for d, _ in more], [known[d] for d in learn] + [g for _, g in more], [1.0] * len(learn) + [0.5] * len(more))
+    fair = back[::2]
+    platt = [brute.logistic([[odds(v, d)] for d in fair], [known[d] for d in fair], [1.0] * len(fair), 0.01) for v in (0, 1)]
+    pair = lambda d: [platt[v][0] * odds(v, d) + platt[v][1] for v in (0, 1)]
+    last = brute.logistic([pair(d) for d in fair], [known[d] for d in fair], [1.0] * len(fair), 0.01)
+    plain = {d: 1 / (1 + math.exp(-float(np.clip(np.dot(pair(d), last[:-1]) + last[-1], -30, 30)))) for d in rows}
+    scored = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, model).collect()}
+    assert np.abs([scored[d] - plain[d] for d in rows]).max() < 0.05
+
+
 def test_quality_without_labels(spark, awkward):
     docs = spark.read.parquet(f"{awkward}/some/documents.parquet")
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))

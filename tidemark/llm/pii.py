@@ -95,9 +95,10 @@ def terms_of(text: Column) -> Column:
 
 
 def _classes(held: DataFrame, name: str, least: int, most: Column | None = None) -> DataFrame:
-    """name, n, class of the values (held: key, name) that stand in least documents or more: equal document sets are one class."""
-    counted = held.groupBy(name).agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("of")).filter(F.col("n") >= least)
-    return (counted if most is None else counted.filter(F.col("n") <= most)).select(name, "n", F.xxhash64("of", "n").alias("class"))
+    """name, n, class of the values (held: h, the hash of a document's key, and name) that stand in least documents or
+    more: equal document sets (known by their size and two sums of their hashes) are one class."""
+    counted = held.groupBy(name).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.shiftrightunsigned("h", 33)).alias("s")).filter(F.col("n") >= least)
+    return (counted if most is None else counted.filter(F.col("n") <= most)).select(name, "n", F.xxhash64("n", "x", "s").alias("class"))
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
@@ -105,13 +106,13 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, share: float = SHARE, su
     support = max(support, 2)
     total, none = docs.count(), docs.sparkSession.createDataFrame([], "term string")
     held = found.select("key", F.explode(F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["kind"], b["text"])))).alias("entity")).distinct()
-    entities = materialise(_classes(held, "entity", support), "entities")
+    entities = materialise(_classes(held.select("entity", F.xxhash64("key").alias("h")), "entity", support), "entities")
     widest = entities.agg(F.max("n")).first()[0]
     if widest is None or widest >= total:
         return none
     # Rarer than this, or the share can't be reached with any entity.
     most = F.lit(1 + widest * (total / widest) ** (1 - share))
-    words = docs.select(row_key().alias("key"), F.explode(terms_of(F.col("text"))).alias("term"))
+    words = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.explode(terms_of(F.col("text"))).alias("term"))
     terms = materialise(_classes(words, "term", support, most), "words")
     of_entity = held.join(entities, "entity").select("key", F.col("class").alias("a"), F.col("n").alias("na")).distinct()
     with_words = found.filter(F.col("words").isNotNull()).select("key", "words").dropDuplicates(["key"]).join(of_entity.select("key").distinct(), "key", "left_semi")

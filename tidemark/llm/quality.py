@@ -1,18 +1,20 @@
 """Quality classifier by co-training.
 
 Two views see each document: its content (shape statistics and hashed words) and its page metadata (source, language,
-length). Each view's logistic regression is fitted on labelled documents; over several rounds each view labels the
-unlabelled documents it is surest of and hands them to the other. Both views are calibrated on held-back labelled
-documents (Platt), and a last logistic combines the calibrated log-odds. Scoring is a map over all documents.
+length). Each view's logistic regression is fitted on labelled documents. Then, over several rounds, both views score
+all unlabelled documents in one map; the share of them that a view is surest of, by quantiles over all, is labelled by
+it and handed to the other view, which is fitted anew. Both views are calibrated (Platt) and combined by a last logistic
+on one half of the held-back labelled documents; the other half sets the threshold. Scoring is a map over all documents.
 
-Fitting uses bounded samples: at most max_labelled labelled and max_unlabelled other documents, those with the lowest
-hash of their id, so the choice is the same at every run. Everything else covers all documents. Features of the sample
-(a few thousand short vectors) are what reaches the driver.
+Fitting uses bounded samples of labelled rows: at most max_labelled that came with labels, and of those that the views
+have labelled at most max_guessed for each view, side and round. Both are the rows with the lowest hash of their id, so
+the choice is the same at every run. Everything else covers all documents. What reaches the driver is the features of
+the sampled rows (a few thousand short vectors).
 
 Defined results: null and empty texts have the features of an empty text and are scored; rows of null doc_id are
-scored, never fitted; a document labelled twice counts with its mean label; with labels of one class only, or none,
-every document gets the rate of good labels (1 without labels), so nothing is rejected for lack of labels; extra
-columns are ignored.
+scored, never fitted; a document labelled twice counts with its mean label, and of rows that share an id one is fitted;
+with labels of one class only, or none, every document gets the rate of good labels (1 without labels), so nothing is
+rejected for lack of labels; an empty table gives no rows; extra columns are ignored, and kept by keep_good.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, mix, slices, word_hashes
+from tidemark.llm.common import SPACE, materialise, mix, slices, word_hashes
 
-MAX_LABELLED, MAX_UNLABELLED = 8000, 4000
+MAX_LABELLED, MAX_GUESSED = 8000, 500
 #: Hashed dimensions of words, sources and languages.
 WORDS, SOURCES, LANGS = 512, 64, 16
-ROUNDS, SHARE = 3, 0.1
+#: Rounds of exchange, share of the unlabelled documents that a view labels in each, and the odds that they must reach.
+ROUNDS, SHARE, SURE = 3, 0.1, 2.0
 #: Good documents that may fall under the threshold when it is chosen, as a share.
 LOST = 0.005
 
@@ -93,55 +96,46 @@ def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class CoTrained:
-    """Fitted views, their calibration and combination, and the threshold of rejection."""
-
-    def __init__(self, content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, share: float = SHARE, lost: float = LOST):
-        known = np.flatnonzero(~np.isnan(label))
-        rate = float(label[known].mean()) if len(known) else 1.0
-        self.constant = rate if len(known) < 20 or min((label[known] > 0.5).sum(), (label[known] <= 0.5).sum()) < 5 else None
-        self.threshold = -1.0
+    """Both views, their calibration and combination, and the threshold of rejection."""
+
+    def __init__(self, content: np.ndarray, meta: np.ndarray, label: np.ndarray):
+        """The first fit, on labelled documents; rows in an order that has nothing to do with their labels."""
+        good = label > 0.5
+        rate = float(label.mean()) if len(label) else 1.0
+        self.rate, self.threshold = rate, -1.0
+        self.constant = rate if len(label) < 20 or min(good.sum(), (~good).sum()) < 5 else None
         if self.constant is not None:
             return
-        held, fit = known[::4], np.setdiff1d(known, known[::4])
-        views, own = (content, meta), [dict.fromkeys(fit, None), dict.fromkeys(fit, None)]
-        guess = [{}, {}]
-        pool = set(np.flatnonzero(np.isnan(label)))
-        self.weights = [None, None]
-        for turn in range(rounds + 1):
-            for v in (0, 1):
-                at = np.fromiter(own[v], int)
-                y = np.array([guess[v].get(i, label[i]) for i in at]).astype(float)
-                self.weights[v] = _fit(views[v][at], (y > 0.5).astype(float), np.where(np.isnan(label[at]), 0.5, 1.0))
-            if turn == rounds:
-                break
-            for v in (0, 1):
-                free = np.array(sorted(pool - guess[1 - v].keys()), int)
-                if not len(free):
-                    continue
-                odds = _odds(views[v][free], self.weights[v])
-                take = max(1, int(len(free) * share))
-                for side in (1, 0):
-                    n = max(1, round(take * (rate if side else 1 - rate)))
-                    best = np.argsort(-odds if side else odds, kind="stable")[:n]
-                    for i in free[best[np.abs(odds[best]) > 2.0]]:
-                        guess[1 - v].setdefault(i, float((odds[free == i] > 0)[0]))
-                        own[1 - v].setdefault(i, None)
-        y = (label[held] > 0.5).astype(float)
-        odds = [_odds(views[v][held], self.weights[v]) for v in (0, 1)]
-        one = np.ones(len(held))
-        self.platt = [_fit(o[:, None], y, one, 0.01) for o in odds]
+        back = np.arange(len(label)) % 4 == 0
+        self.known = [(x[~back], good[~back].astype(float), np.ones((~back).sum())) for x in (content, meta)]
+        self.held = (content[back], meta[back], good[back].astype(float))
+        self.weights = [_fit(*known) for known in self.known]
+
+    def take(self, view: int, x: np.ndarray, guess: np.ndarray) -> None:
+        """Documents that the other view has labelled; they count half."""
+        known = self.known[view]
+        self.known[view] = (np.vstack([known[0], x]), np.append(known[1], guess), np.append(known[2], np.full(len(x), 0.5)))
+        self.weights[view] = _fit(*self.known[view])
+
+    def odds(self, content: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+        return [_odds(x, w) for x, w in zip((content, meta), self.weights, strict=True)]
+
+    def calibrate(self, lost: float = LOST) -> None:
+        content, meta, y = self.held
+        half = np.arange(len(y)) % 2 == 0
+        odds, one = self.odds(content[half], meta[half]), np.ones(half.sum())
+        self.platt = [_fit(o[:, None], y[half], one, 0.01) for o in odds]
         both = np.stack([_odds(o[:, None], c) for o, c in zip(odds, self.platt, strict=True)], axis=1)
-        self.combine = _fit(both, y, one, 0.01)
-        scores = self.score(content[held], meta[held])
-        good = np.sort(scores[y > 0.5])
+        self.combine = _fit(both, y[half], one, 0.01)
+        good = np.sort(self.score(content[~half], meta[~half])[y[~half] > 0.5])
         self.threshold = min(0.5, float(good[int(len(good) * lost)])) if len(good) else 0.5
+        self.known = self.held = None
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """Calibrated probability that each document is good."""
         if self.constant is not None:
             return np.full(len(content), self.constant)
-        odds = [_odds(x, w) for x, w in zip((content, meta), self.weights, strict=True)]
-        both = np.stack([_odds(o[:, None], c) for o, c in zip(odds, self.platt, strict=True)], axis=1)
+        both = np.stack([_odds(o[:, None], c) for o, c in zip(self.odds(content, meta), self.platt, strict=True)], axis=1)
         return 1 / (1 + np.exp(-_odds(both, self.combine).astype(float)))
 
 
@@ -157,25 +151,72 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return content_features(batch.column("text")), metadata_features(batch.column("source").to_pandas(), batch.column("lang").to_pandas(), chars)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> CoTrained:
-    """Fits on the bounded samples; ids first (two small sorts by hash), then features of just those documents."""
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull())
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("label"))
-    labelled = ids.join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(max_labelled)
-    others = ids.join(known, "doc_id", "left_anti").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(max_unlabelled)
-    sample = labelled.unionByName(others.withColumn("label", F.lit(None).cast("double")))
+def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """doc_id and label of the chosen rows (a bounded number, which is broadcast), in order of id, and both views' features."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             content, meta = _views(batch)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": pa.array([r.tobytes() for r in np.hstack([content, meta]).astype(np.float16)], pa.binary())})
 
-    # At most max_labelled + max_unlabelled ids are broadcast.
-    rows = _columns(docs).join(F.broadcast(sample), "doc_id").mapInArrow(features, "doc_id long, label double, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = _columns(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, label double, x binary").toPandas()
+    rows = rows.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     width = 9 + WORDS
     x = np.array([np.frombuffer(v, np.float16) for v in rows["x"]], np.float32).reshape(len(rows), width + SOURCES + LANGS + 24)
-    return CoTrained(x[:, :width], x[:, width:], rows["label"].to_numpy(float))
+    return rows[["doc_id", "label"]], x[:, :width], x[:, width:]
+
+
+def view_odds(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """doc_id, content, meta: the log-odds that each view gives each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content, meta = model.odds(*_views(batch))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "content": pa.array(content, pa.float64()), "meta": pa.array(meta, pa.float64())})
+
+    return _columns(docs).mapInArrow(run, "doc_id long, content double, meta double")
+
+
+def surest(odds: DataFrame, rate: float, share: float = SHARE, most: int = MAX_GUESSED) -> DataFrame:
+    """doc_id, view (that is to learn), label: of the documents that each view is surest of, most for each side.
+
+    A view labels share * rate of all documents good and share * (1 - rate) poor, those beyond these quantiles of its
+    odds, if they also reach SURE.
+    """
+    cuts = [share * (1 - rate), 1 - share * rate]
+    low_c, high_c, low_m, high_m = (v for c in ("content", "meta") for v in odds.agg(F.percentile_approx(c, cuts, 100_000)).first()[0])
+    order, out = F.xxhash64(F.col("doc_id").cast("string")), None
+    for view, (c, low, high) in ((1, ("content", low_c, high_c)), (0, ("meta", low_m, high_m))):
+        for label, sure in ((1.0, F.col(c) >= max(high, SURE)), (0.0, F.col(c) <= min(low, -SURE))):
+            one = odds.filter(sure).select("doc_id").orderBy(order, "doc_id").limit(most).select("doc_id", F.lit(view).alias("view"), F.lit(label).alias("label"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, max_guessed: int = MAX_GUESSED, rounds: int = ROUNDS) -> CoTrained:
+    """Fits on the bounded samples, after rounds of scoring all unlabelled documents."""
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("label"))
+    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull())
+    labelled = ids.join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(max_labelled)
+    rows, content, meta = _sampled(docs, labelled)
+    model = CoTrained(content, meta, rows["label"].to_numpy(float))
+    if model.constant is not None:
+        return model
+    seen: tuple[set, set] = (set(), set())
+    for _ in range(rounds):
+        odds = materialise(view_odds(docs, model).filter("doc_id IS NOT NULL").join(known.select("doc_id"), "doc_id", "left_anti"), "odds")
+        if odds.isEmpty():
+            break
+        guessed = [r for r in surest(odds, model.rate, most=max_guessed).collect() if r["doc_id"] not in seen[r["view"]]]
+        for view in (0, 1):
+            chosen = {r["doc_id"]: r["label"] for r in guessed if r["view"] == view}
+            seen[view].update(chosen)
+            if chosen:
+                rows, *views = _sampled(docs, docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, label double"))
+                model.take(view, views[view], rows["label"].to_numpy(float))
+    model.calibrate()
+    return model
 
 
 def score_documents(docs: DataFrame, model: CoTrained) -> DataFrame:
