@@ -312,6 +312,8 @@ def test_elias_fano():
         assert (held[np.arange(n)] == values).all()
         asked = rng.integers(0, top + 2, 500, dtype=np.uint64)
         assert (held.successor(asked) == np.searchsorted(values, asked)).all()
+    close = np.sort(rng.integers(0, 2**50, 20_000, dtype=np.uint64))
+    assert sum(map(len, ngram_model.EliasFano.encode(close)[2:])) < 0.8 * close.nbytes
 
 
 def test_leaks(spark):

@@ -7,8 +7,8 @@ The model is an interpolated bigram with absolute discounting over words and an
 The trie's first level holds the contexts v with their quantised back-off weight D N(v) / C(v); a monotone pointer
 leads to the range of v's successors in the second level, which holds them in order with the quantised discounted
 probability. Successor words are stored relative to their context (the context's place times a fixed width), so the
-whole level is one monotone sequence. Both levels and the pointers are Elias-Fano coded in one file, which a task maps
-into memory and searches with vectorised successor search.
+whole level is one monotone sequence. Both levels and the pointers are Elias-Fano coded in one piece of mapped memory,
+whose bits a task searches as they are, with vectorised successor search.
 
 The trie is split by ranges of context hash into shards that grow in number, not in size, with the corpus. Documents
 are dealt to blocks; a block sends the distinct n-grams of its documents with their training counts, pre-aggregated,
@@ -29,8 +29,7 @@ documents every token has probability 1 under the base and the model; extra colu
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,14 +49,17 @@ TOKEN_BYTES, MOST_HOT = 6, 200_000
 
 
 class EliasFano:
-    """A monotone sequence: low bytes stored plainly, high parts as a unary bit string. Arrays may be memory-mapped."""
+    """A monotone sequence: low bytes stored plainly, high parts as a unary bit string (a one for each element, a zero at
+    each bucket's end) that is searched as it is, with the ones before every BLOCK words as its only directory. Arrays may
+    be memory-mapped; nothing is unpacked."""
+
+    #: 64-bit words between two entries of the directory.
+    BLOCK = 8
 
     def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bytes, self.low = n, low_bytes, low
-        bits = np.unpackbits(high)
-        ones = np.flatnonzero(bits)[:n]
-        self.high = (ones - np.arange(n)).astype(np.uint64)
-        self.begin = np.searchsorted(self.high, np.arange(int(self.high[-1]) + 2 if n else 1, dtype=np.uint64))
+        self.n, self.low_bytes, self.low, self.bits = n, low_bytes, low, high.view("<u8")
+        ones = np.add.reduceat(np.bitwise_count(self.bits).astype(np.int64), np.arange(0, len(self.bits), self.BLOCK))
+        self.before = np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32 if n < 1 << 32 else np.int64)
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[int, int, bytes, bytes]:
@@ -67,9 +69,31 @@ class EliasFano:
         low_bytes = min(7, ((max(1, top // max(1, n)).bit_length() - 1) + 7) // 8)
         raw = values.astype("<u8").view(np.uint8).reshape(n, 8)
         high = (values >> np.uint64(8 * low_bytes)).astype(np.int64)
-        bits = np.zeros(int(high[-1]) + n + 1 if n else 1, np.uint8)
+        length = int(high[-1]) + n + 1 if n else 1
+        bits = np.zeros(-(-length // 64) * 64, np.uint8)
         bits[high + np.arange(n)] = 1
-        return n, low_bytes, np.ascontiguousarray(raw[:, :low_bytes]).tobytes(), np.packbits(bits).tobytes()
+        return n, low_bytes, np.ascontiguousarray(raw[:, :low_bytes]).tobytes(), np.packbits(bits, bitorder="little").tobytes()
+
+    def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
+        """Place of the k-th one (or zero), counted from 0: by directory, then by word, then by halves of the word."""
+        held = self.before.astype(np.int64)
+        if zeros:
+            held = np.arange(len(held)) * 64 * self.BLOCK - held
+        block = np.searchsorted(held, k, "right") - 1
+        left, word = k - held[block], block * self.BLOCK
+        flip = np.uint64(0xFFFFFFFFFFFFFFFF) if zeros else np.uint64(0)
+        for _ in range(self.BLOCK - 1):
+            count = np.bitwise_count(self.bits[np.minimum(word, len(self.bits) - 1)] ^ flip).astype(np.int64)
+            on = left >= count
+            left, word = np.where(on, left - count, left), np.where(on, word + 1, word)
+            if not on.any():
+                break
+        rest, at = self.bits[word] ^ flip, np.zeros(len(k), np.uint64)
+        for width in (32, 16, 8, 4, 2, 1):
+            count = np.bitwise_count((rest >> at) & np.uint64((1 << width) - 1)).astype(np.int64)
+            on = left >= count
+            left, at = np.where(on, left - count, left), np.where(on, at + np.uint64(width), at)
+        return word * 64 + at.astype(np.int64)
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), np.uint64)
@@ -78,24 +102,27 @@ class EliasFano:
         return out
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        return (self.high[at] << np.uint64(8 * self.low_bytes)) | self._low(at)
+        return ((self._select(at, False) - at).astype(np.uint64) << np.uint64(8 * self.low_bytes)) | self._low(at)
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """Index of the first element not below each value (n if none): a search inside the value's bucket."""
+        out = np.full(len(values), self.n, np.int64)
         if not self.n:
-            return np.zeros(len(values), np.int64)
+            return out
         shift = np.uint64(8 * self.low_bytes)
-        bucket = np.minimum((values >> shift).astype(np.int64), len(self.begin) - 1)
-        past = (values >> shift) > self.high[-1]
-        lo = self.begin[bucket]
-        hi = self.begin[np.minimum(bucket + 1, len(self.begin) - 1)]
-        want = values & ((np.uint64(1) << shift) - np.uint64(1))
+        last = int(self._select(np.array([self.n - 1]), False)[0]) - self.n + 1
+        inside = np.flatnonzero((values >> shift) <= np.uint64(last))
+        bucket = (values[inside] >> shift).astype(np.int64)
+        lo = np.where(bucket > 0, self._select(np.maximum(bucket - 1, 0), True) - np.maximum(bucket - 1, 0), 0)
+        hi = self._select(bucket, True) - bucket
+        want = values[inside] & ((np.uint64(1) << shift) - np.uint64(1))
         while (open_ := lo < hi).any():
             middle = (lo + hi) >> 1
             below = np.zeros(len(lo), bool)
             below[open_] = self._low(middle[open_]) < want[open_]
             lo, hi = np.where(open_ & below, middle + 1, lo), np.where(open_ & ~below, middle, hi)
-        return np.where(past, self.n, lo)
+        out[inside] = lo
+        return out
 
 
 def quantise(p: np.ndarray, levels: int = 254) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +140,7 @@ def quantise(p: np.ndarray, levels: int = 254) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """A shard's trie in a memory-mapped file."""
+    """A shard's trie in mapped memory of its own, which only its task sees and which no file backs."""
 
     def __init__(self, contexts: np.ndarray, backoff: np.ndarray, place: np.ndarray, successor: np.ndarray, p: np.ndarray):
         """contexts: ascending; place and successor: of each n-gram, ascending by both; p: its discounted probability."""
@@ -121,19 +148,20 @@ class Trie:
         codes, self.book = quantise(p)
         pointers = np.searchsorted(place, np.arange(len(contexts) + 1)).astype(np.uint64)
         levels = [EliasFano.encode(x) for x in (contexts, pointers, (place.astype(np.uint64) << np.uint64(40)) | successor)]
-        handle, self.path = tempfile.mkstemp(suffix=".trie")
-        with os.fdopen(handle, "wb") as f:
-            for _, _, low, high in levels:
-                f.write(low)
-                f.write(high)
-            f.write(codes.tobytes())
-            f.write(b"\0")
-        held = np.memmap(self.path, np.uint8, "r")
-        at, self.levels = 0, []
-        for n, low_bytes, low, high in levels:
-            self.levels.append(EliasFano(n, low_bytes, held[at : at + len(low)].reshape(n, low_bytes), held[at + len(low) : at + len(low) + len(high)]))
-            at += len(low) + len(high)
+        # Words first, so that they lie at multiples of eight bytes.
+        self.memory = mmap.mmap(-1, sum(len(high) + len(low) for _, _, low, high in levels) + len(codes) + 1)
+        for part in (*(high for *_, high in levels), *(low for _, _, low, _ in levels), codes.tobytes()):
+            self.memory.write(part)
+        held = np.frombuffer(self.memory, np.uint8)
+        at, self.levels, highs = 0, [], []
+        for *_, high in levels:
+            highs.append(held[at : at + len(high)])
+            at += len(high)
+        for (n, low_bytes, low, _), high in zip(levels, highs, strict=True):
+            self.levels.append(EliasFano(n, low_bytes, held[at : at + len(low)].reshape(n, low_bytes), high))
+            at += len(low)
         self.codes = held[at : at + len(codes)]
+        self.size = at + len(codes)
 
     def find_contexts(self, v: np.ndarray) -> np.ndarray:
         """Place of each context, -1 if the trie lacks it."""
@@ -156,10 +184,6 @@ class Trie:
         out[known[same]] = self.codes[at[same]]
         return out
 
-    def close(self) -> None:
-        self.levels, self.codes = [], None
-        os.unlink(self.path)
-
 
 class Block:
     """The distinct words and bigrams of a block's documents; the same texts always give the same order."""
@@ -211,7 +235,7 @@ class Layout:
     """What a block sends to each shard: words (those at home there and the hot contexts sliced there) and n-grams."""
 
     def __init__(self, b: Block, shards: int, hot: Hot):
-        n, home = len(b.v), np.searchsorted(np.array([(s << 64) // shards for s in range(1, shards)], np.uint64), b.v, "right")
+        n, home = len(b.v), ((b.v >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         place = hot.place(b.v)
         at = home[b.of]
         sliced = np.flatnonzero(place[b.of] >= 0)
@@ -283,12 +307,9 @@ def _answer(discount: float, hot: Broadcast):
         held = np.flatnonzero(total > 0)
         rank = np.cumsum(total > 0) - 1
         trie = Trie(v[held], discount * kinds[held] / total[held], rank[place], key & np.uint64((1 << 40) - 1), np.maximum(c - discount, 0) / total[place] if len(key) else c)
-        try:
-            spot = trie.find_contexts(v)
-            codes = trie.find_successors(spot[asked_of], to)
-            backoff = np.where(spot >= 0, np.append(trie.backoff_codes, 0)[spot], 0).astype(np.uint8)
-        finally:
-            trie.close()
+        spot = trie.find_contexts(v)
+        codes = trie.find_successors(spot[asked_of], to)
+        backoff = np.where(spot >= 0, np.append(trie.backoff_codes, 0)[spot], 0).astype(np.uint8)
         books = np.concatenate([trie.backoff_book, trie.book]).astype("<f4").tobytes()
         rows: dict[int, tuple] = {}
         a = g = 0
@@ -374,7 +395,7 @@ def score_documents(docs: DataFrame, train: Column, discount: float = DISCOUNT,
     shards = blocks // 2 + 1
     total, distinct, found = vocabulary(base, max(size // shards // TOKEN_BYTES, size // MOST_HOT, block_bytes // TOKEN_BYTES, 1))
     hot = docs.sparkSession.sparkContext.broadcast(found)
-    base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     asked = base.groupBy("block").applyInArrow(_ask(shards, hot), _ASKED)
     answered = asked.groupBy("shard").applyInArrow(_answer(discount, hot), _ANSWERED)
     scored = _score(smooth, total, distinct, shards, hot)
