@@ -93,12 +93,47 @@ def aligned_spend(delivery: DataFrame, mappings: DataFrame, windows: DataFrame,
     return rows.groupBy("age").agg(F.sum("spend").cast("double").alias("aligned_spend"), F.count_distinct("currency").alias("currencies"), F.count_distinct(F.struct("campaign", "report_date")).alias("campaign_days"))
 
 
+def roas_currencies(cohorts: DataFrame, windows: DataFrame, mappings: DataFrame, delivery: DataFrame, as_of: Column) -> DataFrame:
+    """age, slice, n: the currencies behind a return, those of aligned mature cohorts and of the spend that bought them."""
+    rows = with_maturity(without_doubled_totals(cohorts, IDENTITY), windows, as_of).filter(F.col("mature") & ~scalars.is_organic(F.col("media_source")))
+    earned = populations.flag(rows, aligned_days(delivery, mappings), "aligned").filter("aligned").select("age", F.explode(F.array_distinct(F.array("revenue_type", F.lit("total")))).alias("slice"), "currency")
+    mapped = populations.marketing(delivery, mappings).filter("mapped").withColumn("install_date", F.col("report_date"))
+    aged = mapped.select("*", F.explode(F.array(*map(F.lit, vocab.COHORT_AGES))).alias("age"))
+    spent = with_maturity(aged, windows, as_of).filter("mature").select("age", F.explode(F.array(*map(F.lit, (*vocab.COMPONENTS, "total")))).alias("slice"), "currency")
+    return earned.unionByName(spent).groupBy("age", "slice").agg(F.count_distinct("currency").alias("n"))
+
+
 def cohort_metrics(cohorts: DataFrame, installs: DataFrame, delivery: DataFrame, mappings: DataFrame, windows: DataFrame, as_of: Column) -> DataFrame:
-    """The 18 cohort metrics, gated and with reasons."""
+    """The 18 cohort metrics: blocks in order (no horizon, no cohorts, days not read, days too young, currencies), then
+    arithmetic, then caveats: days or rows that were left out make a value partial."""
     flat = lambda df, names, tag: df.select(*(F.struct(F.concat_ws("_", F.lit(n), *tag).alias("measure"), F.col(c).cast("double").alias("value")).alias(n) for c, n in names))
     long = lambda df, names, *tag: flat(df, names, tag).select(F.inline(F.array(*(n for _, n in names))))
-    parts = long(slices(cohorts, windows, mappings, delivery, as_of), [("mature", "mature"), ("aligned", "aligned"), ("currencies", "cohort_currencies")], F.col("slice"), F.col("age").cast("string"))
-    taken = long(install_maturity(installs, windows, as_of), [("mature_installs", "mature_installs")], F.col("age").cast("string"))
-    paid = long(aligned_spend(delivery, mappings, windows, as_of), [("aligned_spend", "aligned_spend")], F.col("age").cast("string"))
-    values = parts.unionByName(taken).unionByName(paid).agg(F.map_from_entries(F.collect_list(F.struct("measure", "value"))).alias("m"))
-    return metrics.evaluate(values, metrics.COHORT)
+    age = F.col("age").cast("string")
+    parts = long(slices(cohorts, windows, mappings, delivery, as_of), [(c, c) for c in ("mature", "aligned", "mature_mapped", "mature_unmapped", "early_read_rows", "currencies")], F.col("slice"), age)
+    taken = long(install_maturity(installs, windows, as_of), [(c, c) for c in ("mature_installs", "mature_days", "immature_days", "uncovered_days")], age)
+    paid = long(aligned_spend(delivery, mappings, windows, as_of), [("aligned_spend", "aligned_spend")], age)
+    money = long(roas_currencies(cohorts, windows, mappings, delivery, as_of), [("n", "roas_currencies")], F.col("slice"), age)
+    values = parts.unionByName(taken).unionByName(paid).unionByName(money).agg(F.map_from_entries(F.collect_list(F.struct("measure", "value"))).alias("m"))
+    get = lambda *name: F.coalesce(F.col("m")[F.lit("_".join(map(str, name)))], F.lit(0.0))
+
+    def row(m: metrics.Metric) -> Column:
+        kind, at = m.money.removeprefix("cohort_currencies_").rsplit("_", 1)
+        roas, ratio = "roas" in m.key, m.denominator is not None
+        top, below = get(m.numerator), get(m.denominator) if ratio else F.lit(None).cast("double")
+        ripe, young, unread = get("mature_days", at), get("immature_days", at), get("uncovered_days", at)
+        reason = (
+            F.when(as_of.isNull(), "provider_stale").when(ripe + young + unread == 0, "no_cohorts").when((ripe == 0) & (unread > 0), "provider_stale_days").when(ripe == 0, "immature_cohort")
+            .when(get("roas_currencies" if roas else "currencies", kind, at) > 1, "mixed_currency")
+        )
+        if ratio:
+            reason = reason.when(below <= 0, "missing_denominator").when(below < m.minimum, "below_minimum")
+        left_out = (young > 0) | (unread > 0) | (get("early_read_rows", kind, at) > 0)
+        if roas:
+            left_out = left_out | (get("mature_unmapped", kind, at) > 0) | (get("mature_mapped", kind, at) > get("aligned", kind, at))
+        blocked = reason.isin("provider_stale_days", "immature_cohort", "mixed_currency")
+        return F.struct(
+            F.lit(m.key).alias("metric"), F.when(reason.isNull(), scalars.ratio(top, below, m.minimum) if ratio else top).alias("value"), F.when(blocked, "blocked").when(reason.isNotNull(), "unavailable").when(left_out, "partial").otherwise("available").alias("availability"),
+            F.coalesce(F.when(reason == "provider_stale_days", "provider_stale").otherwise(reason), F.when(left_out, "left_out")).alias("reason"),
+        )
+
+    return values.select(F.inline(F.array(*map(row, metrics.COHORT))))

@@ -117,20 +117,55 @@ def operational_metrics(delivery: DataFrame, installs: DataFrame, revenue: DataF
     return evaluate(values, OPERATIONAL)
 
 
+#: Which feeds a family of metrics rests on.
+SOURCES = {"delivery": ("marketing",), "attribution": ("attribution",), "unified": ("marketing", "attribution"), "coverage": ("marketing", "attribution"), "cohort": ("attribution",)}
+
+
 def gate(reason: Column, provider: Column, capability: Column, freshness: Column, overdue: Column, coverage: Column, ambiguous: Column) -> Column:
     """availability and blocker from a metric's surroundings; the first condition that holds decides."""
     say = lambda a, b: F.struct(F.lit(a).alias("availability"), F.lit(b).cast("string").alias("blocker"))
-    return (
-        F.when(reason.isNotNull(), F.struct(F.lit("unavailable").alias("availability"), reason.alias("blocker")))
-        .when(~provider, say("unavailable", "missing_provider"))
-        .when(~capability, say("unavailable", "missing_capability"))
-        .when(freshness.isin("stale", "error"), say("unavailable", "provider_stale"))
-        .when(overdue, say("unavailable", "provider_stale"))
-        .when(freshness == "delayed", say("partial", "provider_stale"))
-        .when(coverage < vocab.COVERAGE_FLOOR, say("partial", "missing_mapping"))
-        .when(ambiguous > vocab.AMBIGUOUS_CEILING, say("partial", "ambiguous_mapping"))
-        .otherwise(say("available", None))
-    )
+    gates = (
+        (reason.isNotNull(), "unavailable", "unsupported_metric"), (~provider, "unavailable", "missing_provider"), (~capability, "unavailable", "unsupported_metric"), (freshness.isin("stale", "error"), "stale", "provider_stale"), (overdue, "stale", "provider_stale"),
+        (freshness == "delayed", "partial", "provider_stale"), (coverage < vocab.COVERAGE_FLOOR, "partial", "insufficient_coverage"), (ambiguous > vocab.AMBIGUOUS_CEILING, "partial", "ambiguous_mapping"),
+    )
+    out = F.when(F.lit(False), say("available", None))
+    for condition, availability, blocker in gates:
+        out = out.when(F.coalesce(condition, F.lit(False)), say(availability, blocker))
+    return out.otherwise(say("available", None))
+
+
+def in_context(evaluated: DataFrame, context: DataFrame, metrics: tuple[Metric, ...], tolerance: dict[str, int]) -> DataFrame:
+    """evaluated metrics under the gates of their surroundings: a value keeps the stricter of both availabilities.
+
+    context, one row: roles (those connected), unsupported (metrics that no provider exposes), marketing_status,
+    attribution_status, marketing_minutes, attribution_minutes (since the last success), spend_coverage,
+    ambiguous_spend (per cent). tolerance: minutes by family. Blocked and unavailable values stay as they are.
+    """
+    told = evaluated.sparkSession.createDataFrame([(m.key, list(SOURCES[m.family]), tolerance[m.family]) for m in metrics], "metric string, feeds array<string>, tolerated int")
+    rows = evaluated.join(F.broadcast(told), "metric").crossJoin(F.broadcast(context))
+    of = lambda name: F.when(F.array_contains("feeds", name), F.col(f"{name}_status"))
+    late = lambda name: F.array_contains("feeds", name) & (F.col(f"{name}_minutes") > F.col("tolerated"))
+    both = F.size("feeds") == 2
+    verdict = gate(
+        F.when(F.array_contains("unsupported", F.col("metric")), "not_exposed"), F.size(F.array_except("feeds", "roles")) == 0, F.lit(True), scalars.worst_of(F.array(of("marketing"), of("attribution"))), late("marketing") | late("attribution"),
+        F.when(both, F.col("spend_coverage")), F.when(both, F.col("ambiguous_spend")),
+    )
+    order = {"available": 0, "partial": 1, "stale": 2, "unavailable": 3, "blocked": 4}
+    rank = lambda c: scalars.lookup(order, c)
+    judged = rows.withColumn("gate", verdict).withColumn("gated", rank(F.col("gate.availability")) >= rank(F.col("availability")))
+    hidden = F.col("gate.availability") == "unavailable"
+    return judged.select(
+        "metric", F.when(~hidden, F.col("value")).alias("value"), F.when(F.col("gated"), F.col("gate.availability")).otherwise(F.col("availability")).alias("availability"),
+        F.when(F.col("gated") & F.col("gate.blocker").isNotNull(), F.col("gate.blocker")).otherwise(F.col("reason")).alias("blocker"),
+    )
+
+
+def document(gated: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
+    """One row a family: how many metrics it has and shows, those that are qualified, and their blockers. Lists are as long as the catalogue."""
+    told = gated.sparkSession.createDataFrame([(m.key, m.family) for m in metrics], "metric string, family string")
+    rows = gated.join(F.broadcast(told), "metric")
+    qualified = F.array_sort(F.collect_list(F.when(F.col("availability") != "available", F.concat_ws(":", "metric", "availability"))))
+    return rows.groupBy("family").agg(F.count("*").alias("metrics"), F.count("value").alias("shown"), F.array_join(qualified, ",").alias("qualified"), F.array_join(F.array_sort(F.collect_set("blocker")), ",").alias("blockers"))
 
 
 def confidence(*components: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import cohorts, decisions, merge, quality
-from tidemark.plans.bridge import view, with_views
+from tidemark.plans.bridge import held, view, with_views
 from tidemark.plans.queries_metrics import OPERATIONAL, ORGANIC
 
 QUERIES: dict = {}
@@ -83,23 +83,27 @@ ORACLE["cohort_aligned_spend"] = with_views("", *_FACTS).rstrip() + _MATURE + ",
 
 
 def cohort_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, installs, delivery, mappings, windows = _views(spark, sf_dir, "cohorts", "installs", "delivery", "mappings", "coverage")
-    return cohorts.cohort_metrics(rows, installs, delivery, mappings, windows, _as_of(spark, sf_dir)).select("metric", "value", "availability", "reason")
+    rows, installs, delivery, mappings, windows = map(held, _views(spark, sf_dir, "cohorts", "installs", "delivery", "mappings", "coverage"))
+    return cohorts.cohort_metrics(rows, installs, delivery, mappings, windows, _as_of(spark, sf_dir))
 
 
-_RATIO = """SELECT 'cohort_' || CASE slice WHEN 'total' THEN '' ELSE slice || '_' END || '{kind}_d' || CAST(age AS STRING) AS metric, CASE WHEN coalesce(currencies > 1, FALSE) OR {top} IS NULL {bad} THEN NULL ELSE {value} END AS value,
-CASE WHEN coalesce(currencies > 1, FALSE) THEN 'blocked' WHEN {top} IS NULL {bad} THEN 'unavailable' ELSE 'available' END AS availability,
-CASE WHEN coalesce(currencies > 1, FALSE) THEN 'mixed_currency' WHEN {top} IS NULL THEN 'not_reported' {why} END AS reason FROM f"""
-_BAD = "OR {0} IS NULL OR {0} < {1}"
-_WHY = "WHEN {0} IS NULL OR {0} <= 0 THEN 'missing_denominator' WHEN {0} < {1} THEN 'below_minimum'"
+_RATIO = """SELECT 'cohort_' || CASE slice WHEN 'total' THEN '' ELSE slice || '_' END || '{kind}_d' || CAST(age AS STRING) AS metric, CASE WHEN blocked IS NULL AND {cur} <= 1 {good} THEN {value} END AS value,
+CASE WHEN blocked IN ('provider_stale', 'immature_cohort') OR (blocked IS NULL AND {cur} > 1) THEN 'blocked' WHEN blocked IS NOT NULL OR NOT (TRUE {good}) THEN 'unavailable' WHEN {left} THEN 'partial' ELSE 'available' END AS availability,
+CASE WHEN blocked IS NOT NULL THEN blocked WHEN {cur} > 1 THEN 'mixed_currency' {why} WHEN {left} THEN 'left_out' END AS reason FROM f"""
+_GOOD = "AND {0} > 0 AND {0} >= {1}"
+_WHY = "WHEN {0} <= 0 THEN 'missing_denominator' WHEN {0} < {1} THEN 'below_minimum'"
+_OUT = "(young > 0 OR unread > 0 OR early > 0)"
 ORACLE["cohort_metrics"] = (
     with_views("", *_FACTS).rstrip() + _MATURE + ",\n" + ",\n".join((_SLICES, _TAKEN, _PAID))
-    + """, f AS (SELECT g.slice, ages.age, mature, aligned, z.currencies, CAST(mature_installs AS DOUBLE) AS taken, aligned_spend AS paid FROM ages CROSS JOIN (SELECT unnest(['iap', 'ad', 'total']) AS slice) g
-LEFT JOIN z ON z.age = ages.age AND z.slice = g.slice LEFT JOIN n ON n.age = ages.age LEFT JOIN p ON p.age = ages.age)\n"""
+    + f""", rc AS (SELECT age, slice, count(DISTINCT currency) AS n FROM (SELECT age, slice, currency FROM y WHERE {_RIPE} AND NOT organic AND aligned UNION ALL SELECT age, slice, currency FROM
+ (SELECT *, {_STATE} FROM (SELECT *, report_date AS install_date FROM delivery WHERE campaign IN (SELECT source FROM link)) d, ages, h LEFT JOIN days ON install_date = day) w, (SELECT unnest(['iap', 'ad', 'total']) AS slice) WHERE matured AND covered) u GROUP BY 1, 2),
+f AS (SELECT g.slice, ages.age, coalesce(mature, 0) AS mature, coalesce(aligned, 0) AS aligned, coalesce(z.currencies, 0) AS currencies, coalesce(rc.n, 0) AS roas_currencies, CAST(coalesce(mature_installs, 0) AS DOUBLE) AS taken, coalesce(aligned_spend, 0) AS paid, coalesce(immature_days, 0) AS young, coalesce(uncovered_days, 0) AS unread,
+ coalesce(early_read_rows, 0) AS early, coalesce(mature_unmapped, 0) AS unmapped, coalesce(mature_mapped, 0) AS mapped, CASE WHEN coalesce(mature_days + immature_days + uncovered_days, 0) = 0 THEN 'no_cohorts' WHEN mature_days = 0 AND uncovered_days > 0 THEN 'provider_stale' WHEN mature_days = 0 THEN 'immature_cohort' END AS blocked
+ FROM ages CROSS JOIN (SELECT unnest(['iap', 'ad', 'total']) AS slice) g LEFT JOIN z ON z.age = ages.age AND z.slice = g.slice LEFT JOIN n ON n.age = ages.age LEFT JOIN p ON p.age = ages.age LEFT JOIN rc ON rc.age = ages.age AND rc.slice = g.slice)\n"""
     + "\nUNION ALL ".join((
-        _RATIO.format(kind="revenue", top="mature", bad="", value="mature", why=""),
-        _RATIO.format(kind="rpi", top="mature", bad=_BAD.format("taken", 25), value="mature / taken", why=_WHY.format("taken", 25)),
-        _RATIO.format(kind="roas", top="aligned", bad=_BAD.format("paid", 1), value="aligned / paid", why=_WHY.format("paid", 1)),
+        _RATIO.format(kind="revenue", value="mature", cur="currencies", good="", why="", left=_OUT),
+        _RATIO.format(kind="rpi", value="mature / taken", cur="currencies", good=_GOOD.format("taken", 25), why=_WHY.format("taken", 25), left=_OUT),
+        _RATIO.format(kind="roas", value="aligned / paid", cur="roas_currencies", good=_GOOD.format("paid", 1), why=_WHY.format("paid", 1), left=f"({_OUT} OR unmapped > 0 OR mapped > aligned)"),
     ))
 )
 

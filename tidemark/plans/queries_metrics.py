@@ -169,6 +169,38 @@ ORACLE["operational_metrics_long"] = _sql(_FLAGS + _VALUES + _BODY, *_INPUTS)
 ORACLE["one_currency_metrics"] = _sql(_FLAGS.replace("FROM delivery)", "FROM delivery WHERE currency = 'USD')").replace("FROM revenue)", "FROM revenue WHERE currency = 'USD')") + _VALUES + _BODY, *_INPUTS)
 
 
+#: Minutes of staleness that each family tolerates, and the surroundings of the registered reading.
+TOLERANCE = {"delivery": 24 * 60, "attribution": 24 * 60, "unified": 24 * 60, "coverage": 24 * 60}
+_CONTEXT = """SELECT {roles} AS roles, {unsupported} AS unsupported, 'fresh' AS marketing_status, 'delayed' AS attribution_status, 90 AS marketing_minutes, 300 AS attribution_minutes,
+(SELECT CAST(sum(CASE WHEN m.source IS NOT NULL THEN spend ELSE 0 END) AS DOUBLE) / CAST(sum(spend) AS DOUBLE) * 100 FROM delivery LEFT JOIN (SELECT DISTINCT source FROM mappings WHERE {good}) m ON campaign = m.source) AS spend_coverage, CAST(0 AS DOUBLE) AS ambiguous_spend"""
+
+
+def _in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    delivery, installs, revenue, mappings = map(held, _tables(spark, sf_dir))
+    context = spark.sql(_CONTEXT.format(roles="array('marketing', 'attribution')", unsupported="array('link_clicks')", good=OPERATIONAL).replace("FROM delivery", "FROM {delivery}").replace("FROM mappings", "FROM {mappings}"), delivery=delivery, mappings=mappings)
+    return metrics.in_context(metrics.operational_metrics(delivery, installs, revenue, mappings), context, metrics.OPERATIONAL, TOLERANCE)
+
+
+def metrics_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric under the gates of its feeds, capabilities and coverage."""
+    return _in_context(spark, sf_dir)
+
+
+def performance_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each family shows, what is qualified, and why."""
+    return metrics.document(_in_context(spark, sf_dir), metrics.OPERATIONAL)
+
+
+_FAMILIES = "(VALUES " + ", ".join(f"('{m.key}', '{m.family}')" for m in metrics.OPERATIONAL) + ") AS k(metric, family)"
+_GATED = f""", ev AS ({_BODY}), cx AS ({_CONTEXT.format(roles="['marketing', 'attribution']", unsupported="['link_clicks']", good=OPERATIONAL)}),
+g AS (SELECT ev.metric, family, value, availability, reason, CASE WHEN ev.metric = 'link_clicks' THEN 'unavailable|unsupported_metric' WHEN family <> 'delivery' THEN 'partial|provider_stale' ELSE 'available|' END AS gate FROM ev JOIN {_FAMILIES} USING (metric), cx),
+o AS (SELECT *, split_part(gate, '|', 1) AS ga, nullif(split_part(gate, '|', 2), '') AS gb, list_position(['available', 'partial', 'stale', 'unavailable', 'blocked'], split_part(gate, '|', 1)) >= list_position(['available', 'partial', 'stale', 'unavailable', 'blocked'], availability) AS wins FROM g),
+gx AS (SELECT metric, family, CASE WHEN ga <> 'unavailable' THEN value END AS value, CASE WHEN wins THEN ga ELSE availability END AS availability, CASE WHEN wins AND gb IS NOT NULL THEN gb ELSE reason END AS blocker FROM o)
+"""
+ORACLE["metrics_in_context"] = _sql(_FLAGS + _VALUES.rstrip() + _GATED + "SELECT metric, value, availability, blocker FROM gx", *_INPUTS)
+ORACLE["performance_document"] = _sql(_FLAGS + _VALUES.rstrip() + _GATED + "SELECT family, count(*) AS metrics, count(value) AS shown, coalesce(string_agg(metric || ':' || availability, ',' ORDER BY metric || ':' || availability) FILTER (availability <> 'available'), '') AS qualified, coalesce((SELECT string_agg(DISTINCT blocker, ',' ORDER BY blocker) FROM gx b WHERE b.family = gx.family), '') AS blockers FROM gx GROUP BY family", *_INPUTS)
+
+
 @query("""SELECT coalesce(d.day, i.day, r.day) AS day, spend, impressions, clicks, installs, revenue FROM
 (SELECT report_date AS day, CAST(sum(spend) AS DOUBLE) AS spend, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks FROM delivery GROUP BY 1) d
 FULL JOIN (SELECT install_date AS day, CAST(sum(installs) AS BIGINT) AS installs FROM installs GROUP BY 1) i ON d.day = i.day
@@ -206,8 +238,11 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.sum("k").alias("total"), F.count_if(F.col("k").isNull()).alias("missing"))
 
 
+ORACLE["metric_definitions"] = "SELECT * FROM (VALUES " + ", ".join(f"('{m.key}', '{m.family}', '{m.unit}', '{m.grain}', '{m.numerator}', {repr(m.denominator) if m.denominator else 'NULL'}, CAST({m.minimum} AS DOUBLE))" for m in metrics.OPERATIONAL + metrics.COHORT) + ") AS d(metric, family, unit, grain, numerator, denominator, minimum)"
+
+
 def metric_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metric_definitions(spark)
 
 
-QUERIES |= {f.__name__: f for f in (attribution_totals, revenue_split, mapped_spend, mapped_installs, delivery_aligned_installs, operational_metrics_long, one_currency_metrics, metric_definitions)}
+QUERIES |= {f.__name__: f for f in (attribution_totals, revenue_split, mapped_spend, mapped_installs, delivery_aligned_installs, operational_metrics_long, one_currency_metrics, metrics_in_context, performance_document, metric_definitions)}

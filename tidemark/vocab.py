@@ -13,7 +13,7 @@ PLATFORM_PATTERNS = {"ios": r"(^|[^a-z])i(os|phone|pad|pod)", "android": "androi
 AUTHORITATIVE = ("matched_exact", "matched_confident", "manually_verified")
 HUMAN_DECIDED = ("manually_verified", "rejected")
 OPERATIONAL_CONFIDENCE = 0.9
-AVAILABILITY = ("available", "partial", "unavailable", "blocked")
+AVAILABILITY = ("available", "partial", "stale", "unavailable", "blocked")
 FRESHNESS = ("fresh", "delayed", "stale", "error", "unknown", "not_supported", "not_applicable")
 RETRYABLE_ERRORS = ("rate_limited", "timeout", "network", "provider_unavailable")
 
