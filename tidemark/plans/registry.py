@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import queries_campaigns, queries_decisions, queries_history, queries_metrics
+from tidemark.plans import queries_campaigns, queries_decisions, queries_history, queries_metrics, queries_writes
 
-_MODULES = (queries_metrics, queries_campaigns, queries_history, queries_decisions)
+_MODULES = (queries_metrics, queries_campaigns, queries_history, queries_decisions, queries_writes)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE: dict = {k: q for m in _MODULES for k, q in m.ORACLE.items()}

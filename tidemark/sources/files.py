@@ -129,3 +129,53 @@ def demo_delivery(spark: SparkSession, first: str, days: int, campaigns: int = 3
         F.date_add(F.lit(first).cast("date"), F.floor(n / (campaigns * 3)).cast("int")).alias("report_date"), F.concat(F.lit("c"), F.pmod(F.floor(n / 3), F.lit(campaigns)).cast("string")).alias("campaign"), F.element_at(F.array(*map(F.lit, ("US", "GB", "DE"))), (n % 3 + 1).cast("int")).alias("country"),
         F.lit("ios").alias("platform"), F.lit("meta_ads").alias("provider"), F.lit("USD").alias("currency"), (noise / 10).cast("decimal(20,6)").alias("spend"), (noise * 20).alias("impressions"), noise.alias("clicks"), F.lit(None).cast("long").alias("link_clicks"),
     )
+
+
+def aggregate_installs(report: DataFrame) -> DataFrame:
+    """Installs that a report has summed by day and source: ids are null, certainty is unknown; rows without a day are left out."""
+    rows = report.select(scalars.iso_date(F.substr("date", F.lit(1), F.lit(10))).alias("install_date"), optional(report, "media_source").alias("media_source"), F.lit(None).cast("string").alias("campaign"), scalars.number(F.col("installs")).cast("long").alias("installs"))
+    return rows.filter("install_date IS NOT NULL").withColumn("certainty", F.lit("unknown"))
+
+
+def tracked_installs(report: DataFrame) -> DataFrame:
+    """A saved report's rows as deterministic installs: only tracked ones count, what networks report is not read."""
+    day = scalars.iso_date(F.substr(optional(report, "date", "day"), F.lit(1), F.lit(10)))
+    rows = report.select(
+        day.alias("install_date"), optional(report, "ad_network_name", "ad_network", "media_source").alias("media_source"), optional(report, "campaign_id", "campaign_ref_id").alias("campaign"), optional(report, "campaign_name", "campaign", "name").alias("name"),
+        scalars.country_code(optional(report, "country", "country_code")).alias("country"), scalars.platform(optional(report, "platform")).alias("platform"), scalars.number(F.coalesce("tracked_installs", F.lit("0"))).cast("long").alias("installs"), F.lit("deterministic").alias("certainty"),
+    )
+    return rows.filter("install_date IS NOT NULL")
+
+
+def campaign_directory(resources: DataFrame) -> DataFrame:
+    """campaign, name, remote_id, channel of JSON resources (column resource); those without an id are left out."""
+    shape = "id string, attributes struct<id:string,name:string,remote_campaign_id:string,channel_name:string>"
+    of = resources.select(F.from_json("resource", shape).alias("r"))
+    text = lambda c: scalars.blank_to_null(F.col(c))
+    rows = of.select(F.coalesce(text("r.attributes.id"), text("r.id")).alias("campaign"), text("r.attributes.name").alias("name"), text("r.attributes.remote_campaign_id").alias("remote_id"), text("r.attributes.channel_name").alias("channel"))
+    return rows.filter("campaign IS NOT NULL")
+
+
+def cohort_coverage(reports: DataFrame) -> DataFrame:
+    """age, kind, has: which returns a report's column names (columns) give at each age.
+
+    A total stands if both components are there, or if neither is and the provider has one of its own.
+    """
+    held = lambda kind, age: F.array_contains("columns", f"{kind}_{age}d")
+    rows = []
+    for age in vocab.COHORT_AGES:
+        iap, ad = held("iap", age), held("ad", age)
+        for kind, has in (("iap", iap), ("ad", ad), ("total", (iap & ad) | (~iap & ~ad & held("total", age)))):
+            rows.append(F.struct(F.lit(age).alias("age"), F.lit(kind).alias("kind"), has.alias("has")))
+    return reports.select(F.inline(F.array(*rows)))
+
+
+#: Breakdowns of a read, from the finest.
+LADDER = ("country_device", "country", "none")
+
+
+def finest_breakdown(rows: DataFrame, *scope: str) -> DataFrame:
+    """Rows of the finest breakdown that each scope was answered at, whole; coarser reads of it go."""
+    rank = F.array_position(F.array(*map(F.lit, LADDER)), F.col("breakdown"))
+    best = rows.groupBy(*scope).agg(F.min(rank).alias("_rank"))
+    return rows.withColumn("_own", rank).join(best, [*scope]).filter("_own = _rank").drop("_own", "_rank")
