@@ -105,3 +105,82 @@ def test_quality_of_one_row(spark):
     batch = spark.createDataFrame(rows, "d string, campaign string, currency string, spend double, impressions int, clicks int").withColumn("report_date", F.col("d").cast("date"))
     got = {r["check_key"]: r["n"] for r in quality.counts(quality.check_marketing(batch, "2024-01-01", "2024-01-31", ["report_date", "campaign"])).collect()}
     assert got == {"marketing.negative_measure": 1, "marketing.clicks_exceed_impressions": 1, "marketing.date_outside_window": 2, "marketing.spend_without_delivery": 2, "marketing.missing_campaign_id": 2, "marketing.invalid_currency": 2, "marketing.duplicate_dimension_tuple": 1}
+
+
+def test_a_half_written_version_is_written_anew(spark, tmp_path):
+    """A folder without a success marker is what a failed write left; complete versions stay, old ones can go."""
+    root, rows = str(tmp_path / "table"), spark.createDataFrame([("a", 1)], "k string, m long")
+    merge.save_version(rows, root, 1)
+    (tmp_path / "table" / "version=0000000002").mkdir()
+    (tmp_path / "table" / "version=0000000002" / "part-0.parquet").write_text("torn")
+    assert merge.latest_version(spark, root)[0] == 1
+    merge.save_version(rows.withColumn("m", F.lit(2).cast("long")), root, 2)
+    merge.save_version(rows, root, 2)
+    assert merge.latest_version(spark, root)[0] == 2 and merge.latest_version(spark, root)[1].first()["m"] == 2
+    assert merge.drop_versions(spark, root, keep=1) == 1 and merge.latest_version(spark, root)[0] == 2
+
+
+def test_stream_keeps_whole_rows(spark, tmp_path):
+    """Of two rows of a key in one batch the later one stays whole, restated downwards or not."""
+    schema = "k string, spend long, clicks long, at long"
+    spark.createDataFrame([("a", 9, 1, 1), ("a", 2, 5, 2)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    ingest.merge_stream(ingest.read_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "table"), str(tmp_path / "ck"), ["k"], ["spend", "clicks"], order="at").awaitTermination()
+    assert [tuple(r) for r in merge.latest_version(spark, str(tmp_path / "table"))[1].select("k", "spend", "clicks").collect()] == [("a", 2, 5)]
+
+
+def test_only_touched_days_are_merged(spark):
+    stored = spark.createDataFrame([("a", "1", 1), ("b", "2", 2), ("c", "2", 3)], "k string, day string, m int")
+    written = spark.createDataFrame([("b", "2", 5)], "k string, day string, m int")
+    got = {(r["k"], r["m"], r["outcome"]) for r in merge.restate_days(stored, written, "day", ["k", "day"], ["m"]).collect()}
+    assert got == {("b", 5, "restated"), ("c", 3, "kept")}
+
+
+def test_channel_filter_reads_normal_sources(spark):
+    from tidemark.operators import populations
+
+    rows = spark.createDataFrame([("Facebook Ads",), ("google adwords",), (None,), ("other",)], "media_source string")
+    of = lambda c: [r[0] for r in populations.Filters(channel=c).on(rows, "day").collect()]
+    assert (of("paid_social"), of("paid_search"), of("organic"), of("unknown")) == (["Facebook Ads"], ["google adwords"], [None], ["other"])
+
+
+def scope(spark, **given):
+    """One scope that clears every gate, but for what is given."""
+    row = {
+        "campaign": "c", "is_app": False, "provider_missing": False, "operational": True, "ambiguous": False, "mapping_status": "matched_exact", "mapping_confidence": 1.0, "spend_coverage": 90.0, "ambiguous_spend": 0.0, "marketing_status": "fresh",
+        "attribution_status": "fresh", "sync_errors": 0, "as_of": dt.date(2024, 2, 1), "spend_currencies": ["USD"], "revenue_currencies": ["USD"], "error_findings": 0, "data_anomalies": 0, "open_anomalies": 0, "mature_days": 10, "immature_days": 2, "uncovered_days": 0,
+        "mature_spend": 100.0, "mature_installs": 50, "mature_revenue": 50.0, "settled_spend": 100.0, "settled_installs": 50, "direction": "stable",
+    } | given
+    kinds = {bool: "boolean", str: "string", float: "double", int: "long", dt.date: "date", list: "array<string>"}
+    schema = ", ".join(f"{k} {'date' if k == 'as_of' else 'string' if k.endswith('_status') else kinds[type(v)]}" for k, v in row.items())
+    return spark.createDataFrame([tuple(row.values())], schema)
+
+
+RETURN = decisions.Policy(target_d7=0.5, capabilities=frozenset({("total", 7)}))
+FLOOR = decisions.Policy(target_d7=0.5, capabilities=frozenset({("iap", 7)}))
+CEILING = decisions.Policy(max_cpi=2.0, currency="USD")
+CASES = [
+    (RETURN, {}, "hold", None), (RETURN, {"provider_missing": True}, "insufficient_data", "missing_provider"), (RETURN, {"operational": False, "ambiguous": True}, "investigate", "ambiguous_mapping"), (RETURN, {"operational": False}, "insufficient_data", "insufficient_coverage"),
+    (RETURN, {"is_app": True, "spend_coverage": 79.996}, "insufficient_data", "insufficient_coverage"), (RETURN, {"is_app": True, "ambiguous_spend": 11.0}, "investigate", "ambiguous_mapping"), (RETURN, {"marketing_status": "error"}, "investigate", "provider_stale"),
+    (RETURN, {"sync_errors": 1}, "investigate", "provider_stale"), (RETURN, {"attribution_status": None}, "insufficient_data", "provider_stale"), (RETURN, {"attribution_status": "delayed"}, "hold", None), (RETURN, {"as_of": None}, "insufficient_data", "provider_stale"),
+    (RETURN, {"spend_currencies": ["EUR"]}, "investigate", "mixed_currency"), (RETURN, {"error_findings": 1}, "investigate", "data_quality_finding"), (RETURN, {"data_anomalies": 1}, "investigate", "anomalous_data"), (RETURN, {"open_anomalies": 1}, "investigate", "anomalous_data"),
+    (RETURN, {"mature_days": 0, "uncovered_days": 1}, "insufficient_data", "provider_stale"), (RETURN, {"mature_days": 0}, "insufficient_data", "immature_cohort"), (RETURN, {"mature_days": 2}, "insufficient_data", "immature_cohort"), (RETURN, {"mature_installs": 24}, "insufficient_data", "missing_denominator"),
+    (RETURN, {"mature_revenue": 57.5}, "scale", None), (RETURN, {"mature_revenue": 60.0, "direction": "deteriorating"}, "hold", "trend_contradicts"), (RETURN, {"mature_revenue": 42.5}, "reduce", None), (RETURN, {"mature_revenue": 40.0, "direction": "improving"}, "hold", "trend_contradicts"),
+    (FLOOR, {"mature_revenue": 40.0}, "hold", "partial_return"), (FLOOR, {"mature_revenue": 60.0}, "scale", None), (CEILING, {"settled_installs": 50}, "hold", None), (CEILING, {"settled_installs": 60}, "scale", None), (CEILING, {"settled_installs": 40}, "reduce", None),
+    (CEILING, {"settled_installs": 20}, "insufficient_data", "missing_denominator"), (CEILING, {"spend_currencies": ["EUR"], "revenue_currencies": []}, "hold", "mixed_currency"), (decisions.Policy(), {}, "hold", "no_target"), (decisions.Policy(target_d7=0.5), {}, "hold", "unsupported_metric"),
+]
+
+
+def test_decision_gates(spark):
+    """Every gate by itself, and the bands at their edges."""
+    for policy, given, signal, blocker in CASES:
+        row = decisions.evaluate(scope(spark, **given), policy).first()
+        assert (row["signal"], row["blocker"]) == (signal, blocker), given
+
+
+def test_return_measure():
+    of = lambda **p: decisions.return_measure(decisions.Policy(**p))
+    both = frozenset({("total", 7), ("iap", 7), ("total", 1)})
+    assert of(target_d7=0.5, target_d1=0.2, capabilities=both) == decisions.Measure(7, "total", False, 0.5)
+    assert of(target_d7=0.5, capabilities=frozenset({("ad", 7), ("iap", 7)})) == decisions.Measure(7, "iap", True, 0.5)
+    assert of(target_d7=0.5, target_d1=0.2, capabilities=frozenset({("total", 1)})) == decisions.Measure(1, "total", False, 0.2)
+    assert of(target_d7=0.0, capabilities=both) is None and of(capabilities=both) is None

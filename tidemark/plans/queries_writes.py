@@ -301,3 +301,67 @@ def small_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "delivery").groupBy("campaign").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.collect_set("currency").alias("own"))
     extra = F.when(F.col("campaign") == "c1", F.array(F.lit("GBP")))
     return rows.select("campaign", scalars.pct(F.col("clicks"), F.col("impressions")).alias("pct"), scalars.stable_id(F.col("campaign"), F.lit(None)).alias("id"), F.array_join(scalars.merged_set(F.col("own"), extra), ",").alias("currencies"))
+
+
+@query("SELECT c_custkey AS campaign, CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS DOUBLE) WHEN n > 0 THEN CAST(below AS DOUBLE) END AS daily, CASE WHEN c_acctbal > 0 THEN 'campaign' WHEN n > 0 THEN 'ad_groups' END AS source FROM customer LEFT JOIN (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(20,2))) AS below, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
+def daily_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A campaign's own daily budget, else the sum of its ad groups'; sources hold them in hundredths."""
+    cents = lambda c: (F.col(c).cast("decimal(20,2)") * 100).cast("decimal(20,0)").cast("string").alias("daily_budget")
+    own = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("campaign"), cents("c_acctbal"))
+    return files.budgets(own, _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("campaign"), cents("o_totalprice"))).withColumn("daily", F.col("daily").cast("double"))
+
+
+@query("""SELECT 'order to customer' AS edge, count(c_custkey) AS linked, count(*) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0
+UNION ALL SELECT 'customer to nation', count(CASE WHEN c_nationkey % 4 > 0 THEN 1 END), count(*) FROM customer""")
+def hierarchy_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows know their parent, for each edge of the hierarchy."""
+    customer = _table(spark, sf_dir, "customer")
+    orders = _table(spark, sf_dir, "orders").join(customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("parent"), F.col("c_custkey").alias("o_custkey")), "o_custkey", "left")
+    return campaigns.hierarchy_completeness(("order to customer", orders, "parent"), ("customer to nation", customer.withColumn("up", F.when(F.col("c_nationkey") % 4 > 0, F.col("c_nationkey"))), "up"))
+
+
+@query(f"""SELECT count(*) FILTER (status IN ('matched_exact', 'matched_confident', 'manually_verified')) / CAST(count(*) AS DOUBLE) AS authoritative, count(*) FILTER ({OPERATIONAL}) / CAST(count(*) AS DOUBLE) AS operational
+FROM (SELECT DISTINCT ON (source) * FROM big_mappings ORDER BY source, confidence DESC, status, coalesce(target, '')) b""", "big_mappings")
+def mapping_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of campaigns whose best mapping is authoritative, and operational."""
+    return reconcile.authoritative_share(view(spark, sf_dir, "big_mappings"))
+
+
+@query("SELECT app, CAST(timezone(zone, timezone('UTC', CAST(day AS TIMESTAMP) + INTERVAL 2 HOUR)) AS DATE) AS local_day, count(*) AS n FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) d, apps GROUP BY 1, 2", "apps")
+def local_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The local date of instants in each app's zone."""
+    instants = _table(spark, sf_dir, "events").select(F.to_timestamp(F.to_date("ts")).alias("at")).distinct().select((F.col("at") + F.expr("INTERVAL 2 HOUR")).alias("at"))
+    rows = instants.join(F.broadcast(view(spark, sf_dir, "apps")), F.lit(True))
+    return rows.groupBy("app", scalars.local_date(F.col("at"), F.col("zone")).alias("local_day")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (near) AS near FROM (SELECT starts_with(a, substr(b, 1, CAST(greatest(8, floor(length(b) * 0.75)) AS INT))) OR starts_with(b, substr(a, 1, CAST(greatest(8, floor(length(a) * 0.75)) AS INT))) AS near
+FROM (SELECT lower(p_name) AS a, lower(p_name) || CASE WHEN p_partkey % 3 = 0 THEN ' and some more words of it' WHEN p_partkey % 3 = 1 THEN 'x' ELSE '' END AS b FROM part) p) x""")
+def near_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that begin alike, a diagnosis beside the deterministic rules."""
+    n = F.col("p_partkey") % 3
+    tail = F.when(n == 0, " and some more words of it").when(n == 1, "x").otherwise("")
+    rows = _table(spark, sf_dir, "part").select(F.lower("p_name").alias("a"), F.concat(F.lower("p_name"), tail).alias("b"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(scalars.near_names(F.col("a"), F.col("b"))).alias("near"))
+
+
+@query("SELECT count(*) FILTER (d BETWEEN DATE '1996-01-01' AND DATE '1997-12-31') AS n, count(*) FILTER (d NOT BETWEEN DATE '1996-01-01' AND DATE '1997-12-31') AS skipped, min(d) FILTER (d BETWEEN DATE '1996-01-01' AND DATE '1997-12-31') AS from_date, max(d) FILTER (d BETWEEN DATE '1996-01-01' AND DATE '1997-12-31') AS to_date FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) x")
+def covered_report_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report covers of the window that it was asked for."""
+    return files.covered_window(_table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")), "day", "1996-01-01", "1997-12-31")
+
+
+@query("SELECT s_suppkey AS report FROM supplier WHERE s_nationkey % 3 > 0 ORDER BY s_nationkey % 5 DESC, s_acctbal > 0 DESC, s_suppkey % 2 = 0 DESC, s_suppkey % 3 = 0 DESC, s_nationkey DESC, s_acctbal DESC, s_suppkey LIMIT 1")
+def chosen_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved report to use, by six keys."""
+    s = _table(spark, sf_dir, "supplier")
+    able, k = F.col("s_nationkey") % 3 > 0, F.col("s_suppkey")
+    rows = s.select(k.alias("report"), able.alias("able"), (F.col("s_nationkey") % 5).alias("cohort_columns"), (F.col("s_acctbal") > 0).alias("has_revenue"), (k % 2 == 0).alias("by_campaign"), (k % 3 == 0).alias("by_country"), F.col("s_nationkey").alias("by_platform"), F.col("s_acctbal").alias("updated"))
+    return files.best_report(rows).select("report")
+
+
+@query("""SELECT channel, paid, count(*) AS n FROM (SELECT CASE media_source WHEN 'Organic' THEN 'organic' WHEN 'Facebook Ads' THEN 'paid_social' WHEN 'google adwords' THEN 'paid_search' WHEN 'tiktok_ads' THEN 'paid_social' ELSE 'unknown' END AS channel, media_source IN ('Facebook Ads', 'google adwords', 'tiktok_ads') AS paid FROM big_installs) x GROUP BY 1, 2""", "big_installs")
+def paid_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which channels are paid, and that the list of sources of each channel agrees with the channel of each source."""
+    rows = view(spark, sf_dir, "big_installs").withColumn("channel", scalars.media_channel(F.col("media_source")))
+    return rows.groupBy("channel", scalars.is_paid_channel(F.col("channel")).alias("paid")).agg(F.count("*").alias("n"))
