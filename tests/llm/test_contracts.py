@@ -71,6 +71,20 @@ def test_fingerprints(spark, case):
     assert np.abs(errors).max() < 0.2 and np.abs(errors).mean() < 0.03
 
 
+def test_fingerprints_estimate_containment_and_distinct_shingles(spark):
+    """Parts of one long text in it and in each other, against their sets; small sketches, so that estimates are not exact."""
+    words = [f"w{(31 * i) % 4001}" for i in range(3000)]
+    texts = [" ".join(words[:n]) for n in (0, 3, 40, 300, 900, 1500, 3000)] + [" ".join(words[1000:2600]), "other words that it does not hold at all"]
+    pairs = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    held = pairs.select("i", "j", fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
+    sets, errors = [brute.shingles(t, 5) for t in texts], []
+    for r in held.select("i", "j", fingerprints.containment(F.col("a"), F.col("b")).alias("c"), fingerprints.distinct_shingles(F.col("a")).alias("n")).collect():
+        a, b = sets[r["i"]], sets[r["j"]]
+        errors.append(r["c"] - (len(a & b) / len(a) if a else 1.0))
+        assert abs(r["n"] - len(a)) <= (0 if len(a) < fingerprints.K else 0.3 * len(a))
+    assert np.abs(errors).max() < 0.35 and np.abs(errors).mean() < 0.06
+
+
 def test_fingerprints_in_more_ranges_than_quantiles(spark):
     """Uneven, extreme and repeated ids in far more ranges than quantiles: the next text is still the next row's."""
     ids = sorted([-(2**63), 2**63 - 1, 7, 7] + [i**3 for i in range(-150, 150)] + list(range(10**12, 10**12 + 150)))
@@ -193,7 +207,7 @@ def test_disclosing_terms(spark):
     assert "a@b.org" not in clean[0] and "Brightwater" not in clean[0] and "[EMAIL]" in clean[0] and clean[105] == dict(rows)[105]
 
 
-def test_disclosing_terms_against_a_plain_version(spark):
+def test_disclosing_terms_against_a_plain_version(spark, monkeypatch):
     """On given documents with names planted beside an address: the terms that counting every pair of sets gives."""
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     docs = [(d, f"{t} Zorblatt{d // 9 % 3} wrote from box{d // 9 % 3}@mail.org" if d % 9 == 0 else f"{t} Zorblatt0" if d % 40 == 1 else t) for d, t in docs] + [(None, "Zorblatt1"), (None, None)]
@@ -202,6 +216,9 @@ def test_disclosing_terms_against_a_plain_version(spark):
     found = {(r["doc_id"], tuple((s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4)) for r in pii.find_personal(frame).collect()}
     plain = {(d, tuple((m.start(), m.end()) for m in re.finditer(r"[^\W_]{2,}", t or "") if m[0].lower() in want and not any(a < m.end() and m.start() < b for a, b in brute.places(brute.PII, t)))) for d, t in docs}
     assert {"zorblatt1", "zorblatt2"} <= want and "zorblatt0" not in want and found == plain
+    monkeypatch.setattr(pii, "FEW", 0)
+    shuffled = pii.find_personal(frame).collect()
+    assert {(r["doc_id"], tuple((s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4)) for r in shuffled} == plain
 
 
 def test_random_tokens_are_found(spark):

@@ -9,7 +9,7 @@ for it, so it is left out: a word of T documents, `both` of them with an entity
 from it and in documents without it too, become spans of kind `term` and are removed or generalised.
 
 Document counts of words and entities are taken over all documents, and terms are looked for in all of them; what is
-shuffled is aggregates, and where the documents with terms are too many to broadcast their keys, texts once. Entities
+shuffled is aggregates and the texts that hold terms (all texts once where more than FEW documents do). Entities
 that stand in just the same documents are one class, and so are words, as nothing in the counts tells them apart; pairs
 are counted between classes, so a list of many entities, copied to many documents, is one class and not all pairs.
 
@@ -40,6 +40,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Share of an entity's information that a term must give, and documents that must show the pair.
 SHARE, SUPPORT = 0.95, 2
+#: Documents with terms of whose keys 8-byte hashes are broadcast; beyond it all texts are shuffled once.
+FEW = 1_000_000
 TERM = r"[\p{L}\p{N}]{2,}"
 
 
@@ -129,6 +131,10 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     keyed = docs.select(row_key().alias("key"), "text")
     words = keyed.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     held = materialise(words.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "term-keys")
+    if held.count() <= FEW:
+        # Only hashes of the keys are broadcast; texts that hold no term are not shuffled.
+        few = held.select(F.xxhash64("key").alias("h")).distinct()
+        keyed = keyed.join(F.broadcast(few), F.xxhash64("key") == F.col("h"), "left_semi")
     texts = keyed.join(held, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
     places = F.transform(matches(F.col("text"), TERM, lambda w: F.array_contains("terms", F.lower(w))), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), (m["start"] + F.length(m["text"])).alias("end")))
     free = F.filter("places", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
