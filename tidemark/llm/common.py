@@ -45,10 +45,10 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes what materialise has written from its since-th table on, but for tables that keep names by their label."""
+def release(spark: SparkSession, since: int, until: int) -> None:
+    """Deletes what materialise has written, from its since-th table to that before the until-th."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in _MADE[since:] if not any(f"/{k}-" in p for k in keep)]:
+    for path in _MADE[since:until]:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
         _MADE.remove(path)
