@@ -63,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             docs = materialise(docs, name)
-            release(spark, before, keep=(name,))
+            release(spark, before, made() - 1)
     return docs
