@@ -34,6 +34,8 @@ MAX_LABELLED, MAX_GUESSED = 8000, 500
 WORDS, SOURCES, LANGS = 512, 64, 16
 #: Rounds of exchange, share of the unlabelled documents that a view labels in each, and the odds that they must reach.
 ROUNDS, SHARE, SURE = 3, 0.1, 2.0
+#: Rows whose features a task holds at once.
+ROWS = 1000
 #: Good documents that may fall under the threshold when it is chosen, as a share.
 LOST = 0.005
 
@@ -144,6 +146,13 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), col("source", "string"), col("lang", "string"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most ROWS, which bounds what their features take."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow.compute as pc
 
@@ -155,7 +164,7 @@ def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[pd.DataFrame, np.ndarr
     """doc_id and label of the chosen rows (a bounded number, which is broadcast), in order of id, and both views' features."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             content, meta = _views(batch)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": pa.array([r.tobytes() for r in np.hstack([content, meta]).astype(np.float16)], pa.binary())})
 
@@ -168,10 +177,12 @@ def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[pd.DataFrame, np.ndarr
 
 def view_odds(docs: DataFrame, model: CoTrained) -> DataFrame:
     """doc_id, content, meta: the log-odds that each view gives each document."""
+    # Tasks get the weights alone, not the rows that they were fitted on.
+    weights = model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            content, meta = model.odds(*_views(batch))
+        for batch in _pieces(batches):
+            content, meta = (_odds(x, w) for x, w in zip(_views(batch), weights, strict=True))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "content": pa.array(content, pa.float64()), "meta": pa.array(meta, pa.float64())})
 
     return _columns(docs).mapInArrow(run, "doc_id long, content double, meta double")
@@ -223,7 +234,7 @@ def score_documents(docs: DataFrame, model: CoTrained) -> DataFrame:
     """doc_id, score (probability of good), keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             score = model.score(*_views(batch))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score, pa.float64()), "keep": pa.array(score >= model.threshold)})
 
@@ -238,7 +249,7 @@ def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
     views = [f for f in ("source", "lang") if f not in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             view = pa.RecordBatch.from_pydict({"text": batch.column("text").fill_null("")} | {c: batch.column(c) if c not in views else pa.nulls(len(batch), pa.string()) for c in ("source", "lang")})
             yield batch.filter(pa.array(model.score(*_views(view)) >= model.threshold))
 
