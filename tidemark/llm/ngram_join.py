@@ -13,9 +13,10 @@ by a hash of its own; a pair is a candidate only if it shares prefix tokens unde
    candidates and names the groups it finds.
 4. Neighbours. At each prefix token the pages that hold it meet the least of them, over a tree of buckets, so that a
    group of many pages is united by a number of tasks in proportion to its pages. Only one row a pair of groups comes out.
-5. The rest. Where a token is still held by more than one component, the pages meet in all pairs that share such a
-   token under the first order and one under the second, and candidates of different components are verified. So no
-   link between two components is missed, and a component pays for its pairs only until it is one.
+5. The rest. A link between two components needs a token under the first order and one under the second that both hold.
+   Only the classes that hold such contested tokens under both orders are left; they are laid out in new pages by their
+   least contested token, and pages meet that share contested tokens under both. So no link between two components is
+   missed, and what has become one component isn't compared again.
 6. Components by minimum labels with pointer jumping, each round written to the shared folder.
 
 Joins on keys that a third of the rows may share have a written table of distinct keys on their other side, so that
@@ -43,6 +44,8 @@ from tidemark.llm.common import fresh_name, materialise, mix, n_blocks, row_key,
 PERCENT, WIDTH, BLOCK_BYTES, PAGE_TOKENS = 90, 3, 4 << 20, 100_000
 #: What a class weighs in a page beside its shingles; buckets of the pages that hold a token.
 PAGE_CLASS, FAN = 100, 256
+#: Columns of tokens of which a linked pair shares one each; tables may lack the last.
+FILTERS = ("first", "second", "third")
 SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -187,8 +190,8 @@ def _linked(table: pa.Table, percent: int, may: np.ndarray) -> np.ndarray:
     n = table["n"].to_numpy()
     may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
     np.fill_diagonal(may, False)
-    for c in ("first", "second", "third"):
-        if may.any():
+    for c in FILTERS:
+        if c in table.column_names and may.any():
             may &= _shared([np.array(v, np.int64) for v in table[c].to_pylist()], False)
     live = np.flatnonzero(may.any(axis=1))
     if not len(live):
@@ -248,13 +251,24 @@ def _pages(docs: DataFrame, percent: int, width: int, block_bytes: int, page_tok
     base = base.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     sets = materialise(prefixes(base, frequencies(base, width, blocks // 2 + 1), width, percent), "sets")
     live = sets.filter(F.col("items").isNotNull()).drop("doc_id", "row").dropDuplicates(["node"])
-    live = materialise(live, "live")
+    return sets, lay_out(materialise(live, "live"), percent, page_tokens)
+
+
+def _dealt(classes: DataFrame, page_tokens: int) -> DataFrame:
+    """The classes with a page instead of their home: one page for each home, or several where a home weighs more than one holds."""
     # A class weighs its tokens and PAGE_CLASS more, so a page has bounded numbers of both.
-    large = live.groupBy("home").agg(F.ceil(F.sum(F.col("n") + PAGE_CLASS) / page_tokens).alias("pages")).filter("pages > 1")
-    paged = live.join(materialise(large, "homes"), "home", "left").withColumn("page", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.coalesce("pages", F.lit(1))))).drop("home", "pages")
-    schema = "node long, n long, first array<long>, second array<long>, third array<long>, items binary, page long"
-    paged = paged.select("node", "n", "first", "second", "third", "items", "page")
-    return sets, materialise(paged.groupBy("page").applyInArrow(_group_page(percent), f"{schema}, part long"), "pages")
+    large = classes.groupBy("home").agg(F.ceil(F.sum(F.col("n") + PAGE_CLASS) / page_tokens).alias("pages")).filter("pages > 1")
+    slot = F.pmod(F.xxhash64("node"), F.coalesce("pages", F.lit(1)))
+    return classes.join(materialise(large, "homes"), "home", "left").withColumn("page", F.xxhash64("home", slot)).drop("home", "pages")
+
+
+def lay_out(live: DataFrame, percent: int, page_tokens: int) -> DataFrame:
+    """Classes (node, n, home, items and their filters) in pages of bounded size, grouped within each: page and part beside them."""
+    paged = _dealt(live, page_tokens)
+    held = [c for c in FILTERS if c in live.columns]
+    schema = f"node long, n long, {', '.join(f'{c} array<long>' for c in held)}, items binary, page long"
+    paged = paged.select("node", "n", *held, "items", "page")
+    return materialise(paged.groupBy("page").applyInArrow(_group_page(percent), f"{schema}, part long"), "pages")
 
 
 def _neighbours(paged: DataFrame) -> DataFrame:
@@ -290,25 +304,37 @@ def _both(pairs: DataFrame, paged: DataFrame) -> DataFrame:
     return pairs.select("p", "q", F.explode(F.array("p", "q")).alias("page")).join(paged, "page")
 
 
-def _classes(paged: DataFrame, percent: int) -> DataFrame:
+def _contested(classes: DataFrame, column: str) -> DataFrame:
+    """The classes that hold tokens of several components in that column, with those tokens only."""
+    at = classes.select("node", "part", F.explode(column).alias("token"))
+    several = at.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("token")
+    held = at.join(materialise(several, "tokens"), "token").groupBy("node").agg(F.collect_list("token").alias(column))
+    return materialise(classes.drop(column).join(held, "node"), "contested")
+
+
+def _classes(paged: DataFrame, percent: int, page_tokens: int) -> DataFrame:
     """node, root of every class that is linked with another one."""
     first = materialise(_both(_neighbours(paged), paged).groupBy("p", "q").applyInArrow(_meet(percent), "a long, b long"), "links")
     united = components(first)
-    narrow = paged.select("page", "node", "part", "first", "second").join(united.withColumnRenamed("node", "part"), "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
+    narrow = paged.select("node", "part", "first", "second").join(united.withColumnRenamed("node", "part"), "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
     narrow = materialise(narrow, "parts")
-    pairs = _meetings(narrow)
     out = narrow.select("node", F.col("part").alias("root"))
-    if pairs.isEmpty():
+    rest = _contested(narrow, "first")
+    rest = rest if rest.isEmpty() else _contested(rest, "second")
+    if rest.isEmpty():
         return out
-    # The classes of the pages that still have to meet, under the names of the components found so far.
-    named = _both(pairs, narrow.select("page", "node", "part")).join(paged.drop("page", "part"), "node")
-    rest = components(materialise(named.groupBy("p", "q").applyInArrow(_meet(percent), "a long, b long"), "links"))
-    return out.withColumnRenamed("root", "part").join(rest.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("root", "part").alias("root"))
+    # Only these classes still have to meet others. They are laid out anew, those of the same token together.
+    whole = paged.drop("page", "part", "first", "second").join(rest, "node").withColumn("home", F.array_min("first"))
+    again = materialise(_dealt(materialise(whole, "rest"), page_tokens), "again")
+    pairs = _meetings(again).unionByName(again.select(F.col("page").alias("p"), F.col("page").alias("q")).distinct())
+    named = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("page")).join(again, "page")
+    more = components(materialise(named.groupBy("p", "q").applyInArrow(_meet(percent), "a long, b long"), "links"))
+    return out.withColumnRenamed("root", "part").join(more.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("root", "part").alias("root"))
 
 
-def _roots(sets: DataFrame, paged: DataFrame, percent: int) -> DataFrame:
+def _roots(sets: DataFrame, paged: DataFrame, percent: int, page_tokens: int) -> DataFrame:
     """node, root, least (document id) of every class; root is null for a class that is linked with no other."""
-    found = _classes(paged, percent)
+    found = _classes(paged, percent, page_tokens)
     held = found.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
     linked = found.join(materialise(held.select("root"), "held"), "root")
     return materialise(sets.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left"), "roots")
@@ -317,7 +343,12 @@ def _roots(sets: DataFrame, paged: DataFrame, percent: int) -> DataFrame:
 def join_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, page_tokens: int = PAGE_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each document."""
     sets, paged = _pages(docs, percent, width, block_bytes, page_tokens)
-    named = _roots(sets, paged, percent)
+    return by_components(sets.select("doc_id", "n", "node"), paged, percent, page_tokens)
+
+
+def by_components(sets: DataFrame, paged: DataFrame, percent: int, page_tokens: int = PAGE_TOKENS) -> DataFrame:
+    """doc_id, n_shingles, component_id of documents with their sets' names, from the pages of classes that may be linked."""
+    named = _roots(sets, paged, percent, page_tokens)
     ids = materialise(named.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component")), "ids")
     named = named.filter("root IS NULL").select("node", F.col("least").alias("component")).unionByName(named.join(ids, "root").select("node", "component"))
     of = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
@@ -340,7 +371,12 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_
     rows equal in both, one stays.
     """
     sets, paged = _pages(docs, percent, width, block_bytes, page_tokens)
-    rows = sets.filter("n > 0").select("doc_id", "row", "node").join(_roots(sets, paged, percent).withColumn("root", F.coalesce("root", "node")), "node")
+    return keep_least(docs, sets, paged, percent, page_tokens)
+
+
+def keep_least(docs: DataFrame, sets: DataFrame, paged: DataFrame, percent: int, page_tokens: int = PAGE_TOKENS) -> DataFrame:
+    """docs without the rows that aren't the least of their component; sets: doc_id, row, n, node of each."""
+    rows = sets.filter("n > 0").select("doc_id", "row", "node").join(_roots(sets, paged, percent, page_tokens).withColumn("root", F.coalesce("root", "node")), "node")
     rows = materialise(rows.groupBy("root", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "rows")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     judged = rows.join(materialise(best, "best"), "root").withColumn("stays", F.col("row") == F.col("best.row"))
