@@ -100,8 +100,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         at = to
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of a large-string array, and the words' count in each text."""
+def word_hashes(texts: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words (runs of bytes that aren't breaks) of a large-string array, and the words' count in each text."""
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     first, last = int(offsets[0]), int(offsets[-1])
@@ -109,7 +109,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(n, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[first:last]
     offsets = offsets - first
-    word = ~SPACE[raw]
+    word = ~breaks[raw]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     inner = offsets[:-1][offsets[:-1] < offsets[1:]]
