@@ -5,9 +5,10 @@ side: documents trade places between the halves while that lowers the sum of d l
 half of n. A node keeps, for each hashed term, what putting it into one half rather than the other costs, and the median of
 its sample; so any document can be sent down the tree, and leaves number the clusters in bisection order.
 
-Index. Every document goes to its leaf, and within it to a page of bounded size. A page holds its documents' ids and lengths
-and an inverted list of every term, with the term's highest frequency and shortest document as a bound. Pages are written to
-the shared folder with their cluster, so a search reads the pages of the clusters that it visits.
+Index. Every document goes to its leaf; leaves are dealt to tasks, which cut them into pages of bounded size as they stream
+by. A page holds its documents' ids and lengths and an inverted list of every term, with the term's highest frequency and
+shortest document as a bound. Pages are written to the shared folder with their cluster, so a search reads the pages of the
+clusters that it visits.
 
 Search. Queries come in blocks of bounded size, each a scan of the clusters' bounds and some rounds of visits. Sums over
 pages give exact document frequencies and, for each cluster and query, a bound on any document's score. A round visits for
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, slices, word_hashes
 
 #: Results of a query, sampled documents, hashed terms of the fit, levels of the tree, bytes of text in a page.
-BEST, SAMPLE, FEATURES, DEPTH, PAGE_BYTES = 50, 2000, 2048, 6, 8 << 20
-#: Documents of a leaf that the sample may miss by chance; code points and queries of one block; clusters of the first round, and growth.
-UNSEEN, BLOCK_CHARS, BLOCK_ITEMS, FIRST, GROWTH = 8, 100_000, 2000, 2, 4
+BEST, SAMPLE, FEATURES, DEPTH, PAGE_BYTES = 50, 2000, 2048, 6, 4 << 20
+#: Code points and queries of one block; clusters of the first round, and growth.
+BLOCK_CHARS, BLOCK_ITEMS, FIRST, GROWTH = 100_000, 2000, 2, 4
 #: Bytes between terms: all of ASCII but digits and letters.
 BREAKS = np.zeros(256, bool)
 BREAKS[:128] = True
@@ -53,7 +54,7 @@ class Tree(NamedTuple):
 
     weights: np.ndarray
     cut: np.ndarray
-    #: Share of the sample in each leaf, mean bytes of a text.
+    #: Share of the sample's bytes in each leaf, mean bytes of a text.
     share: np.ndarray
     mean: float
 
@@ -115,8 +116,8 @@ def fit_tree(held: np.ndarray, lengths: np.ndarray, depth: int = DEPTH) -> Tree:
         members = np.flatnonzero(at == node)
         weights[node], cut[node] = bisect(held[members])
         at[members] = 2 * node + 1 + (held[members] @ weights[node] > cut[node])
-    leaves = np.bincount(at - nodes, minlength=nodes + 1) if len(held) else np.zeros(nodes + 1)
-    return Tree(weights, cut, leaves / max(1, len(held)), float(lengths.mean()) if len(held) else 0.0)
+    sizes = np.bincount(at - nodes, lengths, nodes + 1) if len(held) else np.zeros(nodes + 1)
+    return Tree(weights, cut, sizes / max(1, sizes.sum()), float(lengths.mean()) if len(held) else 0.0)
 
 
 def leaf_of(tree: Tree, texts: pa.Array) -> np.ndarray:
@@ -153,41 +154,63 @@ def sample_tree(docs: DataFrame, sample: int = SAMPLE, depth: int = DEPTH) -> tu
     return fit_tree(held, rows["size"].to_numpy(), depth), total
 
 
-def _page(key: tuple, table: pa.Table) -> pa.Table:
+def _page(cluster: int, ids: list[pa.Array], hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
     """One page: its documents and the inverted lists of their terms."""
-    hashes, counts = [], []
-    for _, part in slices(table["text"]):
-        h, c = word_hashes(part, BREAKS)
-        hashes.append(h)
-        counts.append(c)
     hashes, lengths = np.concatenate(hashes), np.concatenate(counts)
     order = np.argsort(hashes, kind="stable")
-    term, owner = hashes[order], np.repeat(np.arange(len(lengths)), lengths)[order]
+    term, owner = hashes[order], np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)[order]
     fresh = np.ones(len(term), bool)
     fresh[1:] = (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(fresh)
     count, term, owner = np.diff(np.append(first, len(fresh))), term[first], owner[first]
     start = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
     blob = lambda x: pa.array([x.astype("<u4").tobytes()], pa.binary())
-    columns = [pa.array([key[0].as_py()], pa.int32()), pa.array([table["doc_id"].to_pylist()], pa.list_(pa.int64())), blob(lengths), pa.array([term[start].astype("<u8").tobytes()], pa.binary())]
+    held = pa.concat_arrays(ids)
+    columns = [pa.array([cluster], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), blob(lengths), pa.array([term[start].astype("<u8").tobytes()], pa.binary())]
     columns += [blob(np.diff(np.append(start, len(term)))), blob(np.maximum.reduceat(count, start)), blob(np.minimum.reduceat(lengths[owner], start)), blob(owner), blob(count)]
     columns += [pa.array([x], pa.int64()) for x in (len(lengths), int(lengths.sum()))]
-    return pa.table(columns, [c.split()[0] for c in _PAGE.split(", ")])
+    return pa.record_batch(columns, [c.split()[0] for c in _PAGE.split(", ")])
+
+
+def _paged(page_bytes: int):
+    """Pages of documents that come in order of cluster: a page ends with its cluster, or when it holds page_bytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, held = None, 0, ([], [], [])
+        for batch in batches:
+            cluster = batch["cluster"].to_numpy()
+            edges = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])) if len(cluster) else []
+            for a, b in zip(edges, [*edges[1:], len(cluster)], strict=True):
+                if now is not None and cluster[a] != now and held[0]:
+                    yield _page(now, *held)
+                    size, held = 0, ([], [], [])
+                now = int(cluster[a])
+                for at, part in slices(batch["text"].slice(a, b - a), min(page_bytes, 1 << 20)):
+                    hashes, counts = word_hashes(part, BREAKS)
+                    for x, y in zip(held, (batch["doc_id"].slice(a + at, len(part)), hashes, counts), strict=True):
+                        x.append(y)
+                    size += part.nbytes
+                    if size >= page_bytes:
+                        yield _page(now, *held)
+                        size, held = 0, ([], [], [])
+        if held[0]:
+            yield _page(now, *held)
+
+    return run
 
 
 def build_index(docs: DataFrame, sample: int = SAMPLE, depth: int = DEPTH, page_bytes: int = PAGE_BYTES) -> Index:
     """Every document with terms in a page of its cluster. docs: doc_id, text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tree, total = sample_tree(docs, sample, depth)
-    # A leaf may hold more than the sample shows: UNSEEN documents' worth at least.
-    share = np.maximum(tree.share, UNSEEN / max(sample, UNSEEN))
-    pages = np.ceil(share * total * tree.mean / page_bytes).astype(int) if total > sample else np.ceil(tree.share * total * tree.mean / page_bytes).astype(int)
-    per_leaf = F.array(*(F.lit(int(max(1, p))) for p in pages))
+    # Slots only spread the work: a leaf is dealt to as many as its sampled share of the bytes fills.
+    slots = np.ceil(tree.share * total * tree.mean / (4 * page_bytes)).astype(int)
+    per_leaf = F.array(*(F.lit(int(max(1, p))) for p in slots))
     leaf = F.arrow_udf(lambda texts: pa.array(leaf_of(tree, texts), pa.int32()), "int")
     placed = docs.withColumn("cluster", leaf("text")).filter("cluster >= 0")
-    # Rows of a leaf are dealt to its pages by their place, so equal rows are not kept together.
+    # Rows of a leaf are dealt by their place, so equal rows are not kept together.
     dealt = placed.withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.get(per_leaf, F.col("cluster"))))
-    written = dealt.groupBy("cluster", "slot").applyInArrow(_page, _PAGE)
+    written = dealt.repartition("cluster", "slot").sortWithinPartitions("cluster").select("cluster", "doc_id", "text").mapInArrow(_paged(page_bytes), _PAGE)
     return Index(tree, materialise(written, "index"), len(tree.share))
 
 
