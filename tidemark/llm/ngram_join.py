@@ -14,8 +14,8 @@ by a hash of its own; a pair is a candidate only if it shares prefix tokens unde
 4. Neighbours. At each prefix token the pages that hold it meet the least of them, over a tree of buckets, so that a
    group of many pages is united by a number of tasks in proportion to its pages. Only one row a pair of groups comes out.
 5. The rest. A link between two components needs a token under the first order and one under the second that both hold.
-   Only the classes that hold such contested tokens under both orders are left; they are laid out in new pages by their
-   least contested token, and pages meet that share contested tokens under both. So no link between two components is
+   Only the classes that hold such contested tokens under both orders are left; they are laid out in new, full pages, each
+   of classes that such tokens connect, and pages meet that share contested tokens under both. So no link between two components is
    missed, and what has become one component isn't compared again.
 6. Components by minimum labels with pointer jumping, each round written to the shared folder.
 
@@ -44,6 +44,8 @@ from tidemark.llm.common import fresh_name, materialise, mix, n_blocks, row_key,
 PERCENT, WIDTH, BLOCK_BYTES, PAGE_TOKENS = 90, 3, 4 << 20, 100_000
 #: What a class weighs in a page beside its shingles; buckets of the pages that hold a token.
 PAGE_CLASS, FAN = 100, 256
+#: How many times as much a page of the classes that meet again may hold.
+REST = 2
 #: Columns of tokens of which a linked pair shares one each; tables may lack the last.
 FILTERS = ("first", "second", "third")
 SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -312,6 +314,13 @@ def _contested(classes: DataFrame, column: str) -> DataFrame:
     return materialise(classes.drop(column).join(held, "node"), "contested")
 
 
+def _topics(rest: DataFrame) -> DataFrame:
+    """node, root of the classes that first tokens connect, over however many others."""
+    at = rest.select("node", F.explode("first").alias("token"))
+    heads = at.groupBy("token").agg(F.min("node").alias("b"))
+    return components(at.join(materialise(heads, "heads"), "token").select(F.col("node").alias("a"), "b"))
+
+
 def _classes(paged: DataFrame, percent: int, page_tokens: int) -> DataFrame:
     """node, root of every class that is linked with another one."""
     first = materialise(_both(_neighbours(paged), paged).groupBy("p", "q").applyInArrow(_meet(percent), "a long, b long"), "links")
@@ -323,9 +332,9 @@ def _classes(paged: DataFrame, percent: int, page_tokens: int) -> DataFrame:
     rest = rest if rest.isEmpty() else _contested(rest, "second")
     if rest.isEmpty():
         return out
-    # Only these classes still have to meet others. They are laid out anew, those of the same token together.
-    whole = paged.drop("page", "part", "first", "second").join(rest, "node").withColumn("home", F.array_min("first"))
-    again = materialise(_dealt(materialise(whole, "rest"), page_tokens), "again")
+    # Only these classes still have to meet others. They are laid out anew, those that tokens connect together.
+    whole = paged.drop("page", "part", "first", "second").join(rest, "node").join(_topics(rest), "node", "left").withColumn("home", F.coalesce("root", "node")).drop("root")
+    again = materialise(_dealt(materialise(whole, "rest"), REST * page_tokens), "again")
     pairs = _meetings(again).unionByName(again.select(F.col("page").alias("p"), F.col("page").alias("q")).distinct())
     named = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("page")).join(again, "page")
     more = components(materialise(named.groupBy("p", "q").applyInArrow(_meet(percent), "a long, b long"), "links"))
