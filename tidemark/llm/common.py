@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root or jsc.getCheckpointDir().get()
 
 
-def materialise(df: DataFrame, label: str = "t") -> DataFrame:
+def materialise(df: DataFrame, label: str = "t", options: dict | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -46,7 +46,11 @@ BREAKS = np.zeros(256, bool)
 BREAKS[:128] = True
 BREAKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
-_PAGE = "cluster int, ids array<bigint>, lengths binary, terms binary, sizes binary, most binary, shortest binary, docs binary, counts binary, n_docs long, n_terms long"
+#: A page ends after so many documents and at most one piece more, below 2**16.
+MOST_DOCS, PIECE = 50_000, 10_000
+ROW_GROUP = 16 << 20
+
+_PAGE = "cluster int, ids array<bigint>, lengths binary, terms binary, sizes binary, most binary, shortest binary, docs binary, counts binary, large binary, n_docs long, n_terms long"
 
 
 class Tree(NamedTuple):
@@ -164,10 +168,12 @@ def _page(cluster: int, ids: list[pa.Array], hashes: list[np.ndarray], counts: l
     first = np.flatnonzero(fresh)
     count, term, owner = np.diff(np.append(first, len(fresh))), term[first], owner[first]
     start = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-    blob = lambda x: pa.array([x.astype("<u4").tobytes()], pa.binary())
-    held = pa.concat_arrays(ids)
-    columns = [pa.array([cluster], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), blob(lengths), pa.array([term[start].astype("<u8").tobytes()], pa.binary())]
-    columns += [blob(np.diff(np.append(start, len(term)))), blob(np.maximum.reduceat(count, start)), blob(np.minimum.reduceat(lengths[owner], start)), blob(owner), blob(count)]
+    blob = lambda x, kind="<u4": pa.array([x.astype(kind).tobytes()], pa.binary())
+    held, many = pa.concat_arrays(ids), np.flatnonzero(count >= 255)
+    columns = [pa.array([cluster], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), blob(lengths), blob(term[start], "<u8")]
+    columns += [blob(np.diff(np.append(start, len(term)))), blob(np.maximum.reduceat(count, start)), blob(np.minimum.reduceat(lengths[owner], start)), blob(owner, "<u2")]
+    # Frequencies take a byte; those of 255 and more stand beside it with their places.
+    columns += [blob(np.minimum(count, 255), "<u1"), blob(np.stack([many, count[many]]))]
     columns += [pa.array([x], pa.int64()) for x in (len(lengths), int(lengths.sum()))]
     return pa.record_batch(columns, [c.split()[0] for c in _PAGE.split(", ")])
 
@@ -185,14 +191,15 @@ def _paged(page_bytes: int):
                     yield _page(now, *held)
                     size, held = 0, ([], [], [])
                 now = int(cluster[a])
-                for at, part in slices(batch["text"].slice(a, b - a), min(page_bytes, 1 << 20)):
-                    hashes, counts = word_hashes(part, BREAKS)
-                    for x, y in zip(held, (batch["doc_id"].slice(a + at, len(part)), hashes, counts), strict=True):
-                        x.append(y)
-                    size += part.nbytes
-                    if size >= page_bytes:
-                        yield _page(now, *held)
-                        size, held = 0, ([], [], [])
+                for c in range(a, b, PIECE):
+                    for at, part in slices(batch["text"].slice(c, min(PIECE, b - c)), min(page_bytes, 1 << 20)):
+                        hashes, counts = word_hashes(part, BREAKS)
+                        for x, y in zip(held, (batch["doc_id"].slice(c + at, len(part)), hashes, counts), strict=True):
+                            x.append(y)
+                        size += part.nbytes
+                        if size >= page_bytes or sum(map(len, held[2])) > MOST_DOCS:
+                            yield _page(now, *held)
+                            size, held = 0, ([], [], [])
         if held[0]:
             yield _page(now, *held)
 
@@ -211,7 +218,8 @@ def build_index(docs: DataFrame, sample: int = SAMPLE, depth: int = DEPTH, page_
     # Rows of a leaf are dealt by their place, so equal rows are not kept together.
     dealt = placed.withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.get(per_leaf, F.col("cluster"))))
     written = dealt.repartition("cluster", "slot").sortWithinPartitions("cluster").select("cluster", "doc_id", "text").mapInArrow(_paged(page_bytes), _PAGE)
-    return Index(tree, materialise(written, "index"), len(tree.share))
+    # Small row groups, for a reader holds all rows of one at once.
+    return Index(tree, materialise(written, "index", {"parquet.block.size": ROW_GROUP}), len(tree.share))
 
 
 class Block(NamedTuple):
@@ -271,6 +279,9 @@ def _order(score: np.ndarray, ids: np.ndarray, missing: np.ndarray, k: int) -> n
     return able[np.lexsort((ids[able], missing[able], -score[able]))][:k]
 
 
+_KINDS = {"lengths": "<u4", "terms": "<u8", "sizes": "<u4", "most": "<u4", "shortest": "<u4", "docs": "<u2", "counts": "<u1", "large": "<u4"}
+
+
 def _visit(block: Block, weight: np.ndarray, visits: np.ndarray, least: np.ndarray, documents: int, length: int, k: int):
     """Scores the queries that visit each page's cluster, keeps the k best of each over the task's pages, and gives them out at its end."""
 
@@ -278,7 +289,8 @@ def _visit(block: Block, weight: np.ndarray, visits: np.ndarray, least: np.ndarr
         floor, best = least.copy(), {}
         for batch in batches:
             for i in range(len(batch)):
-                page = {c: np.frombuffer(batch[c][i].as_py(), "<u8" if c == "terms" else "<u4") for c in ("lengths", "terms", "sizes", "most", "shortest", "docs", "counts")}
+                page = {c: np.frombuffer(batch[c][i].as_py(), kind) for c, kind in _KINDS.items()}
+                large = page["large"].reshape(2, -1).astype(np.int64)
                 listed = batch["ids"][i].values
                 ids, missing = listed.fill_null(0).to_numpy(zero_copy_only=False), listed.is_null().to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(page["terms"], block.terms), len(page["terms"]) - 1)
@@ -293,8 +305,10 @@ def _visit(block: Block, weight: np.ndarray, visits: np.ndarray, least: np.ndarr
                         continue
                     for t in terms[[t not in scored for t in terms.tolist()]].tolist():
                         part = slice(begin[at[t]], end[at[t]])
-                        docs = page["docs"][part]
-                        scored[t] = docs, (weight[t] * impact(page["counts"][part], page["lengths"][docs], documents, length)).astype(np.float64)
+                        docs, count = page["docs"][part], page["counts"][part].astype(np.int64)
+                        more = slice(*np.searchsorted(large[0], (part.start, part.stop)))
+                        count[large[0][more] - part.start] = large[1][more]
+                        scored[t] = docs, (weight[t] * impact(count, page["lengths"][docs], documents, length)).astype(np.float64)
                     lists = [scored[t] for t in terms.tolist()]
                     score = np.bincount(np.concatenate([x[0] for x in lists]), np.concatenate([x[1] for x in lists]), len(ids)).astype(np.int64)
                     able = np.flatnonzero(score >= floor[q])
