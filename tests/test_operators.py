@@ -50,17 +50,6 @@ def test_human_decisions_stay(spark):
     assert got == {"a": "manually_verified", "c": "unmatched"}
 
 
-def test_stream_merges_once(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, m long")
-    rows.write.parquet(str(tmp_path / "in"))
-    source = lambda: ingest.read_stream(spark, str(tmp_path / "in"), "k string, m long")
-    for _ in range(2):
-        ingest.merge_stream(source(), str(tmp_path / "table"), str(tmp_path / "ck"), ["k"], ["m"]).awaitTermination()
-        spark.createDataFrame([("b", 5), ("c", 1)], "k string, m long").write.mode("append").parquet(str(tmp_path / "in"))
-    version, table = merge.latest_version(spark, str(tmp_path / "table"))
-    assert version == 2 and {tuple(r) for r in table.collect()} == {("a", 1), ("b", 5), ("c", 1)}
-
-
 def test_daily_windows(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(tmp_path / "in"))
     stream = ingest.daily_counts(ingest.once_each(ingest.timed(ingest.read_stream(spark, str(tmp_path / "in"), "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"))))
@@ -120,14 +109,6 @@ def test_a_half_written_version_is_written_anew(spark, tmp_path):
     assert merge.drop_versions(spark, root, keep=1) == 1 and merge.latest_version(spark, root)[0] == 2
 
 
-def test_stream_keeps_whole_rows(spark, tmp_path):
-    """Of two rows of a key in one batch the later one stays whole, restated downwards or not."""
-    schema = "k string, spend long, clicks long, at long"
-    spark.createDataFrame([("a", 9, 1, 1), ("a", 2, 5, 2)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    ingest.merge_stream(ingest.read_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "table"), str(tmp_path / "ck"), ["k"], ["spend", "clicks"], order="at").awaitTermination()
-    assert [tuple(r) for r in merge.latest_version(spark, str(tmp_path / "table"))[1].select("k", "spend", "clicks").collect()] == [("a", 2, 5)]
-
-
 def test_only_touched_days_are_merged(spark):
     stored = spark.createDataFrame([("a", "1", 1), ("b", "2", 2), ("c", "2", 3)], "k string, day string, m int")
     written = spark.createDataFrame([("b", "2", 5)], "k string, day string, m int")

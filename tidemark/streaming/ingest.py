@@ -1,6 +1,6 @@
 """Continuous ingestion: file streams, daily windows with a watermark, and merges of every micro-batch.
 
-A batch is merged under its number: a batch that runs again after a failure finds its version written and does nothing.
+A batch is committed under its number (see ledger): a batch that runs again after a failure finds its commit and does nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators import merge
+from tidemark.operators import ledger
 
 #: How long a day may still be restated.
 LOOKBACK = "7 days"
@@ -35,19 +35,11 @@ def once_each(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def merge_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], measures: list[str], scope: list[str] | None = None, order: str | None = None) -> StreamingQuery:
-    """Merges every micro-batch into the versioned table under root, takes what is there, and stops.
+def merge_stream(stream: DataFrame, table: ledger.Ledger, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Commits every micro-batch to the table, takes what is there, and stops. A batch writes only the days that it touches.
 
-    Of several rows of a key within a batch the last written by order stays whole; without order, the greatest.
+    Of several rows of a key within a batch the last written by order stays whole; without order, the greatest. Batch n is
+    commit n + 1, so a batch that runs again after a failure finds its commit or writes it anew.
     """
-
-    def step(batch: DataFrame, number: int) -> None:
-        held = merge.latest_version(batch.sparkSession, root)
-        if held and held[0] > number:  # written before a failure
-            return
-        written = merge.last_written(batch.select(*keys, *measures, F.col(order).alias("_order") if order else F.struct(*measures).alias("_order")), keys, F.col("_order")).drop("_order")
-        stored = held[1] if held else written.limit(0)
-        following = merge.restate(stored, written, scope, keys, measures) if scope else merge.merge_facts(stored, written, keys, measures)
-        merge.save_version(following.select(*keys, *measures), root, number + 1)
-
+    step = lambda batch, number: ledger.commit(table, batch, number + 1, order) and None
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
