@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,15 +91,23 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(_TABLES)})\b", r"\1 {\2}", sql), **used)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df computed once and read from the checkpoint folder from then on, for facts that a query uses many times."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if root is None and not context.master.startswith("local["):
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one is made only where none is configured and all runs in one process."""
+    jsc = spark.sparkContext._jsc.sc()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="tidemark-shared-"))
-    return df.checkpoint()
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-shared-"))
+    return f"{root or jsc.getCheckpointDir().get()}/tidemark-tables"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df computed once and written as Parquet to the shared folder, for facts that a query uses many times: later readers
+    prune columns and rows, and lost executors cost nothing."""
+    path = f"{shared_root(df.sparkSession)}/held/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_views(sql: str, *names: str) -> str:
