@@ -315,10 +315,10 @@ def _contested(classes: DataFrame, column: str) -> DataFrame:
 
 
 def _topics(rest: DataFrame) -> DataFrame:
-    """node, root of the classes that first tokens connect, over however many others."""
-    at = rest.select("node", F.explode("first").alias("token"))
-    heads = at.groupBy("token").agg(F.min("node").alias("b"))
-    return components(at.join(materialise(heads, "heads"), "token").select(F.col("node").alias("a"), "b"))
+    """part, root of the components that first tokens connect, over however many others."""
+    at = rest.select("part", F.explode("first").alias("token")).distinct()
+    heads = at.groupBy("token").agg(F.min("part").alias("b"))
+    return components(at.join(materialise(heads, "heads"), "token").select(F.col("part").alias("a"), "b")).withColumnRenamed("node", "part")
 
 
 def _classes(paged: DataFrame, percent: int, page_tokens: int) -> DataFrame:
@@ -333,7 +333,7 @@ def _classes(paged: DataFrame, percent: int, page_tokens: int) -> DataFrame:
     if rest.isEmpty():
         return out
     # Only these classes still have to meet others. They are laid out anew, those that tokens connect together.
-    whole = paged.drop("page", "part", "first", "second").join(rest, "node").join(_topics(rest), "node", "left").withColumn("home", F.coalesce("root", "node")).drop("root")
+    whole = paged.drop("page", "part", "first", "second").join(rest, "node").join(_topics(rest), "part", "left").withColumn("home", F.coalesce("root", "part")).drop("root")
     again = materialise(_dealt(materialise(whole, "rest"), REST * page_tokens), "again")
     pairs = _meetings(again).unionByName(again.select(F.col("page").alias("p"), F.col("page").alias("q")).distinct())
     named = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("page")).join(again, "page")
