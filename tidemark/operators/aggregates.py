@@ -15,31 +15,31 @@ def total(column: str, when: Column | None = None) -> Column:
     return F.coalesce(F.sum(value), F.lit(0))
 
 
-def marketing_totals(delivery: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Spend, mapped spend and volumes; link_clicks stays null where no row reports it."""
+def marketing_totals(delivery: DataFrame, mappings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Spend, mapped spend and volumes, of all rows or by some columns; link_clicks stays null where no row reports it."""
     rows = populations.marketing(delivery, mappings)
     live = populations.delivered()
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         total("spend").alias("spend"), total("spend", F.col("mapped")).alias("mapped_spend"), total("impressions").alias("impressions"), total("clicks").alias("clicks"), F.sum("link_clicks").alias("link_clicks"),
         F.count_distinct("currency").alias("spend_currencies"), F.count_distinct(F.when(live, F.col("campaign"))).alias("delivered_campaigns"), F.count_distinct(F.when(live & F.col("mapped"), F.col("campaign"))).alias("mapped_delivered_campaigns"),
         F.count("*").alias("delivery_rows"), F.max("report_date").alias("last_day"),
     )
 
 
-def install_totals(installs: DataFrame, mappings: DataFrame, delivery: DataFrame) -> DataFrame:
-    rows = populations.attribution(installs, mappings, delivery)
+def install_totals(installs: DataFrame, mappings: DataFrame, delivery: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    rows = populations.attribution(installs, mappings, delivery, by)
     paid = ~F.col("organic")
-    out = rows.agg(
+    out = rows.groupBy(*by).agg(
         total("installs").alias("installs"), total("installs", F.col("organic")).alias("organic_installs"), total("installs", paid & F.col("mapped")).alias("mapped_installs"),
         total("installs", paid & F.col("aligned")).alias("aligned_installs"), F.count("*").alias("install_rows"),
     )
     return out.withColumn("unmapped_installs", F.col("installs") - F.col("organic_installs") - F.col("mapped_installs"))
 
 
-def revenue_totals(revenue: DataFrame, mappings: DataFrame, delivery: DataFrame) -> DataFrame:
-    rows = populations.attribution(revenue, mappings, delivery)
+def revenue_totals(revenue: DataFrame, mappings: DataFrame, delivery: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    rows = populations.attribution(revenue, mappings, delivery, by)
     paid, kind = ~F.col("organic"), F.col("revenue_type")
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         total("revenue").alias("revenue"), total("revenue", paid & F.col("mapped")).alias("mapped_revenue"), total("revenue", paid & F.col("aligned")).alias("aligned_revenue"), total("revenue", F.col("organic")).alias("organic_revenue"),
         total("revenue", kind == "iap").alias("iap_revenue"), total("revenue", kind == "ad").alias("ad_revenue"), F.count_distinct("currency").alias("revenue_currencies"),
     )

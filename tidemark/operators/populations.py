@@ -63,18 +63,37 @@ def flag(facts: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return facts.join(marked, keys.columns, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def linked_targets(mappings: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """campaign: attribution campaigns that an operational mapping leads to, from these source campaigns only if given."""
+def linked_targets(mappings: DataFrame, sources: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """campaign: attribution campaigns that an operational mapping leads to, from these source campaigns only if given
+    (with the by columns that the source campaigns stand under)."""
     links = mappings.filter(operational() & F.col("target").isNotNull())
     if sources is not None:
-        links = links.join(sources.select(F.col("campaign").alias("source")).distinct(), "source", "left_semi")
-    return links.select(F.col("target").alias("campaign"))
+        links = links.join(sources.select(*by, F.col("campaign").alias("source")).distinct(), "source")
+    return links.select(*by, F.col("target").alias("campaign"))
 
 
-def attribution(facts: DataFrame, mappings: DataFrame, delivery: DataFrame) -> DataFrame:
-    """installs or revenue with organic, mapped and aligned (the mapped campaign delivered within the same filters)."""
+def attribution(facts: DataFrame, mappings: DataFrame, delivery: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """installs or revenue with organic, mapped and aligned (the mapped campaign delivered within the same filters, or
+    within the same values of the by columns)."""
     out = flag(facts.withColumn("organic", scalars.is_organic(F.col("media_source"))), linked_targets(mappings), "mapped")
-    return flag(out, linked_targets(mappings, delivery.filter(delivered())), "aligned")
+    return flag(out, linked_targets(mappings, delivery.filter(delivered()), by), "aligned")
+
+
+def _suffixed(value: Column):
+    return lambda x: F.concat(x, F.array(value))
+
+
+def in_scopes(cells: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """cells, once for each scope that holds them: scope names a value for every subset of the dimensions ("*": any).
+
+    A row of null in a dimension is in no scope that names one. Aggregate facts to cells first: a cell comes 2 ** dimensions times.
+    """
+    scopes = F.array(F.array().cast("array<string>"))
+    for d in dimensions:
+        wide = F.transform(scopes, _suffixed(F.lit(f"{d}=*")))
+        named = F.transform(scopes, _suffixed(F.concat(F.lit(f"{d}="), F.col(d))))
+        scopes = F.concat(wide, F.when(F.col(d).isNotNull(), named).otherwise(F.array().cast("array<array<string>>")))
+    return cells.select("*", F.explode(F.transform(scopes, lambda x: F.array_join(x, "|"))).alias("scope"))
 
 
 def marketing(delivery: DataFrame, mappings: DataFrame) -> DataFrame:

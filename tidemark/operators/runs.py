@@ -76,6 +76,22 @@ def stream_context(streams: DataFrame) -> DataFrame:
     return streams.groupBy("role").agg(scalars.worst_freshness(F.col("status")).alias("status"), F.max("latest_day").alias("latest_day"), F.min("last_success").alias("last_success"), F.count("*").alias("streams"))
 
 
+def stream_states(runs: DataFrame, checked: DataFrame) -> DataFrame:
+    """app, data_type, status, last_success, latest_day of each stream, as a check at the app's checked_at records it.
+
+    runs: app, data_type, status, finished_at, latest_day. What is expected of a stream goes by its type (vocab.EXPECTED_FRESHNESS).
+    """
+    done = F.col("status").isin(*DONE)
+    seen = runs.groupBy("app", "data_type").agg(
+        F.max(F.when(done, F.col("finished_at"))).alias("last_success"), F.max_by("status", "finished_at").alias("newest"), F.max("latest_day").alias("latest_day")
+    )
+    kind = F.when(F.col("data_type") == "marketing_structure", "structure").when(F.col("data_type") == "attribution_revenue", "revenue").otherwise(F.split_part("data_type", F.lit("_"), F.lit(1)))
+    held = seen.join(checked, "app").withColumn("expected", scalars.lookup(vocab.EXPECTED_FRESHNESS, kind))
+    age = F.date_diff(F.to_date("checked_at"), F.col("latest_day"))
+    status = scalars.freshness(F.lit(True), F.col("newest") == "failed", scalars.minutes_since(F.col("last_success"), F.col("checked_at")), F.col("expected"), age)
+    return held.select("app", "data_type", status.alias("status"), "last_success", "latest_day")
+
+
 def recent(rows: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
     """The newest n rows, for lists of runs, errors and findings."""
     return rows.orderBy(F.col(by).desc_nulls_last(), *ties).limit(n)

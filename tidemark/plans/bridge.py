@@ -49,6 +49,17 @@ VIEWS: dict[str, str] = {
     CASE (l_partkey + l_suppkey) % 7 WHEN 0 THEN 'matched_exact' WHEN 1 THEN 'matched_confident' WHEN 2 THEN 'manually_verified' WHEN 3 THEN 'ambiguous' WHEN 4 THEN 'rejected' ELSE 'matched_fallback' END AS status,
     CASE (l_partkey + l_suppkey) % 7 WHEN 0 THEN 'stable_id' WHEN 1 THEN 'remote_id' WHEN 2 THEN 'manual' WHEN 4 THEN 'manual' ELSE 'name' END AS method, CAST(l_partkey % 11 AS DOUBLE) / 10 AS confidence
     FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 10 <> 3) x""",
+    "app_runs": f"""WITH seen AS (SELECT country || '-' || platform AS app, day, max(ts) AS seen_at FROM (SELECT {_PLACE}, CAST(ts AS DATE) AS day, CAST(ts AS TIMESTAMP) AS ts FROM events) e GROUP BY 1, 2),
+    types AS (SELECT 'marketing_performance' AS data_type UNION ALL SELECT 'attribution_installs' UNION ALL SELECT 'attribution_revenue')
+    SELECT app, data_type, 'completed' AS status, seen_at AS finished_at, CASE WHEN app = 'GB-ios' AND data_type = 'attribution_installs' THEN CAST(day - CAST(2 AS INT) AS DATE) ELSE day END AS latest_day
+    FROM seen CROSS JOIN types WHERE app <> 'GB-android' OR day < (SELECT max(day) FROM seen)
+    UNION ALL SELECT app, 'marketing_performance', 'failed', max(seen_at) + INTERVAL 1 MINUTE, NULL FROM seen WHERE app = 'DE-ios' GROUP BY 1""",
+    "app_bindings": f"""SELECT app, role FROM (SELECT DISTINCT country || '-' || platform AS app FROM (SELECT {_PLACE} FROM events) e) a
+    CROSS JOIN (SELECT 'marketing' AS role UNION ALL SELECT 'attribution') r WHERE app <> 'US-android' OR role <> 'marketing'""",
+    "app_capabilities": f"""SELECT app, capability, NOT (capability = 'link_clicks' AND app LIKE '%-ios') AND NOT (capability = 'cohort_ad_revenue_d7' AND app LIKE 'DE-%') AS supported
+    FROM (SELECT DISTINCT country || '-' || platform AS app FROM (SELECT {_PLACE} FROM events) e) a CROSS JOIN (SELECT 'cost_data' AS capability UNION ALL SELECT 'delivery_metrics' UNION ALL SELECT 'link_clicks'
+    UNION ALL SELECT 'attributed_installs' UNION ALL SELECT 'attributed_revenue' UNION ALL SELECT 'cohort_reporting' UNION ALL SELECT 'cohort_total_revenue_d1' UNION ALL SELECT 'cohort_total_revenue_d7'
+    UNION ALL SELECT 'cohort_iap_revenue_d1' UNION ALL SELECT 'cohort_iap_revenue_d7' UNION ALL SELECT 'cohort_ad_revenue_d1' UNION ALL SELECT 'cohort_ad_revenue_d7') k""",
     "apps": "SELECT 'app' || CAST(n AS STRING) AS app, CASE n WHEN 0 THEN 'America/New_York' ELSE 'UTC' END AS zone FROM (SELECT DISTINCT user_id % 2 AS n FROM events) x",
     "runs": """SELECT data_type || '-' || CAST(day AS STRING) AS run, 'app' || CAST(n % 2 AS STRING) AS app, 'k' || CAST(n % 3 AS STRING) AS connection, data_type,
     CASE WHEN n % 13 = 0 THEN 'failed' WHEN n % 4 = 0 THEN 'partially_completed' ELSE 'completed' END AS status, day AS window_start, CAST(day + CAST(2 AS INT) AS DATE) AS window_end,
