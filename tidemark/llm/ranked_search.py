@@ -28,11 +28,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, slices, word_hashes
@@ -48,7 +49,7 @@ BREAKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
 #: A page ends after so many documents and at most one piece more, below 2**16.
 MOST_DOCS, PIECE = 50_000, 10_000
-ROW_GROUP = 16 << 20
+ROW_GROUP, BATCH_PAGES = 16 << 20, 2
 
 _PAGE = "cluster int, ids array<bigint>, lengths binary, terms binary, sizes binary, most binary, shortest binary, docs binary, counts binary, large binary, n_docs long, n_terms long"
 
@@ -210,8 +211,8 @@ def build_index(docs: DataFrame, sample: int = SAMPLE, depth: int = DEPTH, page_
     """Every document with terms in a page of its cluster. docs: doc_id, text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tree, total = sample_tree(docs, sample, depth)
-    # Slots only spread the work: a leaf is dealt to as many as its sampled share of the bytes fills.
-    slots = np.ceil(tree.share * total * tree.mean / (4 * page_bytes)).astype(int)
+    # Slots only spread the work: a leaf is dealt to as many as its sampled share of the bytes fills pages.
+    slots = np.ceil(tree.share * total * tree.mean / page_bytes).astype(int)
     per_leaf = F.array(*(F.lit(int(max(1, p))) for p in slots))
     leaf = F.arrow_udf(lambda texts: pa.array(leaf_of(tree, texts), pa.int32()), "int")
     placed = docs.withColumn("cluster", leaf("text")).filter("cluster >= 0")
@@ -253,6 +254,18 @@ def impact(tf: np.ndarray, n: np.ndarray, documents: int, length: int) -> np.nda
     return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
 
+@contextmanager
+def _few_pages_a_batch(spark: SparkSession) -> Iterator[None]:
+    """Pages go to Python a few at a time, for each is some megabytes; the jobs inside end before the setting goes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_PAGES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _bounds(pages: DataFrame, block: Block) -> pa.Table:
     """cluster, term (place in the block), df, most, shortest of the block's terms in each cluster."""
     terms = block.terms
@@ -370,5 +383,6 @@ def search(index: Index, items: DataFrame, k: int = BEST, block_chars: int = BLO
     out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     if size[0]:
         for block in _blocks(items, block_chars, block_items):
-            out = out.unionByName(_search_block(index, block, k, *size, log))
+            with _few_pages_a_batch(spark):
+                out = out.unionByName(_search_block(index, block, k, *size, log))
     return out
