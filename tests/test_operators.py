@@ -81,7 +81,7 @@ def test_metric_gates(spark):
 
 def test_names_and_platforms(spark):
     row = spark.range(1).select(
-        scalars.name_key(F.lit("  FB_Reveal-Rush (US) ")).alias("key"), scalars.embedded_names(F.lit("a (b (c) ) (d)")).alias("inside"), scalars.name_key(F.lit("ﬁne Ｎame"), True).alias("folded"),
+        scalars.name_key(F.lit("  FB_Reveal-Rush (US) ")).alias("key"), scalars.embedded_names(F.lit("a (b (c) ) (d)")).alias("inside"), scalars.name_key(F.lit("ﬁne Ｎame")).alias("folded"),
         F.array(*(scalars.platform(F.lit(p)) for p in ("iPad", "ANDROID_tv", "mobile_web", "studios", None))).alias("platforms"), scalars.rounded(F.lit(-2.5), 0).alias("half"), scalars.chunks(F.lit("2024-01-01").cast("date"), F.lit("2024-01-10").cast("date"), 7).alias("chunks"),
     ).first()
     assert row["key"] == "fb reveal rush us" and row["inside"] == ["c", "d"] and row["folded"] == "fine name"

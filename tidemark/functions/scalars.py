@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zoneinfo
 from collections.abc import Mapping
 
@@ -62,29 +64,53 @@ def platform(raw: Column) -> Column:
 
 
 # Names.
-def _nfkc(names: pd.Series) -> pd.Series:
-    return names.str.normalize("NFKC")
+_BRACKETS = r"\(([^()]+)\)"
 
 
-def name_key(name: Column, compatibility: bool = False) -> Column:
-    """Lower-case letters and digits with single spaces; null when nothing is left.
+def _plain_key(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", " ", unicodedata.normalize("NFKC", name).lower()).strip()
 
-    compatibility folds Unicode compatibility forms first, which takes an Arrow UDF; names in ASCII don't need it.
+
+def _plain_keys(name: str) -> list[str]:
+    """The key of a whole name, then those of embedded names, empty ones among them."""
+    return [_plain_key(name), *(_plain_key(x) for x in re.findall(_BRACKETS, name))]
+
+
+def _folded(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: None if n is None else _plain_keys(n))
+
+
+def _ascii(name: Column) -> Column:
+    return name.rlike(r"\A\p{ASCII}*\z")
+
+
+def _ascii_key(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+
+
+def all_keys(name: Column) -> Column:
+    """Keys of the whole name and of each embedded one, in order; empty where nothing is left of it.
+
+    Only names beyond ASCII go to Python (in Arrow batches), where compatibility forms are folded first; others stay here.
     """
-    base = F.pandas_udf(_nfkc, "string")(name) if compatibility else name
-    return F.nullif(F.trim(F.regexp_replace(F.lower(base), r"[^\p{L}\p{N}]+", " ")), F.lit(""))
+    beyond = F.pandas_udf(_folded, "array<string>")(F.when(~_ascii(name), name))
+    return F.when(_ascii(name), F.concat(F.array(_ascii_key(name)), F.transform(embedded_names(name), _ascii_key))).otherwise(beyond)
+
+
+def name_key(name: Column) -> Column:
+    """Lower-case letters a to z and digits with single spaces, compatibility forms folded; null when nothing is left."""
+    return F.nullif(F.element_at(all_keys(name), 1), F.lit(""))
 
 
 def embedded_names(name: Column) -> Column:
     """Names within innermost brackets, in order."""
-    inner = F.transform(F.regexp_extract_all(name, F.lit(r"\(([^()]+)\)"), F.lit(1)), F.trim)
+    inner = F.transform(F.regexp_extract_all(name, F.lit(_BRACKETS), F.lit(1)), F.trim)
     return F.filter(inner, lambda x: x != "")
 
 
 def name_keys(name: Column) -> Column:
     """The whole name's key, then those of embedded names, each once."""
-    keys = F.concat(F.array(name_key(name)), F.transform(embedded_names(name), lambda x: name_key(x)))
-    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
+    return F.array_distinct(F.filter(all_keys(name), lambda k: k != ""))
 
 
 def near_names(a: Column, b: Column) -> Column:

@@ -10,14 +10,18 @@ from tidemark.functions import scalars
 from tidemark.operators import populations
 
 
-def campaign_table(delivery: DataFrame, mappings: DataFrame, installs: DataFrame, revenue: DataFrame, directory: DataFrame | None = None) -> DataFrame:
+def campaign_table(
+    delivery: DataFrame, mappings: DataFrame, installs: DataFrame, revenue: DataFrame, directory: DataFrame | None = None, status: str | None = None
+) -> DataFrame:
     """One row for each delivered campaign: delivery sums, best mapping, and its children's installs and revenue.
 
     Installs and revenue are summed by attribution campaign before they meet the mapping's edges, so several children
     add up and nothing is counted twice; they show only where the best mapping is operational, and are null where no
     row reports any. Organic rows belong to no campaign. directory: campaign, name, status (several rows a campaign are
-    folded to the greatest of each). total_count is the number of rows before any page is cut.
+    folded to the greatest of each). Rows without a campaign are no campaign. status keeps the campaigns whose best mapping
+    has it (one without a mapping counts as unmatched). total_count is the number of rows then, before any page is cut.
     """
+    delivery = delivery.filter("campaign IS NOT NULL")
     paid = ~scalars.is_organic(F.col("media_source"))
     sums = delivery.groupBy("campaign").agg(F.sum("spend").alias("spend"), F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.max("report_date").alias("last_day"))
     links = mappings.filter(populations.authoritative() | (F.col("status") == "matched_fallback")).filter("target IS NOT NULL").select("source", "target").distinct()
@@ -28,7 +32,10 @@ def campaign_table(delivery: DataFrame, mappings: DataFrame, installs: DataFrame
         .groupBy("source").agg(F.count("*").alias("children"), F.array_sort(F.collect_list("target")).alias("targets"), F.sum("installs").alias("installs"), F.sum("revenue").alias("revenue"), F.max("last_install_day").alias("last_install_day"))
     )
     best = populations.best_mapping(mappings).select(F.col("source").alias("campaign"), "target", "status", "method", "confidence", populations.operational().alias("shown"))
-    rows = sums.join(best, "campaign", "left").join(children.withColumnRenamed("source", "campaign"), "campaign", "left")
+    rows = sums.join(best, "campaign", "left")
+    if status is not None:
+        rows = rows.filter(F.coalesce("status", F.lit("unmatched")) == status)
+    rows = rows.join(children.withColumnRenamed("source", "campaign"), "campaign", "left")
     if directory is not None:
         rows = rows.join(directory.groupBy("campaign").agg(F.max("name").alias("name"), F.max("status").alias("campaign_status")), "campaign", "left")
     else:

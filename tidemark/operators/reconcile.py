@@ -79,15 +79,28 @@ def reconcile(campaigns: DataFrame, attribution: DataFrame, decided: DataFrame |
     return found.join(best, ["source", "priority"]).select(*_EDGE[:-1]).distinct()
 
 
-def reverse(attribution: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """target, source, status: attribution campaigns seen from their side; organic ones don't apply."""
-    by_id = attribution.join(campaigns.select("campaign").distinct().withColumn("same", F.lit(True)), "campaign", "left")
-    names = campaigns.select(scalars.name_key(F.col("name")).alias("key"), "campaign").filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("uses"), F.min("campaign").alias("named"))
-    rows = by_id.withColumn("key", scalars.name_key(F.col("name"))).join(names, "key", "left")
+def reverse(attribution: DataFrame, campaigns: DataFrame, decided: DataFrame | None = None, ad_groups: DataFrame | None = None) -> DataFrame:
+    """target, source, status, method, confidence: attribution campaigns seen from their side; organic ones don't apply.
+
+    Those that an identifier has linked already, or that a human has settled (decided: target), are left out. Keys are the
+    whole name's and the embedded ones'; just one marketing campaign under all of them together is a match, several are none.
+    """
     organic = scalars.is_organic(F.col("media_source")) if "media_source" in attribution.columns else F.lit(False)
-    status = F.when(organic, "not_applicable").when(F.col("same"), "matched_exact").when(F.col("uses") == 1, "matched_fallback").when(F.col("uses") > 1, "ambiguous").otherwise("unmatched")
-    source = F.when(organic, None).when(F.col("same"), F.col("campaign")).when(F.col("uses") == 1, F.col("named"))
-    return rows.select(F.col("campaign").alias("target"), source.alias("source"), status.alias("status"))
+    declared = resolve_remote(candidates(attribution), campaigns, ad_groups).select(F.col("target").alias("campaign")).distinct()
+    rows = attribution.withColumn("organic", organic).join(declared.withColumn("declared", F.lit(True)), "campaign", "left").filter("organic OR declared IS NULL").drop("declared")
+    if decided is not None:
+        rows = rows.join(decided.select(F.col("target").alias("campaign")).distinct().withColumn("settled", F.lit(True)), "campaign", "left").filter("organic OR settled IS NULL").drop("settled")
+    names = campaigns.select(scalars.name_key(F.col("name")).alias("key"), "campaign").filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("uses"), F.min("campaign").alias("named"))
+    keyed = rows.filter("NOT organic").select("campaign", F.posexplode(scalars.name_keys(F.col("name"))).alias("at", "key")).join(names, "key")
+    found = keyed.groupBy("campaign").agg(F.sum("uses").alias("matches"), F.min("named").alias("named"), F.max((F.col("at") > 0) & (F.col("uses") == 1)).alias("embedded"))
+    same = campaigns.select("campaign").distinct().withColumn("same", F.lit(True))
+    met = rows.join(found, "campaign", "left").join(same, "campaign", "left")
+    exact, one, inside = F.coalesce("same", F.lit(False)), F.coalesce(F.col("matches") == 1, F.lit(False)), F.coalesce("embedded", F.lit(False))
+    status = F.when(F.col("organic"), "not_applicable").when(exact, "matched_exact").when(one, "matched_fallback").otherwise("unmatched")
+    source = F.when(F.col("organic"), None).when(exact, F.col("campaign")).when(one, F.col("named"))
+    method = F.when(F.col("organic"), "none").when(exact, "stable_id").when(inside, "embedded_name").otherwise("name")
+    sure = F.when(F.col("organic"), 0.0).when(exact, 1.0).when(one & inside, vocab.OPERATIONAL_CONFIDENCE).when(one, 0.5).otherwise(0.0)
+    return met.select(F.col("campaign").alias("target"), source.alias("source"), status.alias("status"), method.alias("method"), sure.alias("confidence"))
 
 
 def health(coverage: DataFrame) -> DataFrame:

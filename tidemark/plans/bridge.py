@@ -86,9 +86,10 @@ VIEWS: dict[str, str] = {
     FROM lineitem WHERE l_suppkey % 4 < 3 GROUP BY 1, 2, 3""",
     "written": """SELECT l_suppkey AS campaign, CAST(l_shipdate AS DATE) AS report_date, l_returnflag AS country, CAST(sum(CAST(l_extendedprice AS DECIMAL(20,6))) AS DECIMAL(20,6)) AS spend, CAST(sum(l_quantity) + CASE WHEN l_suppkey % 8 = 2 THEN 1 ELSE 0 END AS BIGINT) AS clicks
     FROM lineitem WHERE l_suppkey % 4 >= 1 AND (l_returnflag <> 'R' OR l_suppkey % 3 > 0) GROUP BY 1, 2, 3""",
-    "names_marketing": "SELECT 'm' || CAST(p_partkey AS STRING) AS campaign, p_name AS name FROM part WHERE p_partkey % 2 = 0",
+    "names_marketing": """SELECT 'm' || CAST(p_partkey AS STRING) AS campaign, CASE p_partkey % 9 WHEN 0 THEN translate(p_name, 'l0123456789', 'ｌ０１２３４５６７８９') WHEN 1 THEN p_name || ' é' ELSE p_name END AS name
+    FROM part WHERE p_partkey % 2 = 0""",
     "names_attribution": """SELECT CASE WHEN p_partkey % 11 = 0 THEN 'm' || CAST(p_partkey + 1 AS STRING) ELSE 't' || CAST(p_partkey AS STRING) END AS campaign,
-    CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE 'Creative_' || CAST(p_partkey AS STRING) || ' (' || p_name || ')' END AS name,
+    CASE WHEN p_partkey % 5 = 0 THEN p_name WHEN p_partkey % 9 = 1 THEN '（' || p_name || '） e\u0301' WHEN p_partkey % 9 = 2 THEN '(' || p_name || ') & (' || p_name || ' 2)' ELSE 'Creative_' || CAST(p_partkey AS STRING) || ' (' || p_name || ')' END AS name,
     CASE WHEN p_partkey % 7 = 0 THEN 'm' || CAST(p_partkey + 1 AS STRING) END AS remote_id, CASE p_partkey % 13 WHEN 0 THEN 'Organic' WHEN 1 THEN NULL ELSE 'Facebook Ads' END AS media_source FROM part WHERE p_partkey % 2 = 1""",
 }
 _TABLES = ("events", "lineitem", "orders", "customer", "supplier", "part")

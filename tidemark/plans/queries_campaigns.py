@@ -20,7 +20,7 @@ CASE WHEN impressions >= 1000 THEN CAST(clicks AS DOUBLE) / CAST(impressions AS
 CASE WHEN clicks >= 50 THEN CAST(d.spend AS DOUBLE) / CAST(clicks AS DOUBLE) END AS cpc, CASE WHEN shown AND installs >= 25 THEN CAST(d.spend AS DOUBLE) / CAST(installs AS DOUBLE) END AS cpi,
 CASE WHEN b.status IN ('matched_exact', 'matched_confident', 'manually_verified') THEN CASE WHEN children > 1 THEN 'several_children' END WHEN b.status = 'matched_fallback' AND confidence < 0.9 THEN 'low_confidence'
 WHEN b.status = 'matched_fallback' AND children > 1 THEN 'embedded_name_several_children' WHEN b.status = 'matched_fallback' THEN 'embedded_name' ELSE coalesce(b.status, 'not_computed') END AS note
-FROM (SELECT campaign, sum(spend) AS spend, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, max(report_date) AS last_day FROM delivery GROUP BY 1) d
+FROM (SELECT campaign, sum(spend) AS spend, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, max(report_date) AS last_day FROM delivery WHERE NOT (campaign = 'c8' AND country = 'DE') GROUP BY 1) d
 LEFT JOIN (SELECT campaign, max(name) AS name, max(status) AS campaign_status FROM directory GROUP BY 1) n ON n.campaign = d.campaign
 LEFT JOIN (SELECT *, {OPERATIONAL} AS shown FROM {_BEST}) b ON d.campaign = b.source
 LEFT JOIN (SELECT source, count(*) AS children, string_agg(target, ',' ORDER BY target) AS targets, sum(installs) AS installs, sum(revenue) AS revenue, max(last_install_day) AS last_install_day FROM
@@ -30,9 +30,20 @@ LEFT JOIN (SELECT campaign, sum(revenue) AS revenue FROM revenue WHERE NOT {ORGA
 _INPUTS = ("delivery", "installs", "revenue", "mappings", "directory")
 
 
-def campaign_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _table_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     delivery, installs, revenue, mappings, directory = (view(spark, sf_dir, n) for n in _INPUTS)
-    return campaigns.campaign_table(delivery, mappings, installs, revenue, directory)
+    unnamed = F.when((F.col("campaign") == "c8") & (F.col("country") == "DE"), None).otherwise(F.col("campaign"))
+    return delivery.withColumn("campaign", unnamed), mappings, installs, revenue, directory
+
+
+def campaign_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every campaign; some delivery rows name none."""
+    return campaigns.campaign_table(*_table_inputs(spark, sf_dir))
+
+
+def campaign_table_of_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The campaigns without a match, those without a mapping among them."""
+    return campaigns.campaign_table(*_table_inputs(spark, sf_dir), status="unmatched")
 
 
 def campaign_table_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +52,7 @@ def campaign_table_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["campaign_table"] = with_views(_TABLE, *_INPUTS)
+ORACLE["campaign_table_of_status"] = with_views(_TABLE + " WHERE coalesce(b.status, 'unmatched') = 'unmatched'", *_INPUTS)
 ORACLE["campaign_table_top_k"] = with_views(_TABLE + " ORDER BY spend DESC NULLS LAST, d.campaign LIMIT 5 OFFSET 5", *_INPUTS)
 
 
@@ -116,7 +128,8 @@ def name_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("key").agg(F.count_if(F.col("side") == _SIDES[0]).alias("marketing"), F.count_if(F.col("side") == _SIDES[1]).alias("attribution"))
 
 
-_KEY = "nullif(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), '')"
+#: The compatibility forms that the inputs hold: full-width l, digits and brackets, and a letter with a combining accent.
+_KEY = "nullif(trim(regexp_replace(lower(translate(replace({}, 'e\u0301', 'é'), 'ｌ０１２３４５６７８９（）', 'l0123456789()')), '[^a-z0-9]+', ' ', 'g')), '')"
 ORACLE["name_key_match"] = with_views(f"SELECT key, count(*) FILTER (side = 1) AS marketing, count(*) FILTER (side = 2) AS attribution FROM (SELECT 1 AS side, {_KEY.format('name')} AS key FROM names_marketing UNION ALL SELECT 2, {_KEY.format('name')} FROM names_attribution) x GROUP BY 1", *_SIDES)
 
 
@@ -135,7 +148,7 @@ def reconcile_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAID_NAMES = "(SELECT * FROM names_attribution WHERE coalesce(media_source, 'Organic') <> 'Organic')"
 ORACLE["reconcile_precedence"] = with_views("", *_SIDES).rstrip() + f""", m AS (SELECT campaign AS source, {_KEY.format('name')} AS key FROM names_marketing), u AS (SELECT key, count(*) AS uses FROM m WHERE key IS NOT NULL GROUP BY 1),
-t AS (SELECT campaign AS target, {_KEY.format('name')} AS whole, {_KEY.format("regexp_extract(name, '[(]([^()]+)[)]', 1)")} AS inside FROM {_PAID_NAMES} pn
+t AS (SELECT campaign AS target, {_KEY.format('name')} AS whole, {_KEY.format("unnest(list_concat([NULL], regexp_extract_all(name, '[(]([^()]+)[)]', 1)))")} AS inside FROM {_PAID_NAMES} pn
   WHERE campaign NOT IN (SELECT source FROM m) AND coalesce(remote_id, '') NOT IN (SELECT source FROM m)),
 k AS (SELECT DISTINCT target, key, embedded FROM (SELECT target, whole AS key, FALSE AS embedded FROM t UNION ALL SELECT target, inside, TRUE FROM t WHERE inside IS DISTINCT FROM whole) x WHERE key IS NOT NULL),
 c AS (SELECT key, count(*) FILTER (embedded) AS inside, count(*) FILTER (NOT embedded) AS bare, min(target) FILTER (NOT embedded) AS bare_target FROM k GROUP BY 1),
@@ -150,17 +163,27 @@ SELECT DISTINCT source, target, status, method, CAST(confidence AS DOUBLE) AS co
 
 
 def reconcile_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attribution campaigns by how they find a marketing campaign."""
+    """Attribution campaigns by how they find a marketing campaign, those that an identifier has linked left out; every
+    thirteenth is settled by a human."""
     marketing, attribution = (view(spark, sf_dir, n) for n in _SIDES)
-    return reconcile.reverse(attribution, marketing).groupBy("status").agg(F.count("*").alias("n"), F.count("source").alias("linked"))
-
-
-ORACLE["reconcile_reverse"] = with_views("", *_SIDES).rstrip() + f""", u AS (SELECT {_KEY.format('name')} AS key, count(*) AS uses FROM names_marketing GROUP BY 1),
-r AS (SELECT a.campaign IN (SELECT campaign FROM names_marketing) AS same, uses, coalesce(media_source, 'Organic') = 'Organic' AS organic FROM names_attribution a LEFT JOIN u ON {_KEY.format('a.name')} = key),
-s AS (SELECT CASE WHEN organic THEN 'not_applicable' WHEN same THEN 'matched_exact' WHEN uses = 1 THEN 'matched_fallback' WHEN uses > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status FROM r)
-SELECT status, count(*) AS n, count(*) FILTER (status IN ('matched_exact', 'matched_fallback')) AS linked FROM s GROUP BY 1"""
+    decided = attribution.filter("CAST(substr(campaign, 2) AS BIGINT) % 13 = 5").select(F.col("campaign").alias("target"))
+    return reconcile.reverse(attribution, marketing, decided)
+
+
+ORACLE["reconcile_reverse"] = with_views("", *_SIDES).rstrip() + f""", u AS (SELECT {_KEY.format('name')} AS key, count(*) AS uses, min(campaign) AS named FROM names_marketing GROUP BY 1),
+a AS (SELECT campaign, media_source, name, coalesce(media_source, 'Organic') = 'Organic' AS organic FROM names_attribution WHERE coalesce(media_source, 'Organic') = 'Organic'
+  OR (coalesce(remote_id, '') NOT IN (SELECT campaign FROM names_marketing) AND CAST(substr(campaign, 2) AS BIGINT) % 13 <> 5)),
+l AS (SELECT campaign, list_filter(list_distinct(list_concat([{_KEY.format('name')}], list_transform(regexp_extract_all(name, '[(]([^()]+)[)]', 1), lambda x: {_KEY.format('x')}))), lambda k: k IS NOT NULL) AS keys,
+  {_KEY.format('name')} AS whole FROM a WHERE NOT organic),
+k AS (SELECT campaign, whole, unnest(keys) AS key FROM l),
+f AS (SELECT campaign, sum(uses) AS matches, min(named) AS named, max((key <> whole AND uses = 1)::INT) AS embedded FROM k JOIN u USING (key) GROUP BY 1),
+r AS (SELECT a.campaign, organic, a.campaign IN (SELECT campaign FROM names_marketing) AS same, coalesce(matches, 0) AS matches, named, coalesce(embedded, 0) = 1 AS embedded FROM a LEFT JOIN f USING (campaign))
+SELECT campaign AS target, CASE WHEN organic THEN NULL WHEN same THEN campaign WHEN matches = 1 THEN named END AS source,
+CASE WHEN organic THEN 'not_applicable' WHEN same THEN 'matched_exact' WHEN matches = 1 THEN 'matched_fallback' ELSE 'unmatched' END AS status,
+CASE WHEN organic THEN 'none' WHEN same THEN 'stable_id' WHEN embedded THEN 'embedded_name' ELSE 'name' END AS method,
+CAST(CASE WHEN organic THEN 0 WHEN same THEN 1 WHEN matches = 1 AND embedded THEN 0.9 WHEN matches = 1 THEN 0.5 ELSE 0 END AS DOUBLE) AS confidence FROM r"""
 
 QUERIES |= {f.__name__: f for f in (
-    campaign_table, campaign_table_top_k, delivery_without_attribution, attribution_without_mapping, filter_options_union, mapping_best_link, strongest_link_per_target, structure_coverage, eligible_coverage,
+    campaign_table, campaign_table_of_status, campaign_table_top_k, delivery_without_attribution, attribution_without_mapping, filter_options_union, mapping_best_link, strongest_link_per_target, structure_coverage, eligible_coverage,
     install_state_split, name_key_match, embedded_name_match, reconcile_precedence, reconcile_reverse,
 )}
