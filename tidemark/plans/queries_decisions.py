@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import cohorts, decisions, facts, runs
+from tidemark.operators import cohorts, decisions, facts, metrics, runs
 from tidemark.plans.bridge import held, view, with_views
 from tidemark.plans.queries_history import WINDOW, covered_sql, once_sql
 from tidemark.plans.queries_metrics import LIVE, OPERATIONAL, ORGANIC
@@ -174,10 +174,10 @@ def _scopes(t: dict[str, DataFrame], age: int) -> tuple[DataFrame, DataFrame]:
     return days.unionByName(app), earned.unionByName(whole)
 
 
-def _anomalies(t: dict[str, DataFrame], days: DataFrame, earned: DataFrame) -> DataFrame:
+def _anomalies(t: dict[str, DataFrame], days: DataFrame, earned: DataFrame, freshness: str | None = "fresh") -> DataFrame:
     ends = {"spend": t["delivery"].agg(F.max("report_date")).scalar(), "installs": t["installs"].agg(F.max("install_date")).scalar(), "revenue": t["revenue"].agg(F.max("event_date")).scalar()}
     found = decisions.anomalies(facts.series(days, earned, "campaign", ends), first=_window()[0], last=_window()[1])
-    return decisions.classify(found, _signals(t), "fresh")
+    return decisions.classify(found, _signals(t), freshness)
 
 
 def decision_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,9 +200,23 @@ _ALL = (*_BASE, "runs", "apps", "run_errors", "findings")
 ORACLE["decision_anomalies"] = _sql(", ".join((_LINKS, _RUNS, _SERIES)) + "\nSELECT * FROM an", *_ALL)
 
 
-def _decide(spark: SparkSession, sf_dir: str, policy: decisions.Policy, quiet: bool) -> DataFrame:
-    """A reading for each campaign that delivered in the window, and the app. quiet leaves anomalies, findings and errors out."""
-    t = _inputs(spark, sf_dir)
+#: The app whose recorded feeds the readings take.
+_FEEDS_OF = "GB-ios"
+
+
+def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the recorded states of the app's feeds, and whether a role has no provider."""
+    log, bindings = (view(spark, sf_dir, n).filter(F.col("app") == _FEEDS_OF) for n in ("app_runs", "app_bindings"))
+    checked = log.groupBy("app").agg((F.max("finished_at") + F.expr("INTERVAL 10 MINUTES")).alias("checked_at"))
+    states = metrics.feed_states(bindings, runs.stream_states(log, checked), F.lit(None).cast("timestamp"))
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("status"))).alias(f"{role}_status")
+    return states.agg(of("marketing"), of("attribution"), (F.count_distinct("role") < 2).alias("provider_missing"))
+
+
+def _decide(spark: SparkSession, sf_dir: str, policy: decisions.Policy, quiet: bool) -> tuple[DataFrame, DataFrame]:
+    """A reading for each campaign that delivered in the window, and the app; and the anomalies behind them. quiet leaves
+    anomalies, findings and errors out of the readings."""
+    t, feeds = _inputs(spark, sf_dir), held(_feeds(spark, sf_dir))
     measure = decisions.return_measure(policy)
     kind, age = (measure.kind, measure.age) if measure else ("total", 7)
     days, earned = _scopes(t, age)
@@ -211,7 +225,8 @@ def _decide(spark: SparkSession, sf_dir: str, policy: decisions.Policy, quiet: b
     sums = facts.scope_summary(inside, "campaign", kind, as_of)
     mature = (F.col("spend") > 0) & F.col("old_enough") & F.col("covered")
     halves = decisions.trend(inside.select("campaign", "day", F.col(f"revenue_{kind}").alias("numerator"), F.col("spend").alias("denominator"), F.col("aligned_installs").alias("installs"), mature.alias("eligible"))).select("campaign", "direction")
-    moved = _anomalies(t, days, earned).groupBy("campaign").agg(F.count_if(F.col("class").isin("data_gap", "attribution")).alias("data_anomalies"), F.count_if(F.col("class").isin("undetermined", "monetization")).alias("open_anomalies"))
+    strange = held(_anomalies(t, days, earned, feeds.first()["attribution_status"]))
+    moved = strange.groupBy("campaign").agg(F.count_if(F.col("class").isin("data_gap", "attribution")).alias("data_anomalies"), F.count_if(F.col("class").isin("undetermined", "monetization")).alias("open_anomalies"))
     found = runs.finding_counts(runs.current_findings(t["findings"], t["runs"]), first, last).filter("severity = 'error'")
     findings = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("app_findings"), F.coalesce(F.sum(F.when(~F.col("check_key").startswith("reconciliation."), F.col("n"))), F.lit(0)).alias("own_findings"))
     errors = runs.run_errors(t["run_errors"], t["runs"], TYPES).agg(F.count("*").alias("sync_errors"))
@@ -219,38 +234,88 @@ def _decide(spark: SparkSession, sf_dir: str, policy: decisions.Policy, quiet: b
     is_app = F.col("campaign") == "app"
     scopes = sums.join(facts.mapping_state(t["mappings"]), "campaign", "left").join(halves, "campaign", "left").join(moved, "campaign", "left").filter(is_app | F.col("delivered"))
     # One-row aggregates.
-    scopes = scopes.crossJoin(F.broadcast(findings)).crossJoin(F.broadcast(errors)).crossJoin(F.broadcast(share))
+    scopes = scopes.crossJoin(F.broadcast(findings)).crossJoin(F.broadcast(errors)).crossJoin(F.broadcast(share)).crossJoin(F.broadcast(feeds))
     none = lambda c: F.lit(0) if quiet else F.coalesce(c, F.lit(0))
     ready = scopes.withColumns({
-        "is_app": is_app, "provider_missing": F.lit(False), "operational": is_app | F.coalesce("operational", F.lit(False)), "ambiguous": F.coalesce("ambiguous", F.lit(False)), "marketing_status": F.lit("fresh"), "attribution_status": F.lit("delayed"), "as_of": as_of,
+        "is_app": is_app, "operational": is_app | F.coalesce("operational", F.lit(False)), "ambiguous": F.coalesce("ambiguous", F.lit(False)), "as_of": as_of,
         "direction": F.coalesce("direction", F.lit("unknown")), "error_findings": none(F.when(is_app, F.col("app_findings")).otherwise(F.col("own_findings"))), "sync_errors": none(F.col("sync_errors")), "data_anomalies": none(F.col("data_anomalies")), "open_anomalies": none(F.col("open_anomalies")),
         "spend_coverage": F.when(is_app, F.col("spend_coverage")), "ambiguous_spend": F.when(is_app, F.col("ambiguous_spend")),
     })
     out = decisions.evaluate(ready, policy)
-    return out.select("campaign", "signal", "category", "blocker", "roas", "cpi", "direction", "mature_days", "immature_days", "uncovered_days", "confidence", "confidence_level", F.col("spend").cast("double").alias("spend"))
+    return out.select("campaign", "signal", "category", "blocker", "roas", "cpi", "direction", "mature_days", "immature_days", "uncovered_days", "confidence", "confidence_level", F.col("spend").cast("double").alias("spend")), strange
 
 
 def decision_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return at age seven against its target, with whatever the feeds and anomalies say first."""
-    return _decide(spark, sf_dir, RETURN, False)
+    return _decide(spark, sf_dir, RETURN, False)[0]
 
 
 def return_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on figures alone."""
-    return _decide(spark, sf_dir, RETURN, True)
+    return _decide(spark, sf_dir, RETURN, True)[0]
 
 
 def cost_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of an install against a ceiling."""
-    return _decide(spark, sf_dir, COST, True)
+    return _decide(spark, sf_dir, COST, True)[0]
 
 
-def decision_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All readings in the order in which they're shown: the app, then campaigns by spend; stable ids."""
-    rows = _decide(spark, sf_dir, RETURN, True)
+def _set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The readings with their places (the app, then campaigns by spend), stable ids, anomalies and pacing; and the anomalies."""
+    rows, strange = (held(x) for x in _decide(spark, sf_dir, RETURN, False))
     place = F.count_if(F.lit(True)).over(decisions.Window.orderBy((F.col("campaign") != "app").cast("int"), F.col("spend").desc(), "campaign"))
     identity = scalars.stable_id(F.lit("rules-1"), F.when(F.col("campaign") == "app", "app").otherwise("campaign"), F.col("campaign"), *map(F.lit, WINDOW))
-    return rows.select("campaign", "signal", "blocker", "spend", place.alias("place"), identity.alias("id"), F.lit("none").alias("automation"))
+    entry = F.struct("day", "metric", "direction", "class")
+    noted = strange.groupBy("campaign").agg(F.array_sort(F.collect_list(entry)).alias("anomalies"))
+    first, last = _window()
+    spent = view(spark, sf_dir, "delivery").filter(F.col("report_date").between(first, last)).withColumnRenamed("report_date", "day")
+    paced = decisions.pacing(spent, _budgets(spark, sf_dir)).select("campaign", F.col("status").alias("pace"))
+    # The places of one app's campaigns: as many rows as it has campaigns.
+    out = rows.withColumns({"place": place, "id": identity}).join(noted, "campaign", "left").join(paced, "campaign", "left")
+    return out, strange
+
+
+def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily budget of every third campaign, by what it spent."""
+    sums = view(spark, sf_dir, "delivery").filter("CAST(substr(campaign, 2) AS INT) % 3 <> 1").groupBy("campaign")
+    return sums.agg(F.round(F.sum("spend").cast("double") / 20).alias("daily"), F.lit("USD").alias("budget_currency"))
+
+
+_NONE = "array<struct<day:date,metric:string,direction:string,class:string>>"
+
+
+def _size(entries: str) -> F.Column:
+    return F.when(F.col(entries).isNull(), 0).otherwise(F.size(entries))
+
+
+def _listed(entries: F.Column) -> F.Column:
+    return F.array_join(F.transform(F.coalesce(entries, F.array().cast(_NONE)), lambda a: F.concat_ws(":", a["day"].cast("string"), a["metric"], a["direction"], a["class"])), ",")
+
+
+def decision_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings in the order in which they're shown, with all that speaks against their figures: errors, findings,
+    anomalies by date and metric; and each campaign's pace."""
+    rows, _ = _set(spark, sf_dir)
+    return rows.select("campaign", "signal", "blocker", "spend", "place", "id", F.lit("none").alias("automation"), _listed(F.col("anomalies")).alias("anomalies"), F.when(F.col("campaign") != "app", F.coalesce("pace", F.lit("unknown"))).alias("pace"))
+
+
+def decision_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set as one row: the app's reading, campaigns in order, their anomalies and paces. Lists are as long as the account."""
+    rows, _ = _set(spark, sf_dir)
+    entry = F.struct("place", "campaign", "signal", "blocker", "pace", _size("anomalies").alias("n"))
+    one = rows.agg(
+        F.max(F.when(F.col("campaign") == "app", F.col("signal"))).alias("app_signal"), F.max(F.when(F.col("campaign") == "app", F.col("blocker"))).alias("app_blocker"),
+        F.array_sort(F.collect_list(F.when(F.col("campaign") != "app", entry))).alias("campaigns"), F.sum(_size("anomalies")).alias("anomalies"),
+    )
+    shown = F.array_join(F.transform("campaigns", lambda c: F.concat_ws(":", c["campaign"], c["signal"], F.coalesce(c["blocker"], F.lit("-")), F.coalesce(c["pace"], F.lit("unknown")), c["n"].cast("string"))), ",")
+    return one.select("app_signal", "app_blocker", F.size("campaigns").cast("long").alias("n_campaigns"), shown.alias("campaigns"), F.col("anomalies").cast("long").alias("anomalies"))
+
+
+def anomalies_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many scopes moved on each day in each metric, by class, and the strongest movement's scope of each."""
+    t = _inputs(spark, sf_dir)
+    found = _anomalies(t, *_scopes(t, 7))
+    return found.groupBy("day", "metric").agg(F.count("*").alias("scopes"), F.count_if(F.col("direction") == "up").alias("up"), F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes"), F.min("campaign").alias("first"))
 
 
 def _decision_sql(quiet: bool, cost: bool = False) -> str:
@@ -289,10 +354,20 @@ _PARTS = ", ".join((_LINKS, _RUNS, _SERIES))
 ORACLE["decision_signals"] = _sql(_PARTS + _decision_sql(False) + "\nSELECT * FROM wy", *_ALL)
 ORACLE["return_decisions"] = _sql(_PARTS + _decision_sql(True) + "\nSELECT * FROM wy", *_ALL)
 ORACLE["cost_decisions"] = _sql(_PARTS + _decision_sql(True, True) + "\nSELECT * FROM wy", *_ALL)
-ORACLE["decision_set"] = _sql(_PARTS + _decision_sql(True) + f"""
-SELECT campaign, signal, blocker, spend, count(*) OVER (ORDER BY campaign <> 'app', spend DESC, campaign) AS place, left(sha256('rules-1|' || CASE WHEN campaign = 'app' THEN 'app' ELSE 'campaign' END || '|' || campaign || '|{WINDOW[0]}|{WINDOW[1]}'), 32) AS id, 'none' AS automation FROM wy""", *_ALL)
+_SET = f""", ax AS (SELECT campaign, string_agg(CAST(day AS VARCHAR) || ':' || metric || ':' || direction || ':' || class, ',' ORDER BY day, metric, direction) AS anomalies, count(*) AS n FROM an GROUP BY 1),
+bg AS (SELECT campaign, round(CAST(sum(spend) AS DOUBLE) / 20) AS daily FROM delivery WHERE CAST(substr(campaign, 2) AS INTEGER) % 3 <> 1 GROUP BY 1),
+pa AS (SELECT campaign, count(DISTINCT report_date) FILTER (spend > 0) AS live_days, count(DISTINCT currency) FILTER (spend > 0) AS cur, min(currency) FILTER (spend > 0) AS money, CAST(sum(spend) AS DOUBLE) AS total FROM delivery WHERE report_date {_IN} GROUP BY 1),
+pc AS (SELECT campaign, CASE WHEN live_days = 0 OR coalesce(daily, 0) <= 0 OR cur > 1 OR money <> 'USD' THEN 'unknown' WHEN ratio < 0.5 THEN 'under' WHEN ratio > 1.25 THEN 'over' ELSE 'on' END AS pace
+  FROM (SELECT *, floor(floor(total / live_days * 1e6 + 0.5) / 1e6 / daily * 1e4 + 0.5) / 1e4 AS ratio FROM pa LEFT JOIN bg USING (campaign)) x),
+ds AS (SELECT campaign, signal, blocker, wy.spend, count(*) OVER (ORDER BY campaign <> 'app', wy.spend DESC, campaign) AS place, left(sha256('rules-1|' || CASE WHEN campaign = 'app' THEN 'app' ELSE 'campaign' END || '|' || campaign || '|{WINDOW[0]}|{WINDOW[1]}'), 32) AS id,
+  coalesce(anomalies, '') AS anomalies, coalesce(n, 0) AS n, CASE WHEN campaign <> 'app' THEN coalesce(pace, 'unknown') END AS pace FROM wy LEFT JOIN ax USING (campaign) LEFT JOIN pc USING (campaign))
+"""
+ORACLE["decision_set"] = _sql(_PARTS + _decision_sql(False) + _SET + "SELECT campaign, signal, blocker, spend, place, id, 'none' AS automation, anomalies, pace FROM ds", *_ALL)
+ORACLE["decision_document"] = _sql(_PARTS + _decision_sql(False) + _SET + """SELECT max(signal) FILTER (campaign = 'app') AS app_signal, max(blocker) FILTER (campaign = 'app') AS app_blocker, count(*) FILTER (campaign <> 'app') AS n_campaigns,
+coalesce(string_agg(campaign || ':' || signal || ':' || coalesce(blocker, '-') || ':' || pace || ':' || n, ',' ORDER BY place) FILTER (campaign <> 'app'), '') AS campaigns, CAST(sum(n) AS BIGINT) AS anomalies FROM ds""", *_ALL)
+ORACLE["anomalies_by_day"] = _sql(", ".join((_LINKS, _RUNS, _SERIES)) + "\nSELECT day, metric, count(*) AS scopes, count(*) FILTER (direction = 'up') AS up, string_agg(DISTINCT class, ',' ORDER BY class) AS classes, min(campaign) AS first FROM an GROUP BY 1, 2", *_ALL)
 
 QUERIES |= {f.__name__: f for f in (
     campaign_day_facts, app_day_rollup, linked_daily_revenue, lifetime_spend, mapping_states, run_data_windows, run_completed_windows, current_findings, open_run_errors, day_signals, finding_counts, decision_anomalies, decision_signals,
-    return_decisions, cost_decisions, decision_set,
+    return_decisions, cost_decisions, decision_set, decision_document, anomalies_by_day,
 )}
