@@ -70,7 +70,16 @@ def channels(installs: DataFrame) -> DataFrame:
 
 
 def checksum(facts: DataFrame, groups: int = 4096) -> DataFrame:
-    """Row count and order-free digest of a table: bounded groups of row digests, then a digest over the groups' own."""
+    """Row count and digest of a table as a multiset of rows: equal whatever their order and however they are dealt.
+
+    A row's SHA-256 (of its columns as text, joined by unit separators, null as NUL) is four numbers of 60 bits. Rows of a
+    group (by the digest's first three digits) add up, so groups are summed where the rows are; the digest is the SHA-256 of
+    the groups' numbers and sums in order. Any engine with SHA-256 and wide decimals finds the same value.
+    """
     row = F.sha2(F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in facts.columns)), 256)
-    parts = facts.select(row.alias("h")).groupBy(F.pmod(F.xxhash64("h"), F.lit(groups)).alias("g")).agg(F.bit_xor(F.xxhash64("h")).alias("x"), F.sum(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 31))).alias("s"), F.count("*").alias("n"))
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.md5(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "g", "x", "s", "n"))))).alias("digest"))
+    limbs = [F.sum(F.conv(F.substr("h", F.lit(1 + 15 * i), F.lit(15)), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"s{i}") for i in range(4)]
+    group = (F.conv(F.substr("h", F.lit(1), F.lit(3)), 16, 10).cast("int") % groups).alias("g")
+    parts = facts.select(row.alias("h")).groupBy(group).agg(*limbs, F.count("*").alias("n"))
+    line = F.struct("g", F.concat_ws(":", "g", "n", "s0", "s1", "s2", "s3").alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(F.array_join(lines, ",").cast("binary"), 256).alias("digest"))

@@ -30,6 +30,30 @@ def resolve_remote(attribution: DataFrame, campaigns: DataFrame, ad_groups: Data
     return direct.join(parents, "remote_id", "left").select("target", F.coalesce("parent", "source").alias("source")).filter("source IS NOT NULL")
 
 
+def resolve_levels(asked: DataFrame, campaigns: DataFrame, ad_groups: DataFrame) -> DataFrame:
+    """asked with entity_type, source, source_name, method and confidence where its remote id resolves at a level of its pair.
+
+    asked: target, remote_id, attribution_provider, marketing_provider. campaigns: campaign, name; ad_groups: ad_group,
+    campaign (null: its parent isn't known, which resolves nothing). Levels come from the pair, in its order: an id that
+    names an ad group for one pair may name a campaign for another. Ids of all levels are one relation, joined once.
+    """
+    places = [(a, m, level, i) for (a, m), levels in vocab.REMOTE_LEVELS.items() for i, level in enumerate(levels)]
+    pairs = asked.sparkSession.createDataFrame(places, "attribution_provider string, marketing_provider string, level string, place int")
+    known = pairs.select("attribution_provider", "marketing_provider", F.lit(True).alias("known")).distinct()
+    of_campaign = campaigns.groupBy("campaign").agg(F.max("name").alias("source_name"))
+    ids = of_campaign.select(F.col("campaign").alias("remote_id"), F.lit("campaign").alias("level"), F.col("campaign").alias("source"))
+    parents = ad_groups.filter("campaign IS NOT NULL").groupBy(F.col("ad_group").alias("remote_id")).agg(F.min("campaign").alias("source"))
+    ids = ids.unionByName(parents.select("remote_id", F.lit("ad_group").alias("level"), "source"))
+    pair = ["attribution_provider", "marketing_provider"]
+    tried = asked.filter("remote_id IS NOT NULL").join(F.broadcast(known), pair, "left").join(ids, "remote_id").join(F.broadcast(pairs), [*pair, "level"], "left")
+    default = {level: i for i, level in enumerate(vocab.REMOTE_DEFAULT)}
+    place = F.when(F.col("known"), F.col("place")).otherwise(scalars.lookup(default, F.col("level")))
+    best = tried.withColumn("place", place).filter("place IS NOT NULL").groupBy("target", "remote_id", *pair).agg(F.min_by(F.struct("level", "source"), "place").alias("b"))
+    method = F.when(F.col("b.level") == "ad_group", "remote_ad_group").otherwise("remote_campaign")
+    named = best.select("target", "remote_id", *pair, F.col("b.level").alias("entity_type"), F.col("b.source").alias("source"), method.alias("method"), F.lit(1.0).alias("confidence"))
+    return named.join(of_campaign.withColumnRenamed("campaign", "source"), "source", "left")
+
+
 def candidates(attribution: DataFrame, expected_source: str | None = None) -> DataFrame:
     """The attribution campaigns that may be matched, by their media source."""
     if "media_source" not in attribution.columns:

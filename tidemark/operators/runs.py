@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import vocab
 from tidemark.functions import scalars
+from tidemark.operators import intervals
 
 CHECKPOINT = "struct<dataWindows:array<struct<`from`:string,to:string>>,completedWindows:array<string>>"
 DONE = ("completed", "partially_completed")
@@ -52,7 +53,7 @@ def day_signals(days: DataFrame, errors: DataFrame, windows: DataFrame, findings
     """day with sync_error, uncovered and finding. days: day; errors: window_start, window_end (null ends are open);
     windows: from_date, to_date of what the installs' runs completed; findings: observed, severity, check_key."""
     hit = lambda df: df.distinct()
-    wrong = days.join(errors.select("window_start", "window_end").distinct(), scalars.covers(F.col("window_start"), F.col("window_end"), F.col("day"))).select("day")
+    wrong = intervals.holding(days, errors, "day", "window_start", "window_end")
     read = windows.select(F.explode(F.sequence("from_date", "to_date")).alias("day"))
     noted = findings.filter((F.col("severity") != "info") & F.col("observed").isNotNull() & ~F.col("check_key").isin(*vocab.LABEL_CHECKS) & ~F.col("check_key").startswith("reconciliation.")).select(F.col("observed").alias("day"))
     out = days

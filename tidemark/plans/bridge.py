@@ -88,6 +88,10 @@ VIEWS: dict[str, str] = {
     FROM lineitem WHERE l_suppkey % 4 >= 1 AND (l_returnflag <> 'R' OR l_suppkey % 3 > 0) GROUP BY 1, 2, 3""",
     "names_marketing": """SELECT 'm' || CAST(p_partkey AS STRING) AS campaign, CASE p_partkey % 9 WHEN 0 THEN translate(p_name, 'l0123456789', 'ｌ０１２３４５６７８９') WHEN 1 THEN p_name || ' é' ELSE p_name END AS name
     FROM part WHERE p_partkey % 2 = 0""",
+    "ad_groups": """SELECT CASE WHEN p_partkey % 6 = 1 THEN 'm' ELSE 'g' END || CAST(p_partkey + 1 AS STRING) AS ad_group, CASE WHEN p_partkey % 10 <> 3 THEN 'm' || CAST(p_partkey + 3 AS STRING) END AS campaign
+    FROM part WHERE p_partkey % 2 = 1""",
+    "remote_ids": """SELECT 't' || CAST(p_partkey AS STRING) AS target, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'g' || CAST(p_partkey + 1 AS STRING) ELSE 'm' || CAST(p_partkey + p_partkey % 2 AS STRING) END AS remote_id,
+    CASE WHEN p_partkey % 3 = 0 THEN 'appsflyer' ELSE 'tenjin' END AS attribution_provider, CASE WHEN p_partkey % 5 = 0 THEN 'google_ads' ELSE 'meta_ads' END AS marketing_provider FROM part""",
     "names_attribution": """SELECT CASE WHEN p_partkey % 11 = 0 THEN 'm' || CAST(p_partkey + 1 AS STRING) ELSE 't' || CAST(p_partkey AS STRING) END AS campaign,
     CASE WHEN p_partkey % 5 = 0 THEN p_name WHEN p_partkey % 9 = 1 THEN '（' || p_name || '） e\u0301' WHEN p_partkey % 9 = 2 THEN '(' || p_name || ') & (' || p_name || ' 2)' ELSE 'Creative_' || CAST(p_partkey AS STRING) || ' (' || p_name || ')' END AS name,
     CASE WHEN p_partkey % 7 = 0 THEN 'm' || CAST(p_partkey + 1 AS STRING) END AS remote_id, CASE p_partkey % 13 WHEN 0 THEN 'Organic' WHEN 1 THEN NULL ELSE 'Facebook Ads' END AS media_source FROM part WHERE p_partkey % 2 = 1""",

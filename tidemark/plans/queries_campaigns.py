@@ -162,6 +162,17 @@ e AS (SELECT remote_id AS source, campaign AS target, 'matched_exact' AS status,
 SELECT DISTINCT source, target, status, method, CAST(confidence AS DOUBLE) AS confidence FROM e QUALIFY priority = min(priority) OVER (PARTITION BY source)"""
 
 
+def remote_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each remote id leads: at the levels of its pair of providers, in their order."""
+    return reconcile.resolve_levels(*(view(spark, sf_dir, n) for n in ("remote_ids", "names_marketing", "ad_groups")))
+
+
+ORACLE["remote_resolution"] = with_views("""SELECT target, remote_id, attribution_provider, marketing_provider, CASE WHEN by_group THEN 'ad_group' ELSE 'campaign' END AS entity_type, CASE WHEN by_group THEN g.campaign ELSE m.campaign END AS source,
+CASE WHEN by_group THEN 'remote_ad_group' ELSE 'remote_campaign' END AS method, CAST(1 AS DOUBLE) AS confidence, CASE WHEN by_group THEN p.name ELSE m.name END AS source_name
+FROM (SELECT r.*, attribution_provider = 'tenjin' AND marketing_provider = 'meta_ads' AND remote_id IN (SELECT ad_group FROM ad_groups WHERE campaign IS NOT NULL) AS by_group FROM remote_ids r WHERE remote_id IS NOT NULL) r
+LEFT JOIN ad_groups g ON g.ad_group = remote_id LEFT JOIN names_marketing p ON p.campaign = g.campaign LEFT JOIN names_marketing m ON m.campaign = remote_id WHERE by_group OR m.campaign IS NOT NULL""", "remote_ids", "names_marketing", "ad_groups")
+
+
 def reconcile_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribution campaigns by how they find a marketing campaign, those that an identifier has linked left out; every
     thirteenth is settled by a human."""
@@ -185,5 +196,5 @@ CAST(CASE WHEN organic THEN 0 WHEN same THEN 1 WHEN matches = 1 AND embedded THE
 
 QUERIES |= {f.__name__: f for f in (
     campaign_table, campaign_table_of_status, campaign_table_top_k, delivery_without_attribution, attribution_without_mapping, filter_options_union, mapping_best_link, strongest_link_per_target, structure_coverage, eligible_coverage,
-    install_state_split, name_key_match, embedded_name_match, reconcile_precedence, reconcile_reverse,
+    install_state_split, name_key_match, embedded_name_match, reconcile_precedence, reconcile_reverse, remote_resolution,
 )}

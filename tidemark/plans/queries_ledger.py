@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger
+from tidemark.operators import intervals, ledger
 from tidemark.plans.bridge import shared_root, view, with_views
 from tidemark.streaming import ingest
 
@@ -91,3 +91,20 @@ count(*) FILTER ({hit}) AS restated, count(*) FILTER ({hit}) AS second FROM {sou
 
 QUERIES["restated_fact_types"] = restated_fact_types
 ORACLE["restated_fact_types"] = with_views("\nUNION ALL ".join(_fact_sql(*f) for f in _FACTS), "installs", "revenue")
+
+
+def spend_in_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spend of each supplier's days that lie in a window of its customers' nation; some windows have open ends. Points and
+    windows meet by blocks, not by comparing ranges."""
+    days = view(spark, sf_dir, "big_delivery").select("account", "report_date", "campaign", "spend")
+    windows = spark.sql(_WINDOWS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    met = intervals.pairs(days, windows, "report_date", "opens", "closes", ("account",))
+    return met.groupBy("account", "label").agg(F.count("*").alias("n"), F.countDistinct("report_date").alias("days"), F.sum("spend").cast("double").alias("spend"))
+
+
+_WINDOWS = """SELECT c_nationkey AS account, label, CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE opens END AS opens, CASE WHEN c_nationkey % 7 = 0 THEN NULL ELSE closes END AS closes
+FROM (SELECT c_nationkey, c_mktsegment AS label, CAST(min(o_orderdate) AS DATE) + CAST(length(c_mktsegment) * 7 AS INT) AS opens, CAST(max(o_orderdate) AS DATE) - CAST(length(c_mktsegment) * 11 AS INT) AS closes
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2) w"""
+QUERIES["spend_in_open_windows"] = spend_in_open_windows
+ORACLE["spend_in_open_windows"] = with_views(f"""SELECT d.account, label, count(*) AS n, count(DISTINCT report_date) AS days, CAST(sum(spend) AS DOUBLE) AS spend FROM big_delivery d
+JOIN ({_WINDOWS.format(orders="orders", customer="customer")}) w ON w.account = d.account AND report_date >= coalesce(opens, report_date) AND report_date <= coalesce(closes, report_date) GROUP BY 1, 2""", "big_delivery")

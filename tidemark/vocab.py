@@ -28,6 +28,10 @@ MEDIA_SOURCE_SYNONYMS = {
     "tiktokads": "tiktok", "tiktokglobal": "tiktok", "bytedanceglobalint": "tiktok", "unityads": "unity", "applovinint": "applovin", "organic": "organic",
 }
 
+# The levels at which a pair of providers (attribution, marketing) publishes remote ids, in the order in which they are tried.
+REMOTE_LEVELS = {("tenjin", "meta_ads"): ("ad_group", "campaign")}
+REMOTE_DEFAULT = ("campaign",)
+
 # Expected freshness of each stream in minutes.
 EXPECTED_FRESHNESS = {"marketing": 180, "structure": 720, "attribution": 240, "revenue": 480}
 
