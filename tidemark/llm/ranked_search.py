@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, slices, word_hashes
 
 #: Results of a query, sampled documents, hashed terms of the fit, levels of the tree, bytes of text in a page.
-BEST, SAMPLE, FEATURES, DEPTH, PAGE_BYTES = 50, 2000, 2048, 6, 4 << 20
+BEST, SAMPLE, FEATURES, DEPTH, PAGE_BYTES = 50, 2000, 2048, 6, 1 << 20
 #: Code points and queries of one block; clusters of the first round, and growth.
 BLOCK_CHARS, BLOCK_ITEMS, FIRST, GROWTH = 100_000, 2000, 2, 4
 #: Bytes between terms: all of ASCII but digits and letters.
@@ -49,7 +49,7 @@ BREAKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
 #: A page ends after so many documents and at most one piece more, below 2**16.
 MOST_DOCS, PIECE = 50_000, 10_000
-ROW_GROUP, BATCH_PAGES = 16 << 20, 2
+ROW_GROUP, BATCH_PAGES = 8 << 20, 8
 
 _PAGE = "cluster int, ids array<bigint>, lengths binary, terms binary, sizes binary, most binary, shortest binary, docs binary, counts binary, large binary, n_docs long, n_terms long"
 
