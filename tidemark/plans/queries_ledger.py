@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import intervals, ledger
 from tidemark.plans.bridge import shared_root, view, with_views
+from tidemark.sources import paged
 from tidemark.streaming import ingest
 
 QUERIES: dict = {}
@@ -108,3 +109,33 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2) w"""
 QUERIES["spend_in_open_windows"] = spend_in_open_windows
 ORACLE["spend_in_open_windows"] = with_views(f"""SELECT d.account, label, count(*) AS n, count(DISTINCT report_date) AS days, CAST(sum(spend) AS DOUBLE) AS spend FROM big_delivery d
 JOIN ({_WINDOWS.format(orders="orders", customer="customer")}) w ON w.account = d.account AND report_date >= coalesce(opens, report_date) AND report_date <= coalesce(closes, report_date) GROUP BY 1, 2""", "big_delivery")
+
+
+def paged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports stored as pages of JSON that name their next page: a feed for each user group, two of them with broken chains.
+    Rows and spend of every feed by its outcome; rows of a feed that goes past the cap are not taken."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("CAST(user_id % 8 AS INT) AS feed"), F.expr("CAST(event_id % 12 AS INT) AS page"), F.expr("CAST(value AS DECIMAL(20,6)) AS value"))
+    root = f"{shared_root(spark)}/pages/{uuid.uuid4().hex}"
+    body = F.to_json(F.struct(F.concat_ws("-", "feed", "page").alias("cursor"), F.collect_list(F.struct("value")).alias("data"), F.expr(_NEXT).alias("next")))
+    events.groupBy("feed", "page").agg(body.alias("body")).select("body").write.text(root)
+    schema = "cursor string, next string, data array<struct<value:decimal(20,6)>>"
+    pages = spark.read.schema(schema).json(root)
+    starts = events.select(F.col("feed").cast("string").alias("feed")).distinct().withColumn("cursor", F.concat("feed", F.lit("-0")))
+    chains = paged.follow(pages.select("cursor", "next"), starts, cap=10)
+    rows = chains.join(pages.drop("next"), "cursor").withColumn("taken", F.col("failure").isNull())
+    return rows.groupBy("feed").agg(
+        F.max("failure").alias("failure"), F.count("*").alias("pages"), F.coalesce(F.sum(F.when(F.col("taken"), F.size("data"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("taken"), F.aggregate("data", F.lit(0).cast("decimal(30,6)"), lambda a, x: (a + x["value"]).cast("decimal(30,6)")))), F.lit(0)).cast("double").alias("value"),
+    )
+
+
+#: The page after a page: feed 0 has all twelve in a row, feed 1 goes round, the others end after three to eight pages.
+_NEXT = """CASE WHEN feed = 0 AND page < 11 THEN '0-' || CAST(page + 1 AS STRING) WHEN feed = 1 THEN '1-' || CAST((page + 1) % 3 AS STRING)
+WHEN feed > 1 AND page < feed THEN CAST(feed AS STRING) || '-' || CAST(page + 1 AS STRING) END"""
+QUERIES["paged_reports"] = paged_reports
+ORACLE["paged_reports"] = """WITH RECURSIVE stored AS (SELECT CAST(user_id % 8 AS INTEGER) AS feed, CAST(event_id % 12 AS INTEGER) AS page, count(*) AS n, sum(CAST(value AS DECIMAL(20,6))) AS value FROM events GROUP BY 1, 2),
+chain AS (SELECT feed, page, 1 AS number FROM stored WHERE page = 0 UNION ALL SELECT s.feed, s.page, number + 1 FROM chain c JOIN stored s ON s.feed = c.feed AND number <= 10
+  AND s.page = CASE WHEN c.feed = 0 THEN CASE WHEN c.page < 11 THEN c.page + 1 END WHEN c.feed = 1 THEN (c.page + 1) % 3 WHEN c.page < c.feed THEN c.page + 1 END),
+long AS (SELECT feed, max(number) > 10 AS failed FROM chain GROUP BY 1)
+SELECT CAST(c.feed AS VARCHAR) AS feed, max(CASE WHEN failed THEN 'pagination_failure' END) AS failure, count(*) AS pages, CAST(coalesce(sum(n) FILTER (NOT failed), 0) AS BIGINT) AS n,
+CAST(coalesce(sum(value) FILTER (NOT failed), 0) AS DOUBLE) AS value FROM chain c JOIN long USING (feed) JOIN stored s ON s.feed = c.feed AND s.page = c.page WHERE number <= 10 GROUP BY 1"""
