@@ -36,9 +36,9 @@ def optional(table: DataFrame, *names: str):
 INSIGHT = "date_start string, campaign_id string, campaign_name string, country string, impression_device string, spend string, impressions string, clicks string, inline_link_clicks string, account_currency string"
 
 
-def read_insights(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of paged JSON insights ({"data": [...]} documents)."""
-    return spark.read.schema(f"data array<struct<{re.sub(r'(\w+) string', r'\1:string', INSIGHT)}>>").json(path, multiLine=True).select(F.inline("data"))
+def read_insights(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of paged JSON insights: {"data": [...]} documents, one a file, or one a line."""
+    return spark.read.schema(f"data array<struct<{re.sub(r'(\w+) string', r'\1:string', INSIGHT)}>>").json(path, multiLine=not lines).select(F.inline("data"))
 
 
 def delivery_facts(insights: DataFrame) -> DataFrame:
