@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import vocab
-from tidemark.operators import cohorts, metrics, populations, runs
+from tidemark.functions import scalars
+from tidemark.operators import metrics, populations, runs
+from tidemark.plans import queries_history as history
 from tidemark.plans.bridge import held, view, with_views
 from tidemark.plans.queries_metrics import _METRICS, LIVE, OPERATIONAL, ORGANIC, _metric_sql
 
@@ -30,8 +31,6 @@ def _cells(facts: DataFrame, channel: F.Column, by: tuple, *sums: str) -> DataFr
 def scoped_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 24 metrics for every choice of country, platform and channel, and of none, in one aggregate of each fact table."""
     delivery, installs, revenue, mappings = (view(spark, sf_dir, n) for n in _INPUTS)
-    from tidemark.functions import scalars
-
     spent = _cells(delivery, scalars.provider_channel(F.col("provider")), ("campaign", "currency", "report_date"), "spend", "impressions", "clicks", "link_clicks")
     source = scalars.media_channel(F.col("media_source"))
     taken = _cells(installs, source, ("campaign", "media_source"), "installs")
@@ -117,9 +116,7 @@ def metrics_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cohort_metrics_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 18 cohort metrics under the gates of every app."""
     _, feeds, capabilities, coverage = _context(spark, sf_dir)
-    from tidemark.plans.queries_history import QUERIES as history
-
-    found = held(history["cohort_metrics"](spark, sf_dir))
+    found = held(history.QUERIES["cohort_metrics"](spark, sf_dir))
     gated = metrics.gates(view(spark, sf_dir, "app_capabilities"), metrics.COHORT, feeds, capabilities, coverage)
     return metrics.in_context(found, gated).select("app", "metric", "value", "availability", "blocker")
 
@@ -196,4 +193,6 @@ SELECT gx.app, {families}, count(value) AS shown, coalesce(string_agg(metric ||
   (SELECT status FROM feed WHERE feed.app = gx.app AND role = 'attribution') AS attribution_status, floor(any_value(score) * 10000 + 0.5) / 10000 AS confidence,
   CASE WHEN floor(any_value(score) * 10000 + 0.5) / 10000 >= 0.8 THEN 'high' WHEN floor(any_value(score) * 10000 + 0.5) / 10000 >= 0.5 THEN 'medium' ELSE 'low' END AS confidence_level FROM gx JOIN sure USING (app) GROUP BY gx.app"""
 ORACLE["performance_document"] = _CONTEXT + _DOCUMENT.format(families=", ".join(f"string_agg(metric || ':' || availability, ',' ORDER BY metric) FILTER (family = '{f}') AS {f}" for f in ("delivery", "attribution", "revenue", "efficiency", "coverage")))
-QUERIES |= {f.__name__: f for f in (metrics_in_context, performance_document)}
+_OF_COHORTS = f""", coh AS (SELECT *, NULL AS numerator FROM ({history.ORACLE["cohort_metrics"]}) c)"""
+ORACLE["cohort_metrics_in_context"] = _BASE + _OF_COHORTS + _gate_sql(COHORT_RESTS, "coh e ON e.metric = gate.metric") + "SELECT app, metric, value, availability, blocker FROM gx"
+QUERIES |= {f.__name__: f for f in (metrics_in_context, cohort_metrics_in_context, performance_document)}
