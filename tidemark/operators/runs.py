@@ -15,7 +15,7 @@ DONE = ("completed", "partially_completed")
 
 def data_windows(runs: DataFrame, apps: DataFrame) -> DataFrame:
     """app, data_type, from_date, to_date, finished (the local date in the app's zone) of each window that a finished run read."""
-    held = runs.filter(F.col("status").isin(*DONE)).join(F.broadcast(apps.select("app", "zone")), "app")
+    held = runs.filter(F.col("status").isin(*DONE)).join(apps.select("app", "zone"), "app")
     out = held.select("run", "app", "data_type", scalars.local_date(F.col("finished_at"), F.col("zone")).alias("finished"), F.explode(F.from_json("checkpoint", CHECKPOINT)["dataWindows"]).alias("w"))
     return out.select("run", "app", "data_type", F.to_date("w.from").alias("from_date"), F.to_date("w.to").alias("to_date"), "finished")
 

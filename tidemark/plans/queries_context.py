@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import metrics, populations, runs
+from tidemark.operators import command, metrics, populations, runs
 from tidemark.plans import queries_history as history
+from tidemark.plans import queries_metrics
 from tidemark.plans.bridge import held, view, with_views
 from tidemark.plans.queries_metrics import _METRICS, LIVE, OPERATIONAL, ORGANIC, _metric_sql
 
@@ -196,3 +197,29 @@ ORACLE["performance_document"] = _CONTEXT + _DOCUMENT.format(families=", ".join(
 _OF_COHORTS = f""", coh AS (SELECT *, NULL AS numerator FROM ({history.ORACLE["cohort_metrics"]}) c)"""
 ORACLE["cohort_metrics_in_context"] = _BASE + _OF_COHORTS + _gate_sql(COHORT_RESTS, "coh e ON e.metric = gate.metric") + "SELECT app, metric, value, availability, blocker FROM gx"
 QUERIES |= {f.__name__: f for f in (metrics_in_context, cohort_metrics_in_context, performance_document)}
+
+
+def command_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One snapshot over cells of the facts that are written once: metrics, series, campaigns, gaps, feeds, runs, findings."""
+    delivery, installs, revenue, mappings, log, findings = (view(spark, sf_dir, n) for n in (*_INPUTS, "runs", "findings"))
+    recorded = view(spark, sf_dir, "app_runs").filter("app = 'GB-ios'")
+    checked = recorded.groupBy("app").agg((F.max("finished_at") + F.expr("INTERVAL 10 MINUTES")).alias("checked_at"))
+    bindings = view(spark, sf_dir, "app_bindings").filter("app = 'GB-ios' AND role = 'marketing'")
+    return command.snapshot(*command.cells(delivery, installs, revenue, held), held(mappings), held(runs.stream_states(recorded, checked)), log, findings, bindings)
+
+
+_PICK = "SELECT '{}' AS section, CAST({} AS VARCHAR) AS label, CAST({} AS DOUBLE) AS amount, CAST({} AS VARCHAR) AS state FROM "
+ORACLE["command_centre"] = with_views("", *_INPUTS, "runs", "findings", "app_runs").rstrip() + f""", tot AS (SELECT campaign, sum(spend) AS spend FROM delivery WHERE campaign IS NOT NULL GROUP BY 1),
+best AS (SELECT DISTINCT ON (source) * FROM mappings ORDER BY source, confidence DESC, status, coalesce(target, ''))
+{_PICK.format("metric", "metric", "value", "availability")} ({queries_metrics.ORACLE["operational_metrics_long"]}) m
+UNION ALL {_PICK.format("spend_by_day", "report_date", "sum(spend)", "NULL")} delivery GROUP BY report_date
+UNION ALL {_PICK.format("installs_by_day", "install_date", "sum(installs)", "NULL")} installs GROUP BY install_date
+UNION ALL {_PICK.format("revenue_by_day", "event_date", "sum(revenue)", "NULL")} revenue GROUP BY event_date
+UNION ALL {_PICK.format("campaign", "campaign", "spend", "coalesce(status, 'not_computed')")} (SELECT * FROM tot ORDER BY spend DESC, campaign LIMIT 25) t LEFT JOIN best ON source = campaign
+UNION ALL {_PICK.format("unlinked", "campaign", "spend", "NULL")} (SELECT * FROM tot WHERE spend > 0 AND campaign NOT IN (SELECT source FROM mappings WHERE {OPERATIONAL}) ORDER BY spend DESC, campaign LIMIT 10) u
+UNION ALL {_PICK.format("ambiguous", "source", "confidence", "NULL")} mappings WHERE status = 'ambiguous'
+UNION ALL {_PICK.format("feed", "data_type", "NULL", "CASE WHEN newest = 'failed' THEN 'error' WHEN data_type = 'attribution_installs' THEN 'delayed' ELSE 'fresh' END")} (SELECT data_type, arg_max(status, finished_at) AS newest FROM app_runs WHERE app = 'GB-ios' GROUP BY 1) f
+UNION ALL {_PICK.format("run", "run", "NULL", "status")} (SELECT * FROM runs ORDER BY finished_at DESC NULLS LAST, run LIMIT 5) g
+UNION ALL {_PICK.format("finding", "check_key", "n", "severity")} (SELECT check_key, severity, count(*) AS n FROM findings GROUP BY 1, 2 ORDER BY n DESC, check_key LIMIT 10) h
+UNION ALL SELECT 'empty', 'attribution', NULL, 'unconnected'"""
+QUERIES["command_centre"] = command_centre
