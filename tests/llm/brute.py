@@ -33,18 +33,27 @@ def places(patterns: dict[str, str], text: str | None) -> list[tuple[int, int]]:
 
 
 def disclosing(texts: list[str], share: float, support: int) -> set[str]:
-    """Words that give that share of the information of some matched value, from the sets of documents of both."""
+    """Words that give that share of the information of some matched value. Documents with values that are alike
+    (five-word shingles, 0.8) count as one."""
     import math
     from collections import defaultdict
 
+    said = [re.findall(r"[^\W_]{2,}", t.lower()) for t in texts]
+    values = [{(k, m[0]) for k, p in PII.items() for m in re.finditer(p, t) if kept(k, m)} for t in texts]
+    runs = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in said]
+    label = list(range(len(texts)))
+    with_values = [i for i, v in enumerate(values) if v]
+    for n, i in enumerate(with_values):
+        for j in with_values[:n]:
+            if len(runs[i] & runs[j]) >= 0.8 * len(runs[i] | runs[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
     of_word, of_value = defaultdict(set), defaultdict(set)
-    for i, t in enumerate(texts):
-        for w in re.findall(r"[^\W_]{2,}", t.lower()):
-            of_word[w].add(i)
-        for k, p in PII.items():
-            for m in re.finditer(p, t):
-                if kept(k, m):
-                    of_value[k, m[0]].add(i)
+    for i, c in enumerate(label):
+        for w in said[i]:
+            of_word[w].add(c)
+        for v in values[i]:
+            of_value[v].add(c)
     out = set()
     for e in of_value.values():
         own = math.log2(len(texts) / len(e))

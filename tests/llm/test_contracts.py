@@ -198,9 +198,19 @@ def test_base_spans(spark, case, name, patterns):
         assert ([got[d][f"n_{k}"] for k in patterns], got[d]["base_sha256"]) == (counts, digest)
 
 
+def filler(i: int, n: int = 12) -> str:
+    """Words that differ from one text to the next."""
+    return " ".join(f"w{(i * 7919 + j * j * 31) % 997}" for j in range(n))
+
+
+def terms_in(rows: list, texts: dict) -> set[str]:
+    return {texts[r["doc_id"]][s["start"] : s["end"]].lower() for r in rows for s in r["spans"] if s["kind"] == 4}
+
+
 def test_disclosing_terms(spark):
     """A name that stands beside one address in every document is found; a common word isn't."""
-    rows = [(i, f"common words here and Brightwater lives at a@b.org near common people {i}") for i in range(6)] + [(100 + i, f"common words about nothing at all number {i}") for i in range(200)]
+    rows = [(i, f"common {filler(i)} here and Brightwater lives at a@b.org near common people {i}") for i in range(6)]
+    rows += [(100 + i, f"common words about nothing at all {filler(i)} here and near people number {i}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r["spans"] for r in pii.find_personal(docs).collect()}
     at = rows[0][1].index("Brightwater")
@@ -210,7 +220,40 @@ def test_disclosing_terms(spark):
     assert "a@b.org" not in clean[0] and "Brightwater" not in clean[0] and "[EMAIL]" in clean[0] and clean[105] == dict(rows)[105]
 
 
-def test_disclosing_terms_against_a_plain_version(spark, monkeypatch):
+def test_copies_disclose_nothing(spark):
+    """However many copies and near copies of a text stand beside an address, they count once; one other text makes two."""
+    body = " ".join(filler(3, 150).split())
+    near = lambda i: body.replace("w1 ", f"odd{i} ", 1) if i % 3 else body
+    rows = [(i, f"{near(i)} Brightwater lives at a@b.org {'again' if i % 5 == 0 else ''}") for i in range(120)]
+    rows += [(1000 + i, f"{filler(i, 40)} common words {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_personal(docs).collect()
+    assert not terms_in(found, dict(rows)) and sum(s["kind"] == 0 for r in found for s in r["spans"]) == 120
+    rows.append((5000, f"{filler(77, 60)} by Brightwater of a@b.org"))
+    found = pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert "brightwater" in terms_in(found, dict(rows)) and sum(any(s["kind"] == 4 for s in r["spans"]) for r in found) >= 121
+
+
+def test_planted_names_are_found(spark):
+    """Names that stand with an address in three to eight different given documents: at least nine tenths are found, and of
+    the words of documents that no name was planted in none is."""
+    rows, names = [], {}
+    for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()):
+        text = r["text"] or ""
+        who = i // 8 if i % 8 < 3 + i // 8 % 6 and i // 8 % 3 == 0 else None
+        if who is not None:
+            names[r["doc_id"]] = f"qx{who}zorbl"
+            text = f"Qx{who}zorbl began. {text} Write to person{who}@mail.example.org"
+        rows.append((r["doc_id"], text))
+    found = pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    got = {r["doc_id"] for r in found if names.get(r["doc_id"]) in terms_in([r], texts)}
+    assert len(got) >= 0.9 * len(names) and len(names) > 100
+    other = [r["doc_id"] for r in found if r["doc_id"] not in names and terms_in([r], texts)]
+    assert len(other) <= 0.02 * len(rows), len(other)
+
+
+def test_disclosing_terms_against_a_plain_version(spark):
     """On given documents with names planted beside an address: the terms that counting every pair of sets gives."""
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     docs = [(d, f"{t} Zorblatt{d // 9 % 3} wrote from box{d // 9 % 3}@mail.org" if d % 9 == 0 else f"{t} Zorblatt0" if d % 40 == 1 else t) for d, t in docs] + [(None, "Zorblatt1"), (None, None)]
@@ -219,9 +262,6 @@ def test_disclosing_terms_against_a_plain_version(spark, monkeypatch):
     found = {(r["doc_id"], tuple((s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4)) for r in pii.find_personal(frame).collect()}
     plain = {(d, tuple((m.start(), m.end()) for m in re.finditer(r"[^\W_]{2,}", t or "") if m[0].lower() in want and not any(a < m.end() and m.start() < b for a, b in brute.places(brute.PII, t)))) for d, t in docs}
     assert {"zorblatt1", "zorblatt2"} <= want and "zorblatt0" not in want and found == plain
-    monkeypatch.setattr(pii, "FEW", 0)
-    shuffled = pii.find_personal(frame).collect()
-    assert {(r["doc_id"], tuple((s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4)) for r in shuffled} == plain
 
 
 def test_random_tokens_are_found(spark):
@@ -255,7 +295,7 @@ def test_random_tokens_planted_in_given_documents(spark):
 def test_disclosing_terms_far_from_their_entity(spark):
     """Every occurrence of a term is found: far off in the same document, and where its entity is not."""
     far = " ".join(["common words go on"] * 20)
-    rows = [(i, f"common words here and Brightwater lives at a@b.org near common people {i % 2}") for i in range(10, 40)] + [(100 + i, f"common words and nothing at all number {i}") for i in range(1000)]
+    rows = [(i, f"common {filler(i)} here and Brightwater lives at a@b.org near common people {i % 2}") for i in range(10, 40)] + [(100 + i, f"common words and nothing at all {filler(i)} here lives near people {i}") for i in range(1000)]
     rows += [(6, f"BRIGHTWATER said: {far} Brightwater, a@b.org, and brightwater"), (7, f"{far} by Brightwater and Brightwaters"), (7, f"{far} by Brightwater and Brightwaters"), (None, "Brightwater")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii.find_personal(docs).collect()
