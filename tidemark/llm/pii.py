@@ -15,9 +15,9 @@ with probability 0.91, 0.9 with 0.998, 0.3 with 0.006), joined over bands to cla
 changes. So T is the classes with entities that hold the word and the documents without entities that do.
 
 Only documents with entities bring words up: a word's counts there bound its T from above, and a word that stands in
-more of them already is left. What remains, the candidates, meets the words of all documents once; Spark broadcasts them
-only where their written size allows it. The matches carry their places, so texts are never shuffled, however many
-documents hold terms. Entities that stand in just the same classes are one, and so are words, as nothing in the counts
+more of them already is left. What remains, the candidates, meets the distinct words of all documents once; texts meet
+the keys of those that hold terms. Spark plans both joins by the size written: what is below its limit for broadcasts
+moves, and beyond it words, or all texts, are shuffled once. Entities that stand in just the same classes are one, and so are words, as nothing in the counts
 tells them apart, so a list of many entities, copied to many documents, is not all pairs.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive; rows with equal doc_id
@@ -48,7 +48,7 @@ SHARE, SUPPORT = 0.95, 2
 #: Min-hash bands of near copies, coordinates of each, and words of a shingle.
 BANDS, BAND, WIDTH = 8, 6, 5
 #: Matches whose places are summed up in one piece of a text.
-PIECE = 256
+PIECE = 16
 TERM = r"[\p{L}\p{N}]{2,}"
 
 
@@ -166,15 +166,19 @@ def candidates(found: DataFrame, total: int, share: float = SHARE, support: int
 def term_spans(docs: DataFrame, found: DataFrame, some: DataFrame) -> DataFrame:
     """key, hits: (start, kind, end) of every occurrence of the disclosing terms among some (term, n, most), for each
     text that holds any. found: key and base of all docs."""
-    words = docs.select(row_key().alias("key"), F.explode(matches(F.col("text"), TERM)).alias("m"))
-    words = words.select("key", F.lower("m.text").alias("term"), F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.text")).alias("end"))
-    met = materialise(words.join(some.select("term"), "term"), "met")
+    keyed = docs.select(row_key().alias("key"), "text")
+    words = keyed.select("key", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
     # Repeated rows repeat their words, so a document is counted by its key.
-    bare = met.select("key", "term").distinct().join(found.filter(F.size("base") > 0).select("key"), "key", "left_anti")
+    met = materialise(words.join(some.select("term"), "term").distinct(), "met")
+    bare = met.join(found.filter(F.size("base") > 0).select("key"), "key", "left_anti")
     seen = some.join(bare.groupBy("term").agg(F.count("*").alias("more")), "term", "left")
     terms = seen.filter(F.col("n") + F.coalesce("more", F.lit(0)) <= F.col("most")).select("term")
-    place = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")
-    return met.join(terms, "term").groupBy("key").agg(F.collect_set(place).alias("hits"))
+    held = materialise(met.join(terms, "term").groupBy("key").agg(F.collect_set("term").alias("terms")), "term-keys")
+    texts = keyed.join(held, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
+    places = F.filter(matches(F.col("text"), TERM), lambda m: F.array_contains("terms", F.lower(m["text"])))
+    end = lambda m: (m["start"] + F.length(m["text"])).alias("end")
+    hits = F.transform(places, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), end(m)))
+    return texts.select("key", hits.alias("hits"))
 
 
 def find_personal(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
