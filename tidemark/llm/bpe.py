@@ -14,7 +14,8 @@ a sequence of tokens is the encoding of its bytes exactly when each adjacent pai
 So a window of tokens around the border is merged anew and grows until the pairs at both of its ends are stable. A match that goes on over the
 border of two parts is joined from the tokens of both, so a run of letters of any length costs each level a window only.
 
-Tokens of short matches are remembered in a memo of bounded size, which changes no result.
+Tokens of short matches are remembered in memos of bounded size, which changes no result; they end with the task, so that
+a worker that goes on to other work doesn't hold them.
 
 Defined results: null and empty texts have no tokens; text of any length is encoded whole; repeated rows each keep
 theirs; special strings are ordinary text; rows of null doc_id keep it; an empty table gives no rows; extra columns are
@@ -24,6 +25,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +36,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import pieces
+
 #: Code points in a leaf of a text, bytes in a leaf of a match; code points that a match may look past its end; matches
 #: and tokens in a first window; tokens in a decoded leaf; matches remembered, and the code points of the longest of them.
 LEAF, WORD, LOOK, MATCHES, TOKENS, DECODED, MEMO, SHORT = 256, 16, 3, 2, 2, 256, 400_000, 48
@@ -51,9 +55,14 @@ class ByteBpe:
         self.longest = max(map(len, self.ranks))
         self.matches = regex.compile(pattern).findall
         self.windows = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memos. Freed tuples that Python keeps for reuse pin most of their memory until a collection."""
         self._memo: dict[str, Ids] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._merged: dict[Ids, Ids] = {}
+        gc.collect()
 
     # Text tree.
     def encode(self, text: str) -> list[int]:
@@ -215,7 +224,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary(rank_file, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             rows: dict[str, list] = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "exact", *["ids"] * keep_ids)}
             for value in batch.column("text"):
                 text = value.as_py() or ""
@@ -228,6 +237,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bo
                 if keep_ids:
                     rows["ids"].append(packed)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | rows)
+        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, d
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Text bytes that one vectorised pass handles; bounds a task's memory whatever a batch holds.
 SLICE_BYTES = 1 << 20
+#: Rows of a batch that a map works on at once.
+ROWS = 1000
 
 
 _MADE: list[str] = []
@@ -100,6 +103,13 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         at = to
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most ROWS, which bounds what a task makes of them at once."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def word_hashes(texts: pa.Array, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words (runs of bytes that aren't breaks) of a large-string array, and the words' count in each text."""
     n = len(texts)

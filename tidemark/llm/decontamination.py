@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, pieces
 
 #: q-gram length, edits allowed as a share of an item's length, length below which none are, items' code points in a block.
 Q, EDITS, SHORT, BLOCK_CHARS = 8, 0.06, 40, 4_000_000
@@ -285,7 +285,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: floa
 
     def kept(out: DataFrame, block: _Block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 clean = np.ones(len(batch), bool)
                 clean[[t for t, *_ in block.items().search([t or "" for t in batch.column("text").to_pylist()])]] = False
                 yield batch.filter(pa.array(clean))

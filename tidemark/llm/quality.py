@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, materialise, mix, slices, word_hashes
+from tidemark.llm.common import SPACE, materialise, mix, pieces, slices, word_hashes
 
 MAX_LABELLED, MAX_GUESSED = 8000, 500
 #: Hashed dimensions of words, sources and languages.
 WORDS, SOURCES, LANGS = 512, 64, 16
 #: Rounds of exchange, share of the unlabelled documents that a view labels in each, and the odds that they must reach.
 ROUNDS, SHARE, SURE = 3, 0.1, 2.0
-#: Rows whose features a task holds at once.
-ROWS = 1000
+#: Bytes of text whose words a task hashes at once; the arrays on the way take many times as much.
+HASHED = 1 << 18
 #: Good documents that may fall under the threshold when it is chosen, as a share.
 LOST = 0.005
 
@@ -43,7 +43,7 @@ LOST = 0.005
 def content_features(texts: pa.Array) -> np.ndarray:
     """float32 rows: nine shape statistics, then square-rooted frequencies of hashed words with their ends kept."""
     out = np.zeros((len(texts), 9 + WORDS), np.float32)
-    for at, part in slices(texts):
+    for at, part in slices(texts, HASHED):
         n = len(part)
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + n + 1]
         raw = np.frombuffer(part.buffers()[2], np.uint8)[int(offsets[0]) : int(offsets[-1])] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
@@ -146,13 +146,6 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), col("source", "string"), col("lang", "string"))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of at most ROWS, which bounds what their features take."""
-    for batch in batches:
-        for at in range(0, len(batch), ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow.compute as pc
 
@@ -164,7 +157,7 @@ def _sampled(docs: DataFrame, chosen: DataFrame) -> tuple[pd.DataFrame, np.ndarr
     """doc_id and label of the chosen rows (a bounded number, which is broadcast), in order of id, and both views' features."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             content, meta = _views(batch)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": pa.array([r.tobytes() for r in np.hstack([content, meta]).astype(np.float16)], pa.binary())})
 
@@ -181,7 +174,7 @@ def view_odds(docs: DataFrame, model: CoTrained) -> DataFrame:
     weights = model.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             content, meta = (_odds(x, w) for x, w in zip(_views(batch), weights, strict=True))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "content": pa.array(content, pa.float64()), "meta": pa.array(meta, pa.float64())})
 
@@ -224,7 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
             chosen = {r["doc_id"]: r["label"] for r in guessed if r["view"] == view}
             seen[view].update(chosen)
             if chosen:
-                rows, *views = _sampled(docs, docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, label double"))
+                # As an Arrow table: a list of rows would start a second set of Python workers on every executor.
+                table = pa.table({"doc_id": pa.array(list(chosen), pa.int64()), "label": pa.array(list(chosen.values()), pa.float64())})
+                rows, *views = _sampled(docs, docs.sparkSession.createDataFrame(table))
                 model.take(view, views[view], rows["label"].to_numpy(float))
     model.calibrate()
     return model
@@ -234,7 +229,7 @@ def score_documents(docs: DataFrame, model: CoTrained) -> DataFrame:
     """doc_id, score (probability of good), keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             score = model.score(*_views(batch))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score, pa.float64()), "keep": pa.array(score >= model.threshold)})
 
@@ -249,7 +244,7 @@ def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
     views = [f for f in ("source", "lang") if f not in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             view = pa.RecordBatch.from_pydict({"text": batch.column("text").fill_null("")} | {c: batch.column(c) if c not in views else pa.nulls(len(batch), pa.string()) for c in ("source", "lang")})
             yield batch.filter(pa.array(model.score(*_views(view)) >= model.threshold))
 
